@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import jaccard, lines, packing, pseudonyms
+from marginalia.llm import jaccard, language, lines, packing, pseudonyms
 from marginalia.llm.shared import table
 
 
@@ -40,6 +40,13 @@ def op6_format_preserving_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFr
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY).select("doc_id", "text", F.col("_n_replaced").alias("n_replaced"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.predict(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP3_SQL = r"""
 WITH lined AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -59,7 +66,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op6_format_preserving_pseudonyms)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op6_format_preserving_pseudonyms, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
