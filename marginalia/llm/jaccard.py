@@ -199,6 +199,23 @@ def judged(threshold: float, width: int):
     return rows
 
 
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame, log_bits: int = 24) -> DataFrame:
+    """Rows whose key may be in ``wanted``, by a bit set of fixed size, so that few other rows enter the join that follows.
+
+    The set is a broadcast table of at most ``2 ** (log_bits - 6)`` words. When
+    the keys outgrow it, more rows pass, and the join stays exact.
+    """
+
+    def place(k):
+        return F.pmod(F.xxhash64(k, F.lit("bits")), F.lit(1 << log_bits))
+
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    word = F.call_function("shiftright", "_place", F.lit(6)).alias("_word")
+    words = wanted.select(place(F.col(key)).alias("_place")).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.withColumn("_place", place(F.col(key))).withColumn("_word", word)
+    return marked.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_place", "_bits")
+
+
 def jaccard_classes(
     docs: DataFrame, width: int = 5, threshold: float = 0.8, runs: int = 14, leaf: int = 512, depth: int = 3, sample: int = 96, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -235,7 +252,7 @@ def jaccard_classes(
     close = materialise(with_bucket_size(close.distinct()), "jaccard-close")
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(close.select("node").distinct(), "node").where(F.col("text").isNotNull())
+    texts = narrowed(texts.where(F.col("text").isNotNull()), "node", close).join(close.select("node").distinct(), "node")
     full = tiles(close, leaf // 2).join(known.select(*one, "copies", "leaves"), one).join(texts, "node").select(*order, "part", *one, "copies", "leaves", "text")
     found = full.repartition(*order).sortWithinPartitions(*order).mapInArrow(judged(threshold, width), "node long, h1 long, links long, label long")
     found = materialise(found, "jaccard-links")
