@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import jaccard, language, lines, packing, pseudonyms
+from marginalia.llm import jaccard, language, lines, mixing, packing, pseudonyms
 from marginalia.llm.shared import table
 
 
@@ -47,6 +47,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "source", *(F.col(f"_{c}").alias(c) for c in ("source_rank", "block", "slot", "position")))
+
+
 OP3_SQL = r"""
 WITH lined AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -66,7 +72,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op6_format_preserving_pseudonyms, op7_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op6_format_preserving_pseudonyms, op7_language_id, op9_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
