@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import jaccard, language, lines, mixing, packing, pseudonyms
+from marginalia.llm import chat, jaccard, language, lines, mixing, packing, pseudonyms
 from marginalia.llm.shared import table
 
 
@@ -53,6 +53,32 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", *(F.col(f"_{c}").alias(c) for c in ("source_rank", "block", "slot", "position")))
 
 
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"], F.lit("-"), m["end"])), ",")
+    return views.select("conv_id", "participant", "segment", "first_turn", "n_turns", "text", spans.alias("mask"))
+
+
+OP10_SQL = r"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS nth
+  FROM conversations
+), views AS (
+  SELECT s.conv_id, p.participant, s.nth, s.nth // 64 AS segment, s.role = p.participant AS mine,
+    '<|im_start|>' || CASE WHEN s.role = p.participant THEN 'assistant' ELSE 'user name=' || regexp_replace(replace(s.role, '<|', '<' || chr(8203) || '|'), '\s+', '_', 'g') END || chr(10) AS head,
+    s.body || '<|im_end|>' || chr(10) AS body
+  FROM said s JOIN (SELECT DISTINCT conv_id, role AS participant FROM said) p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, segment ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start
+  FROM views
+)
+SELECT conv_id, participant, segment::BIGINT AS segment, (segment * 64)::BIGINT AS first_turn, count(*)::INTEGER AS n_turns,
+  string_agg(head || body, '' ORDER BY nth) AS text,
+  coalesce(string_agg(CASE WHEN mine THEN start || '-' || (start + length(body) - 1) END, ',' ORDER BY nth), '') AS mask
+FROM placed GROUP BY conv_id, participant, segment
+"""
+
 OP3_SQL = r"""
 WITH lined AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -72,8 +98,8 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op6_format_preserving_pseudonyms, op7_language_id, op9_pfair_mixing)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op6_format_preserving_pseudonyms, op7_language_id, op9_pfair_mixing, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op10_perspective_rotation": OP10_SQL}
