@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, jaccard, language, lines, mixing, packing, pseudonyms
+from marginalia.llm import chat, jaccard, language, lines, mixing, neighbours, packing, pseudonyms, topk
 from marginalia.llm.shared import table
 
 
@@ -59,6 +59,28 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("conv_id", "participant", "segment", "first_turn", "n_turns", "text", spans.alias("mask"))
 
 
+def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_block_max_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP8_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP10_SQL = r"""
 WITH said AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS body,
@@ -98,8 +120,8 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op6_format_preserving_pseudonyms, op7_language_id, op9_pfair_mixing, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op5_multiprobe_neighbours, op6_format_preserving_pseudonyms, op7_language_id, op8_block_max_topk, op9_pfair_mixing, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op10_perspective_rotation": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op8_block_max_topk": OP8_SQL, "op10_perspective_rotation": OP10_SQL}
