@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, jaccard, language, lines, mixing, neighbours, packing, pseudonyms, topk
+from marginalia.llm import chat, jaccard, language, lines, mixing, neighbours, packing, pseudonyms, scoring, topk
 from marginalia.llm.shared import table
 
 
@@ -59,6 +59,11 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("conv_id", "participant", "segment", "first_turn", "n_turns", "text", spans.alias("mask"))
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    return scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -120,7 +125,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op5_multiprobe_neighbours, op6_format_preserving_pseudonyms, op7_language_id, op8_block_max_topk, op9_pfair_mixing, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_line_dedup, op4_cross_entropy_difference, op5_multiprobe_neighbours, op6_format_preserving_pseudonyms, op7_language_id, op8_block_max_topk, op9_pfair_mixing, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
