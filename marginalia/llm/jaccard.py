@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
@@ -39,7 +39,7 @@ FEATURES = "doc_id long, h1 long, h2 long, size int, picks array<long>, sample b
 
 
 def features(docs: DataFrame, width: int, runs: int, share: float, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: hash and size of its shingle set, first-level picks and a consistent sample; no hash without shingles or doc_id."""
+    """Per row: hash and size of its shingle set, first-level picks and a consistent sample; no hash without a doc_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -47,7 +47,7 @@ def features(docs: DataFrame, width: int, runs: int, share: float, sample: int,
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py() if doc is not None else None, words, width)
-                h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8").tolist() if len(s) else (None, None)
+                h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8").tolist() if doc is not None else (None, None)
                 picked = s[unit(mix(s, 1)) < runs / (share * max(1, len(s)))]
                 sampled = s[unit(mix(s, 2)) < sample / max(1, len(s))].astype("<u4")
                 for column, value in zip(out, (doc, h1, h2, len(s), picked.view(np.int64), sampled.tobytes())):
@@ -199,11 +199,12 @@ def judged(threshold: float, width: int):
     return rows
 
 
-def narrowed(rows: DataFrame, key: str, wanted: DataFrame, log_bits: int = 24) -> DataFrame:
-    """Rows whose key may be in ``wanted``, by a bit set of fixed size, so that few other rows enter the join that follows.
+def marked(rows: DataFrame, key: str, wanted: DataFrame, log_bits: int = 24) -> DataFrame:
+    """Adds ``_maybe``: whether the key may be in ``wanted``, by a bit set of fixed size; false for a null key.
 
-    The set is a broadcast table of at most ``2 ** (log_bits - 6)`` words. When
-    the keys outgrow it, more rows pass, and the join stays exact.
+    The set is a broadcast table of at most ``2 ** (log_bits - 6)`` words. A
+    false ``_maybe`` is certain. When the keys outgrow the set, more rows are
+    true, so an exact join has to follow.
     """
 
     def place(k):
@@ -211,9 +212,30 @@ def narrowed(rows: DataFrame, key: str, wanted: DataFrame, log_bits: int = 24) -
 
     bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
     word = F.call_function("shiftright", "_place", F.lit(6)).alias("_word")
-    words = wanted.select(place(F.col(key)).alias("_place")).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
-    marked = rows.withColumn("_place", place(F.col(key))).withColumn("_word", word)
-    return marked.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_place", "_bits")
+    words = wanted.where(F.col(key).isNotNull()).select(place(F.col(key)).alias("_place")).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    at = rows.withColumn("_place", F.when(F.col(key).isNotNull(), place(F.col(key)))).withColumn("_word", word)
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return at.join(F.broadcast(words), "_word", "left").withColumn("_maybe", maybe).drop("_word", "_place", "_bits")
+
+
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be in ``wanted``, so that few others enter the join that follows."""
+    return marked(rows, key, wanted).where("_maybe").drop("_maybe")
+
+
+def one_of_each_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, every column, that stand for their class: those whose id is the class id.
+
+    Of rows with the same id the one with the smallest text stays; rows with a
+    null id all stay. Only rows that may have to go are moved.
+    """
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
+    again = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    keyed = marked(docs.withColumn("doc_id__", F.col(id_col).cast("long")), "doc_id__", gone.unionByName(again).withColumnRenamed("doc_id", "doc_id__"))
+    kept = keyed.where("_maybe").join(gone.withColumnRenamed("doc_id", "doc_id__"), "doc_id__", "left_anti")
+    first = Window.partitionBy("doc_id__").orderBy(F.col(text_col).asc_nulls_first())
+    kept = kept.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
+    return keyed.where(~F.col("_maybe")).select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def jaccard_classes(
@@ -224,8 +246,8 @@ def jaccard_classes(
     Two documents are linked if the Jaccard similarity of their shingle sets
     is at least ``threshold``; ``n_links`` counts the other rows a row is linked
     to, copies too. ``class_id`` is the smallest doc_id connected by links.
-    Null or blank texts have no shingles, stand alone and have no links. A
-    null doc_id has a null class and no links. Rows that repeat a doc_id with
+    Null or blank texts have no shingles and are copies of each other. A null
+    doc_id has a null class and no links. Rows that repeat a doc_id with
     different texts belong to one class; each keeps the links of its text.
     """
     facts = materialise(features(docs, width, runs, threshold, sample, id_col, text_col), "jaccard-features")
