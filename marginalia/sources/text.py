@@ -32,7 +32,7 @@ def hard_dataset(spark: SparkSession, path: str, variables: Sequence[Variable],
     lines = spark.read.text(path).select(body.alias("value")).where(F.col("value") != "")
 
     def cells(value):
-        return F.transform(F.split(value, _quoted(sep)), F.trim)
+        return F.transform(F.split(value, _quoted(sep)), lambda x: F.trim(x))
 
     top = lines.select(cells(F.col("value")).alias("c"), "value").take(1)
     if not top:
