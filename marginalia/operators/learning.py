@@ -126,7 +126,7 @@ def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable],
         a = a.join(t.where(F.col("_b") > 0).select(*scope), scope, "left_semi")
     n = a.agg(F.count(F.lit(1)).alias("_n"))
     a = a.crossJoin(F.broadcast(n)).select(*names, (F.lit(1.0) / F.col("_n")).alias(WEIGHT))
-    from marginalia.streaming.folders import written
+    from marginalia.folders import written
 
     for k in range(rounds):
         num, den, rows = F.lit(0.0), F.lit(0.0), a

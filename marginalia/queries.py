@@ -374,7 +374,7 @@ def network_from_crosstabs(spark, d):
 @query()
 def coalesce_crosstabs(spark, d):
     rows = sales(spark, d)
-    out = learning.coalesce_tables([ct.cross_table(rows, ["seg", "op"]), ct.cross_table(rows, ["op", "os"])], [SEGMENT, PRIORITY, ORDER_STATUS], rounds=20)
+    out = learning.coalesce_tables([ct.cross_table(rows, ["seg", "op"]), ct.cross_table(rows, ["op", "os"])], [SEGMENT, PRIORITY, ORDER_STATUS], rounds=8)
     return out.select("seg", "op", "os", F.round("weight", 6).alias("weight"))
 
 
@@ -605,18 +605,43 @@ def stream_crosstab_weighted(spark, d):
     return streamed(spark, d, lambda s: running(s, ["event_type"], "value"), "complete").select("event_type", F.round("weight", 4).alias("weight"))
 
 
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS \"end\", event_type, count(*)::DOUBLE AS weight FROM events GROUP BY ALL")
+def stream_crosstab_windows(spark, d):
+    from marginalia.streaming.crosstabs import windowed
+
+    return streamed(spark, d, lambda s: windowed(s, ["event_type"], "ts", "6 hours"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", user_id, event_type, count(*)::DOUBLE AS weight FROM s GROUP BY user_id, event_type, k"""
+)
+def stream_sessions(spark, d):
+    from marginalia.streaming.crosstabs import sessions
+
+    return streamed(spark, d, lambda s: sessions(s, "user_id", ["event_type"], "ts", "2 hours"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("SELECT previous, state, count(*)::DOUBLE AS weight FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS previous, event_type AS state FROM events) WHERE previous IS NOT NULL GROUP BY ALL")
+def stream_transitions(spark, d):
+    from marginalia.streaming.crosstabs import transitions
+
+    return ct.cross_table(streamed(spark, d, lambda s: transitions(s, "user_id", "event_type", "ts"), "append"), ["previous", "state"])
+
+
 def streamed(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
     """The result of a query over the events as a stream of what is there now, read from the table it wrote."""
     import uuid
 
-    from marginalia.streaming.folders import shared_folder
+    from marginalia.folders import shared_folder
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/rows")
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
 
     q = build(stream).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()

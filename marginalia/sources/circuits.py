@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.streaming.folders import written
+from marginalia.folders import written
 
 
 def read_nnf(spark: SparkSession, path: str) -> DataFrame:

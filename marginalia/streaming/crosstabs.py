@@ -16,16 +16,21 @@ def running(stream: DataFrame, variables: Sequence[str], weight: str | None = No
     return weighted(stream, weight).groupBy(*variables).agg(F.sum(WEIGHT).alias(WEIGHT))
 
 
+def timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """The stream with a watermark on its time, as a timestamp of the session's time zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed(stream: DataFrame, variables: Sequence[str], time: str, size: str, slide: str | None = None, late: str = "1 hour", weight: str | None = None) -> DataFrame:
     """Cross-tables of tumbling or sliding windows; rows later than ``late`` behind the watermark are dropped."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    grouped = weighted(stream.withWatermark(time, late), weight).groupBy(w.alias("window"), *variables)
+    grouped = weighted(timed(stream, time, late), weight).groupBy(w.alias("window"), *variables)
     return grouped.agg(F.sum(WEIGHT).alias(WEIGHT)).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *variables, WEIGHT)
 
 
 def sessions(stream: DataFrame, key: str, variables: Sequence[str], time: str, gap: str, late: str = "1 hour") -> DataFrame:
     """Cross-tables of sessions: rows of a key less than ``gap`` apart."""
-    grouped = weighted(stream.withWatermark(time, late)).groupBy(F.session_window(time, gap).alias("window"), key, *variables)
+    grouped = weighted(timed(stream, time, late)).groupBy(F.session_window(time, gap).alias("window"), key, *variables)
     return grouped.agg(F.sum(WEIGHT).alias(WEIGHT)).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, *variables, WEIGHT)
 
 
