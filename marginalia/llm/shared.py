@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.folders import written as materialise
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where the session leaves it unset (local tests) a temporary folder of this
-    machine is set, which is right only because driver and executors are then
-    one process.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: what follows reads files that survive the loss of
-    an executor. The folder is not deleted here, since the result reads it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "salted_rank", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +23,6 @@ def salted_rank(df: DataFrame, group: list[str], order: list, rank: str, salts:
     makes the ranks dense over the whole group. Rows equal in all order
     columns are interchangeable.
     """
-    from pyspark.sql import Window
-
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     window = Window.partitionBy(*group, "_salt").orderBy(*order)
     counts = salted.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
