@@ -584,6 +584,24 @@ def metropolis_sample(spark, d):
     return sampling.markov_chains(chain(spark, d), chains=4, length=50, method="metropolis", skip=2)
 
 
+@query(
+    """WITH r(rain, w) AS (VALUES (0, 0.8::DOUBLE), (1, 0.2)), s(sprinkler, w) AS (VALUES (0, 0.9::DOUBLE), (1, 0.1)),
+g(grass, rain, sprinkler, w) AS (VALUES (0,0,0,0.90::DOUBLE), (0,0,1,0.01), (0,1,0,0.02), (0,1,1,0.01), (1,0,0,0.09), (1,0,1,0.01), (1,1,0,0.08), (1,1,1,0.04), (2,0,0,0.01), (2,0,1,0.98), (2,1,0,0.90), (2,1,1,0.95))
+SELECT rain, round(sum(p) / sum(sum(p)) OVER (), 9) AS p FROM (SELECT g.rain, r.w * s.w * g.w AS p FROM g JOIN r USING (rain) JOIN s USING (sprinkler) WHERE grass = 2) GROUP BY rain"""
+)
+def example_sprinkler(spark, d):
+    from marginalia import examples
+
+    return inference.marginal(examples.network(spark, "sprinkler"), ["rain"], {"grass": 2}).select("rain", r9("p"))
+
+
+@query()
+def example_asia(spark, d):
+    from marginalia import examples
+
+    return inference.all_marginals(examples.network(spark, "asia"), {"xray": 0, "smoke": 1}).select("variable", "state", r9("p"))
+
+
 # ---------------------------------------------------------------- streams
 
 

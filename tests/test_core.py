@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia import examples
 from marginalia.catalog import Variable, condition, state_space, variables_of
 from marginalia.operators import crosstab as ct
 from marginalia.operators import divergence, evidence, factors, inference, learning, sampling
@@ -94,6 +95,26 @@ def test_student_grades(spark):
     assert got == pytest.approx({0: 0.447, 1: 0.2714, 2: 0.2816})
 
 
+MAKERS = [(examples.network, n) for n in ("sprinkler", "rain", "cancer", "earthquake", "survey")] + [(f, None) for f in (examples.loop, examples.clique, examples.star, examples.cnf, examples.stress)]
+
+
+@pytest.mark.parametrize("make, name", MAKERS, ids=lambda x: x if isinstance(x, str) else getattr(x, "__name__", ""))
+def test_examples(spark, make, name):
+    model = make(spark, name) if name else make(spark)
+    if name:
+        assert factors.is_bayesian(model)
+    elif make is examples.loop:
+        model = examples.loop(spark, 4, 3)
+    all_ = brute(model)
+    v = model.variables[-1]
+    assert inference.wmc(model, {v.name: 1}).first()[0] == pytest.approx(sum(w for x, w in all_.items() if x[-1] == 1))
+
+
+def test_asia(spark):
+    got = {(r.variable, r.state): r.p for r in inference.all_marginals(examples.network(spark, "asia")).collect()}
+    assert got["lung", 0] == pytest.approx(0.055) and got["tub", 0] == pytest.approx(0.0104) and got["either", 0] == pytest.approx(0.064828) and got["bronc", 0] == pytest.approx(0.45)
+
+
 def test_batch_and_soft_evidence(spark):
     model = student(spark)
     all_ = brute(model)
