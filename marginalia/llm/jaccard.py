@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
-from marginalia.llm.shared import materialise
+from marginalia.llm.shared import materialise, plain_names
 from marginalia.llm.shingles import WordHashes, mix, shingle_set, unit
 
 FEATURES = "doc_id long, h1 long, h2 long, size int, picks array<long>, sample binary"
@@ -229,13 +229,15 @@ def one_of_each_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
     Of rows with the same id the one with the smallest text stays; rows with a
     null id all stay. Only rows that may have to go are moved.
     """
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    again = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
-    keyed = marked(docs.withColumn("doc_id__", F.col(id_col).cast("long")), "doc_id__", gone.unionByName(again).withColumnRenamed("doc_id", "doc_id__"))
-    kept = keyed.where("_maybe").join(gone.withColumnRenamed("doc_id", "doc_id__"), "doc_id__", "left_anti")
-    first = Window.partitionBy("doc_id__").orderBy(F.col(text_col).asc_nulls_first())
-    kept = kept.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
-    return keyed.where(~F.col("_maybe")).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    plain, names, at = plain_names(docs)
+    plain = plain.withColumn("_id", F.col(at[id_col]).cast("long"))
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id"))
+    again = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_id"))
+    keyed = marked(plain, "_id", gone.unionByName(again))
+    first = Window.partitionBy("_id").orderBy(F.col(at[text_col]).asc_nulls_first())
+    kept = keyed.where("_maybe").join(gone, "_id", "left_anti").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
+    columns = list(at.values())
+    return keyed.where(~F.col("_maybe")).select(*columns).unionByName(kept.select(*columns)).toDF(*names)
 
 
 def jaccard_classes(

@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marginalia.llm.shared import plain_names
 
 BITS = 15
 UNKNOWN = "und"
@@ -221,18 +224,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def scored_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents, every column, with ``_lang_pred`` and ``_score``, without a join."""
-    from pyspark.sql import types as T
-
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    renamed = docs.toDF(*names)
-    schema = T.StructType([*renamed.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    at = docs.columns.index(text_col)
+    added = ("_lang_pred", "_score")
+    plain, names, where = plain_names(docs, added)
+    schema = T.StructType([*plain.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    at = plain.columns.index(where[text_col])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, model = Grams(), Model(*shared.value)
         for batch in batches:
             found = [model.predict(*grams.count(t.as_py())) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*names, "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*schema.names])
 
-    return renamed.mapInArrow(rows, schema).toDF(*docs.columns, "_lang_pred", "_score")
+    return plain.mapInArrow(rows, schema).toDF(*names, *added)

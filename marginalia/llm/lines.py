@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.shared import materialise
+from marginalia.llm.shared import materialise, plain_names
 
 BLANKS = b" \t\n\x0b\x0c\r"
 DROPPED, UNDECIDED, LAST = 0, 1, 2
@@ -159,10 +159,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
     Adds ``_n_lines`` and ``_n_dropped``.
     """
+    added = ("_n_lines", "_n_dropped")
+    plain, names, at = plain_names(docs, added)
     known = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_crc").alias("_crc"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    text = F.col(text_col).cast("string")
+    text = F.col(at[text_col]).cast("string")
     crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
-    joined = docs.join(known, (F.col(id_col).cast("long") == F.col("_id")) & (crc == F.col("_crc")), "left")
+    joined = plain.join(known, (F.col(at[id_col]).cast("long") == F.col("_id")) & (crc == F.col("_crc")), "left")
     kept = F.when(F.col("_keep").isNull(), text).otherwise(kept_lines(text, "_keep"))
     lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return joined.withColumns({text_col: kept, "_n_lines": F.coalesce("_n_lines", lines, F.lit(1)), "_n_dropped": F.coalesce("_n_dropped", F.lit(0))}).drop("_id", "_crc", "_keep")
+    out = joined.withColumns({at[text_col]: kept, "_n_lines": F.coalesce("_n_lines", lines, F.lit(1)), "_n_dropped": F.coalesce("_n_dropped", F.lit(0))})
+    return out.select(*plain.columns, *added).toDF(*names, *added)

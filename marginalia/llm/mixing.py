@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.shared import salted_rank
+from marginalia.llm.shared import plain_names, salted_rank
 
 SALTS = 64
 NONE = "\0none"
@@ -112,9 +112,11 @@ def mix(
     given = dict(weights or {})
     if default <= 0 or any(w <= 0 for w in given.values()):
         raise ValueError("weights are positive")
-    keyed = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)))
-    tie = F.xxhash64(*(F.col(c) for c in docs.columns))
-    keyed = keyed.withColumns({"_place": F.xxhash64(F.col(id_col), F.lit("mix")), "_tie": tie})
+    added = ("_source_rank", "_block", "_slot", "_position")
+    plain, names, at = plain_names(docs, added)
+    hashable = [c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = plain.withColumn("_source", F.coalesce(F.col(at[source_col]).cast("string"), F.lit(NONE)))
+    keyed = keyed.withColumns({"_place": F.xxhash64(at[id_col], F.lit("mix")), "_tie": F.xxhash64(*hashable)})
     full, counted = salted_rank(keyed, ["_source"], ["_place", "_tie"], "_source_rank", SALTS)
     totals: dict[str, int] = {}
     ahead: dict[str, list[int]] = {}
@@ -124,10 +126,7 @@ def mix(
     found = phases({s: -(-n // block) for s, n in totals.items()}, {s: given.get(s, default) for s in totals}, period)
     shared = spark.sparkContext.broadcast((ahead, found))  # SALTS + phases * period numbers a source
 
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    renamed = full.select(*docs.columns, "_source", "_salt", "_source_rank").toDF(*names, "_source", "_salt", "_source_rank")
-    added = [T.StructField(c, T.LongType()) for c in ("_source_rank", "_block", "_slot", "_position")]
-    schema = T.StructType([*renamed.select(*names).schema.fields, *added])
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
     width = len(names)
 
     def rows(batches):
@@ -142,6 +141,6 @@ def mix(
                 mine = names_ == s
                 slot[mine] = slot_of(found, s, nth[mine])
             extra = (rank, nth, slot, slot * block + rank % block)
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(x) for x in extra)], names=[*names, "_source_rank", "_block", "_slot", "_position"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(x) for x in extra)], names=[*schema.names])
 
-    return renamed.mapInArrow(rows, schema).toDF(*docs.columns, "_source_rank", "_block", "_slot", "_position")
+    return full.select(*plain.columns, "_source", "_salt", "_source_rank").mapInArrow(rows, schema).toDF(*names, *added)

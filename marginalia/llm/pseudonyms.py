@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.shared import plain_names
+
 ROUNDS = 10
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
@@ -208,17 +210,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     A null text stays null and counts 0. Rows are independent: repeated rows
     give repeated results, and an empty table an empty one.
     """
-    text = F.col(text_col).cast("string")
+    plain, names, at = plain_names(docs, ("_n_replaced",))
+    text = F.col(at[text_col]).cast("string")
     likely = text.rlike(r"[0-9][0-9 .()/-]{6}")
     for sign in ("@", "AKIA", "password=", 'token = "'):
         likely = likely | text.contains(sign)
     hit = likely & text.rlike(ANY)
     # one column a step, so that no step is worked out twice
-    out = docs.withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    out = plain.withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     out = out.withColumn("_fresh", F.transform("_found", lambda m: F.coalesce(pseudonym(key, m), m)))
     between = F.split(text, ANY, -1)
     filled = F.array_join(F.zip_with(between, F.concat("_fresh", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = F.size(F.filter(F.zip_with("_found", "_fresh", lambda m, p: p != m), lambda x: x))
     replaced = F.when(F.col("_found").isNull(), text).otherwise(filled)
     count = F.when(F.col("_found").isNull(), F.lit(0)).otherwise(changed)
-    return out.withColumns({text_col: replaced, "_n_replaced": count}).drop("_found", "_fresh")
+    return out.withColumns({at[text_col]: replaced, "_n_replaced": count}).select(*plain.columns, "_n_replaced").toDF(*names, "_n_replaced")

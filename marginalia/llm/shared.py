@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from marginalia.folders import written as materialise
 
-__all__ = ["materialise", "salted_rank", "table"]
+__all__ = ["materialise", "plain_names", "salted_rank", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_names(docs: DataFrame, added: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``docs`` with columns ``c0, c1, …``, so that no name clashes with an operator's own.
+
+    Columns named like those an operator adds are dropped first. Also returns
+    the old names in order, and the new name of each.
+    """
+    kept = docs.drop(*added)
+    plain = kept.toDF(*(f"c{k}" for k in range(len(kept.columns))))
+    return plain, kept.columns, dict(zip(kept.columns, plain.columns))
+
+
 def salted_rank(df: DataFrame, group: list[str], order: list, rank: str, salts: int = 128) -> tuple[DataFrame, DataFrame]:
     """Number rows within each sub-group ``(group, salt)`` from 0.
 

@@ -10,12 +10,12 @@ import pytest
 from marginalia.llm import jaccard, language, lines, mixing, packing, pseudonyms, scoring
 from marginalia.llm.queries import tokenizer_file
 
-DOCS = "doc_id long, text string, lang string, source string, keep string, _n_lines int"
+DOCS = "doc_id long, text string, lang string, source string, keep string, _n_lines int, _id string, _found string, _slot long, c0 string, label int"
 
 
 def docs_of(spark, texts, ids=None):
     ids = list(range(len(texts))) if ids is None else ids
-    return spark.createDataFrame([(i, t, "en", f"s{k % 3}", "x", 1) for k, (i, t) in enumerate(zip(ids, texts))], DOCS)
+    return spark.createDataFrame([(i, t, "en", f"s{k % 3}", "x", 1, "i", "f", 2, "c", 3) for k, (i, t) in enumerate(zip(ids, texts))], DOCS)
 
 
 def words(seed, n, size=4000):
@@ -46,10 +46,10 @@ def test_line_dedup(spark):
     texts += ["a hot line in every text\n" + " ".join(words(k, 6)) for k in range(60)] + ["y" * 300_000 + "\nthe same long line"]
     ids = [7, 3, 9, 1, 4, 11, 12, 3, *range(100, 160), None]
     docs = docs_of(spark, texts, ids)
-    kept = lines.apply_bitmaps(docs.drop("_n_lines"), lines.keep_bitmaps(docs))
+    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
     got = sorted(((r.doc_id, r._n_lines, r._n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in kept.collect()), key=repr)
     assert got == brute_lines(list(zip(ids, texts)))
-    assert lines.apply_bitmaps(docs.limit(0).drop("_n_lines"), lines.keep_bitmaps(docs.limit(0))).count() == 0
+    assert lines.apply_bitmaps(docs.limit(0), lines.keep_bitmaps(docs.limit(0))).count() == 0
 
 
 def test_line_ranges_that_split_a_hash():
@@ -328,7 +328,7 @@ def test_cross_entropy_difference(spark):
 def test_mixing(spark):
     n = {"a": 700, "b": 100, "c": 40, None: 9}
     rows = [(k, s) for s, m in n.items() for k in range(m)] + [(None, "a"), (0, "a"), (0, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    docs = spark.createDataFrame([(*r, "t", 1, 2) for r in rows], "doc_id long, source string, _source string, _salt int, _slot int")
     weights = {"a": 0.5, "b": 0.3, "c": 0.2, "absent": 1.0}
     got = mixing.mix(docs, weights, default=0.1, block=4, period=60).collect()
     assert sorted(((r.doc_id, r.source) for r in got), key=repr) == sorted(rows, key=repr)
