@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marginalia.catalog import Condition, condition, holds, state_space
 from marginalia.functions.scalar import ratio
 from marginalia.operators.factors import Model
+from marginalia.operators.space import Space
 from marginalia.plans.elimination import best_order, join_tree
 
 
@@ -97,6 +98,11 @@ def marginal(model: Model, variables: Sequence[str], cond: Condition | None = No
     return table.crossJoin(F.broadcast(z)).select(*variables, ratio(F.col("w"), F.col("_z")).alias("p"))  # z is one row
 
 
+def space(model: Model, variables: Sequence[str], cond: Condition | None = None) -> Space:
+    """The joint distribution of some variables as a probability space, for all its measures."""
+    return Space(marginal(model, variables, cond).withColumnRenamed("p", "weight"))
+
+
 def probability(model: Model, event: Condition, cond: Condition | None = None) -> DataFrame:
     """``p`` of the event under the condition, from one elimination that keeps the event's variables."""
     event = condition(event)

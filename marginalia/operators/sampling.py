@@ -202,3 +202,46 @@ def markov_chains(
 
     schema = "chain long, step long, " + ", ".join(f"`{v}` int" for v in names)
     return spark.range(chains).withColumnRenamed("id", "chain").groupBy("chain").applyInPandas(run, schema)
+
+
+def chained(model: Model, pairs: dict[str, str], chains: int, length: int, initial: Condition | None = None, cond: Condition | None = None, seed: int = 1, most_cells: int = 1_000_000) -> DataFrame:
+    """``chain, step`` and the variables: samples in which each ``pairs`` value copies its key's state of the step before.
+
+    The first step follows the model under ``initial``, the others under the
+    copied states; ``cond`` holds throughout. The joint table of all variables,
+    of at most ``most_cells`` rows, goes along with the tasks, one per chain. A
+    chain ends early where the copied states have no weight.
+    """
+    names = [v.name for v in model.variables]
+    unknown = {*pairs, *pairs.values()} - set(names)
+    if unknown or len(set(pairs.values())) != len(pairs):
+        raise ValueError(f"inconsistent pairs {pairs}")
+    _, joint = eliminate(tables(model, cond), model.sizes, names)
+    held = joint.select(*names, "w").where(F.col("w") > 0).limit(most_cells + 1).collect()  # most_cells at most
+    if len(held) > most_cells:
+        raise ValueError(f"the joint table has over {most_cells} rows")
+    cells = np.array([tuple(r)[:-1] for r in held], dtype=np.int64).reshape(-1, len(names))
+    weights = np.array([r["w"] for r in held])
+    start = np.ones(len(cells), dtype=bool)
+    for name, states in condition(initial).items():
+        start &= np.isin(cells[:, names.index(name)], states)
+    copies = [(names.index(a), names.index(b)) for a, b in pairs.items()]
+    spark = joint.sparkSession
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chain = int(pdf["chain"].iloc[0])
+        rng = np.random.default_rng((seed, chain))
+        rows, allowed = [], start
+        for t in range(length):
+            w = np.where(allowed, weights, 0.0)
+            if w.sum() <= 0:
+                break
+            x = cells[int(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), side="right"))]
+            rows.append((chain, t, *x.tolist()))
+            allowed = np.ones(len(cells), dtype=bool)
+            for a, b in copies:
+                allowed &= cells[:, b] == x[a]
+        return pd.DataFrame(rows, columns=["chain", "step", *names])
+
+    schema = "chain long, step long, " + ", ".join(f"`{v}` int" for v in names)
+    return spark.range(chains).withColumnRenamed("id", "chain").groupBy("chain").applyInPandas(run, schema)

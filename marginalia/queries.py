@@ -602,6 +602,22 @@ def example_asia(spark, d):
     return inference.all_marginals(examples.network(spark, "asia"), {"xray": 0, "smoke": 1}).select("variable", "state", r9("p"))
 
 
+@query("SELECT c.range AS chain, t.range AS step, (t.range % 4)::INTEGER AS x, ((t.range + 3) % 4)::INTEGER AS prev FROM range(3) c, range(12) t")
+def chained_sample(spark, d):
+    x, prev = Variable("x", (0, 1, 2, 3)), Variable("prev", (0, 1, 2, 3))
+    uniform = factors.dense(spark, [prev], [0.25] * 4)
+    step = factors.functional(spark, x, [prev], lambda p: (p + 1) % 4)
+    return sampling.chained(Model((x, prev), (step, uniform)), {"x": "prev"}, chains=3, length=12, initial={"x": 0})
+
+
+@query(
+    f"""WITH {SALES}, pxy AS (SELECT seg, os, sum(w) AS p FROM full_ GROUP BY seg, os), px AS (SELECT seg, sum(p) AS p FROM pxy GROUP BY seg), py AS (SELECT os, sum(p) AS p FROM pxy GROUP BY os)
+SELECT round((SELECT -sum(p * log2(p)) FROM pxy), 9) AS joint_entropy, round((SELECT -sum(p * log2(p)) FROM px), 9) AS entropy_x, round((SELECT -sum(p * log2(p)) FROM py), 9) AS entropy_y"""
+)
+def model_measures(spark, d):
+    return inference.space(chain(spark, d), ["seg", "os"]).measures("seg", "os").select(r9("joint_entropy"), r9("entropy_x"), r9("entropy_y"))
+
+
 # ---------------------------------------------------------------- streams
 
 
