@@ -332,3 +332,34 @@ def test_circuit_files(spark, tmp_path):
     values = parameters.unionByName(spark.createDataFrame([(1, 1.0), (-1, 0.0)], "literal int, value double"))
     got = {r.node: r.value for r in circuits.evaluate(nodes, values).collect()}
     assert got == {0: 1, 1: 0, 2: 0.25, 3: 0.25, 4: 0.25, 5: 1, 6: 1.25}
+
+
+def test_chained_samples(spark):
+    x, prev = Variable("x", (0, 1, 2, 3)), Variable("prev", (0, 1, 2, 3))
+    cycle = factors.functional(spark, x, [prev], lambda p: (p + 1) % 4)
+    model = Model((x, prev), (cycle, factors.dense(spark, [prev], [0.25] * 4)))
+    rows = sampling.chained(model, {"x": "prev"}, chains=2, length=9, initial={"x": 2}).orderBy("chain", "step").collect()
+    assert [r.x for r in rows] == [(2 + t) % 4 for t in range(9)] * 2
+    with pytest.raises(ValueError):
+        sampling.chained(model, {"x": "nothing"}, chains=1, length=1)
+
+
+def test_model_space(spark):
+    s = inference.space(student(spark), ["grade", "sat"], {"intelligent": 0})
+    assert s.measures("grade", "sat").first().mutual_information == pytest.approx(0, abs=1e-9)
+
+
+def test_training_from_soft_rows(spark):
+    soft = spark.createDataFrame([([0.5, 0.5], [1.0, 0.0, 0.0], 1.0), ([0.0, 1.0], [0.0, 0.5, 0.5], 2.0)], "x array<double>, y array<double>, weight double")
+    model = learning.train_soft(soft, [X, Y], {"x": [], "y": ["x"]})
+    assert dict(rows_of(model.factors[0].table)) == pytest.approx({0: 1 / 6, 1: 5 / 6})
+    assert dict(rows_of(model.factors[1].table.where("x = 1").select("y", "w"))) == pytest.approx({0: 0.2, 1: 0.4, 2: 0.4})
+
+
+@pytest.mark.parametrize("method", ["first", "sum", "all"])
+def test_networks_from_tables(spark, method):
+    xy = spark.createDataFrame([(a, b, float(1 + a * 3 + b)) for a in range(2) for b in range(3)], "x int, y int, weight double")
+    model = learning.network_from_tables(spark, [xy, ct.project(xy, ["y"])], [X, Y], method)
+    assert factors.is_bayesian(model)
+    joint = inference.marginal(model, ["x", "y"]).collect()
+    assert {(r.x, r.y): r.p for r in joint} == pytest.approx({(a, b): (1 + a * 3 + b) / 21 for a in range(2) for b in range(3)})
