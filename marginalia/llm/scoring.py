@@ -37,7 +37,7 @@ PARTIAL = "row long, n long, target double, target_own double, background double
 class WordIds(dict):
     """Ids of words: their place in the vocabulary, or RARE."""
 
-    def __init__(self, vocabulary: np.ndarray, kept: int = 500_000):
+    def __init__(self, vocabulary: np.ndarray, kept: int = 250_000):
         super().__init__()
         self.place = {h: k + 2 for k, h in enumerate(vocabulary.tolist())}
         self.kept = kept
@@ -57,10 +57,14 @@ def bigram_keys(text: str | None, ids: WordIds) -> np.ndarray:
 
 
 def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the ``size - 2`` most frequent words of all documents, ties by hash."""
+    """Hashes of the most frequent words of all documents: all above the largest count that leaves at most ``size - 2``.
+
+    A histogram of counts gives that border, so no more than ``size`` words
+    ever reach the driver.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = WordHashes(), [], 0
+        words, held, n = WordHashes(250_000), [], 0
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -78,8 +82,19 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
             yield flush()
 
     counted = docs.select("text").mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(size - 2).collect()  # ``size`` rows at most
-    return np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
+    counted = materialise(counted, "scoring-words")
+    level = F.least(F.col("n"), F.lit(1 << 16))  # 65,536 counts at most; there are rarely as many words above them as fit
+    levels = sorted((r["level"], r["count"]) for r in counted.groupBy(level.alias("level")).count().collect())
+    border, words = 0, sum(n for _, n in levels)
+    for at, n in levels:
+        if words <= size - 2:
+            break
+        border, words = at, words - n
+    if words == 0 and levels:  # more words share the top level than fit: order them by their counts
+        frequent = counted.where(F.col("n") >= border).orderBy(F.desc("n"), "word").limit(size - 2)
+    else:
+        frequent = counted.where(F.col("n") > border)
+    return np.sort(np.array([r["word"] for r in frequent.select("word").collect()], dtype=np.int64)).view(np.uint64)
 
 
 def bigram_counts(docs: DataFrame, words, name: str) -> DataFrame:
@@ -192,8 +207,10 @@ def cross_entropy_difference(
                     held += [np.frombuffer(x, dtype="<i8").reshape(3, -1) for x in packed]
                     continue
                 if model is None:
-                    model = np.concatenate(held, axis=1)
-                    model, held = model[:, np.argsort(model[0])], []
+                    keys = np.concatenate([m[0] for m in held])
+                    order = np.argsort(keys)
+                    model = (keys[order], *(np.concatenate([m[k] for m in held])[order] for k in (1, 2)))
+                    held, keys, order = [], None, None
                 for start in range(0, hi - lo, 2000):
                     mine = packed[start : start + 2000]
                     sizes = [len(x) // 4 for x in mine]
