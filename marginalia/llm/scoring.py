@@ -1,18 +1,20 @@
 """Cross-entropy difference of documents under matched target and background bigram models.
 
-Both models share one vocabulary, the most frequent words of the corpus, and
-one smoothing:
+Both models share one vocabulary, all words of the corpus, and one smoothing:
 
     P(w | v) = a * c(v, w) / c(v) + b * c(w) / N + (1 - a - b) / V
 
 The background is counted over all documents, the target over the documents of
 interest. A document is never judged by its own bigrams: its counts are taken
 off before the probabilities are formed. The score is the mean over tokens of
-``log P_background - log P_target``; the lower, the more like the target.
-
-The bigram table grows with the corpus and is never broadcast. It is dealt in
-parts by context word; each document sends every part the bigrams it has there,
-packed in 4 bytes each, and gets a partial sum back.
+``log P_background - log P_target``; the lower, the more like the target. V is
+the number of distinct words and two more.
+
+A word is a 64-bit code: the most frequent words have short ones, which take
+less room in shuffles, all others their hash. The bigram table grows with the
+corpus and is never broadcast. Its words' counts join it; then it is dealt in
+parts by context word, where the counts of contexts are summed. Each document
+sends every part the bigrams it has there and gets a partial sum back.
 """
 
 from __future__ import annotations
@@ -29,31 +31,39 @@ from marginalia.llm.jaccard import narrowed
 from marginalia.llm.shared import materialise
 from marginalia.llm.shingles import WordHashes, mix
 
-START, RARE = 0, 1  # ids; words follow
+START = 0  # a code; those of frequent words follow from 2
+SHORT = 1 << 16  # short codes are below
 FLUSH = 1 << 21
 PARTIAL = "row long, n long, target double, target_own double, background double"
 
 
-class WordIds(dict):
-    """Ids of words: their place in the vocabulary, or RARE."""
+class WordCodes(dict):
+    """Codes of words: the place among the frequent words, or the word's hash."""
 
-    def __init__(self, vocabulary: np.ndarray, kept: int = 250_000):
+    def __init__(self, frequent: np.ndarray, kept: int = 250_000):
         super().__init__()
-        self.place = {h: k + 2 for k, h in enumerate(vocabulary.tolist())}
+        self.place = {h: k + 2 for k, h in enumerate(frequent.tolist())}
         self.kept = kept
 
     def __missing__(self, word: str) -> int:
-        found = self.place.get(xxhash.xxh3_64_intdigest(word), RARE)
+        h = xxhash.xxh3_64_intdigest(word)
+        found = self.place.get(h, h)
         if len(self) < self.kept:
             self[word] = found
         return found
 
 
-def bigram_keys(text: str | None, ids: WordIds) -> np.ndarray:
-    """Context id * 65,536 + word id, of every word of the lower-cased text."""
+def bigrams(text: str | None, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the context and of the word, for every word of the lower-cased text."""
     words = (text or "").lower().split()
-    w = np.fromiter(map(ids.__getitem__, words), dtype=np.uint32, count=len(words))
-    return (np.append(np.uint32(START), w[:-1]).astype(np.uint32) << np.uint32(16)) | w if len(w) else w
+    w = np.fromiter(map(codes.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.append(np.uint64(START), w[:-1])[: len(w)], w
+
+
+def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number a bigram: below 2^32 for two short codes, else a hash with the highest bit set."""
+    long = mix(mix(v, 7) + w, 8) | np.uint64(1 << 63)
+    return np.where((v < SHORT) & (w < SHORT), v << np.uint64(16) | w, long)
 
 
 def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
@@ -98,27 +108,27 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def bigram_counts(docs: DataFrame, words, name: str) -> DataFrame:
-    """``key, name``: how often each bigram occurs."""
+    """``v, w, name``: how often each bigram occurs, with several rows for some."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, n = WordIds(words.value), [], 0
+        codes, held, n = WordCodes(words.value), [], 0
 
         def flush():
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], names=["key", "n"])
+            v, w = (np.concatenate(x) for x in zip(*held))
+            _, first, c = np.unique(bigram_keys(v, w), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(c)], names=["v", "w", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                keys = bigram_keys(text.as_py(), ids)
-                held.append(keys)
-                n += len(keys)
+                held.append(bigrams(text.as_py(), codes))
+                n += len(held[-1][0])
                 if n >= 2 * FLUSH:
                     yield flush()
                     held, n = [], 0
         if n:
             yield flush()
 
-    return docs.select("text").mapInArrow(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias(name))
+    return docs.select("text").mapInArrow(rows, "v long, w long, n long").withColumnRenamed("n", name)
 
 
 def part_of(context: np.ndarray, parts: int) -> np.ndarray:
@@ -131,67 +141,84 @@ def cross_entropy_difference(
     """``doc_id, n_tokens, target_entropy, background_entropy, score`` of every row, in nats per token.
 
     ``target_ids`` has a column ``doc_id``; ids that are not in ``docs``, and
-    repeated ones, do no harm. ``size`` is at most 65,536. A text without words
-    has 0 tokens and null entropies and score. Rows that repeat a doc_id are
+    repeated ones, do no harm. ``size``, at most 65,536, bounds the words with
+    short codes and leaves the results as they are. A text without words has 0
+    tokens and null entropies and score. Rows that repeat a doc_id are
     scored each by its own text; a null doc_id is never in the target. With an
     empty target its model is uniform.
     """
-    if not 2 < size <= 1 << 16:
-        raise ValueError("the vocabulary has 3 to 65,536 ids")
+    if not 2 < size <= SHORT:
+        raise ValueError("there are 3 to 65,536 short codes")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     words = spark.sparkContext.broadcast(vocabulary(texts, size))  # ``size`` numbers
 
     target = narrowed(texts.where(F.col("doc_id").isNotNull()), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
-    both = bigram_counts(texts, words, "b").join(bigram_counts(target, words, "t"), "key", "left").select("key", "b", F.coalesce("t", F.lit(0)).cast("long").alias("t"))
-    table = materialise(both, "scoring-bigrams")
+    zero = F.lit(0).cast("long")
+    background = bigram_counts(texts, words, "b").withColumn("t", zero)
+    both = background.unionByName(bigram_counts(target, words, "t").withColumn("b", zero))
+    table = materialise(both.groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "scoring-bigrams")
+    single = materialise(table.groupBy("w").agg(F.sum("b").alias("wb"), F.sum("t").alias("wt")), "scoring-counts")
+    short = F.col("w").between(0, SHORT - 1)
+    counted = table.where(short).join(F.broadcast(single.where(short)), "w")  # at most ``size`` rows
+    counted = counted.unionByName(table.where(~short).join(single.where(~short), "w"))
 
-    def summed(by: str) -> np.ndarray:
-        out = np.zeros((1 << 16, 2), dtype=np.int64)
-        for k, b, t in table.groupBy(F.expr(by).cast("int").alias("k")).agg(F.sum("b"), F.sum("t")).collect():  # one row per id
-            out[k] = b, t
-        return out
-
-    context, single = summed("shiftright(key, 16)"), summed("key & 65535")
     parts = max(8, -(-table.count() // part_rows))
-    shared = spark.sparkContext.broadcast((context, single, single.sum(axis=0), len(words.value) + 2))
+    n_words, *total = single.agg(F.count("w"), F.coalesce(F.sum("wb"), zero), F.coalesce(F.sum("wt"), zero)).first()
+    packed_names = ["part", "row", "low", "high", "counts", "own"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(words.value)
+        codes = WordCodes(words.value)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, n = np.unique(bigram_keys(text.as_py(), ids), return_counts=True)
-                if not len(keys):
+                v, w = bigrams(text.as_py(), codes)
+                if not len(v):
                     continue
-                part = part_of(keys >> np.uint32(16), parts)
+                _, context, often = np.unique(v, return_inverse=True, return_counts=True)
+                keys, first, n = np.unique(bigram_keys(v, w), return_index=True, return_counts=True)
+                part = part_of(v[first], parts)
                 order = np.argsort(part, kind="stable")
-                keys, n, part = keys[order].astype("<u4"), n[order].astype("<u4"), part[order]
+                keys, part = keys[order], part[order]
+                low, high = keys.astype("<u4"), (keys >> np.uint64(32)).astype("<u4")
+                n, own = n[order].astype("<u4"), often[context[first[order]]].astype("<u4")
                 cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
                 for lo, hi in zip(cuts, cuts[1:]):
-                    for column, value in zip(out, (int(part[lo]), row, keys[lo:hi].tobytes(), n[lo:hi].tobytes())):
+                    for column, value in zip(out, (int(part[lo]), row, *(x[lo:hi].tobytes() for x in (low, high, n, own)))):
                         column.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["part", "row", "keys", "counts"])
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=packed_names)
 
     def model_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, b, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "b", "t"))
-            part = part_of(keys >> 16, parts)
+            v, w, *counts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "w", "b", "t", "wb", "wt"))
+            v, w = v.view(np.uint64), w.view(np.uint64)
+            found = np.stack([bigram_keys(v, w).view(np.int64), v.view(np.int64), *counts])
+            part = part_of(v, parts)
             for p in np.unique(part):
-                mine = part == p
-                packed = np.stack([keys[mine], b[mine], t[mine]]).astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([-1], pa.int64()), pa.array([packed]), pa.array([b""])], names=["part", "row", "keys", "counts"])
+                packed = found[:, part == p].astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([-1], pa.int64()), pa.array([packed]), *[pa.array([b""])] * 3], names=packed_names)
+
+    def loaded(held: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Sorted keys, and the counts of bigram, context and word in background and target."""
+        keys, v, *counts = (np.concatenate([m[k] for m in held]) for k in range(6))
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        b, t, wb, wt = (x[order] for x in counts)
+        context = np.unique(v[order], return_inverse=True)[1]
+        cb, ct = (np.bincount(context, weights=x)[context].astype(np.int64) for x in (b, t))
+        return keys[order], b, t, cb, ct, wb, wt
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, single, total, v = shared.value
-        uniform = (1 - bigram - unigram) / v
-        backoff = np.where(total > 0, unigram * single / np.maximum(total, 1), 0.0) + uniform
+        uniform = (1 - bigram - unigram) / (n_words + 2)
 
         def log_p(pair, ctx, word, k):
             rate = np.where(ctx > 0, bigram * np.maximum(pair, 0) / np.maximum(ctx, 1), 0.0)
-            return np.log(rate + backoff[word, k])
+            return np.log(rate + unigram * word / max(total[k], 1) + uniform)
+
+        def numbers(batch, name, lo, hi):
+            return np.frombuffer(b"".join(batch.column(name).slice(lo, hi - lo).to_pylist()), dtype="<u4")
 
         now, held, model = None, [], None
         for batch in batches:
@@ -202,33 +229,27 @@ def cross_entropy_difference(
                     continue
                 if part[lo] != now:
                     now, held, model = part[lo], [], None
-                packed = batch.column("keys").slice(lo, hi - lo).to_pylist()
+                packed = batch.column("low").slice(lo, hi - lo).to_pylist()
                 if row[lo] < 0:
-                    held += [np.frombuffer(x, dtype="<i8").reshape(3, -1) for x in packed]
+                    held += [np.frombuffer(x, dtype="<i8").reshape(6, -1) for x in packed]
                     continue
                 if model is None:
-                    keys = np.concatenate([m[0] for m in held])
-                    order = np.argsort(keys)
-                    model = (keys[order], *(np.concatenate([m[k] for m in held])[order] for k in (1, 2)))
-                    held, keys, order = [], None, None
-                for start in range(0, hi - lo, 2000):
-                    mine = packed[start : start + 2000]
-                    sizes = [len(x) // 4 for x in mine]
-                    keys = np.frombuffer(b"".join(mine), dtype="<u4").astype(np.int64)
-                    n = np.frombuffer(b"".join(batch.column("counts").slice(lo + start, len(mine)).to_pylist()), dtype="<u4").astype(np.int64)
-                    owner = np.repeat(np.arange(len(mine)), sizes)
+                    model, held = loaded(held), []
+                for start in range(lo, hi, 2000):
+                    end = min(hi, start + 2000)
+                    sizes = [len(x) // 4 for x in packed[start - lo : end - lo]]
+                    keys = numbers(batch, "low", start, end) | numbers(batch, "high", start, end).astype(np.uint64) << np.uint64(32)
+                    n, own = (numbers(batch, c, start, end).astype(np.int64) for c in ("counts", "own"))
+                    owner = np.repeat(np.arange(end - start), sizes)
                     at = np.searchsorted(model[0], keys)
-                    v_, w_ = keys >> 16, keys & 0xFFFF
-                    run = np.append(0, np.cumsum((v_[1:] != v_[:-1]) | (owner[1:] != owner[:-1])))
-                    own = np.bincount(run, weights=n)[run].astype(np.int64)
-                    b, t = model[1][at], model[2][at]
-                    sums = [np.bincount(owner, weights=n * x, minlength=len(mine)) for x in (log_p(t, context[v_, 1], w_, 1), log_p(t - n, context[v_, 1] - own, w_, 1), log_p(b - n, context[v_, 0] - own, w_, 0))]
-                    tokens = np.bincount(owner, weights=n, minlength=len(mine)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(row[lo + start : lo + start + len(mine)]), pa.array(tokens), *(pa.array(-x) for x in sums)], names=["row", "n", "target", "target_own", "background"])
-
-    packed = "part int, row long, keys binary, counts binary"
+                    b, t, cb, ct, wb, wt = (x[at] for x in model[1:])
+                    sums = [np.bincount(owner, weights=n * x, minlength=end - start) for x in (log_p(t, ct, wt, 1), log_p(t - n, ct - own, wt, 1), log_p(b - n, cb - own, wb, 0))]
+                    tokens = np.bincount(owner, weights=n, minlength=end - start).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(row[start:end]), pa.array(tokens), *(pa.array(-x) for x in sums)], names=["row", "n", "target", "target_own", "background"])
+
+    packed = "part int, row long, low binary, high binary, counts binary, own binary"
     numbered = texts.withColumn("row", F.monotonically_increasing_id())  # the same in every run over the same files
-    sent = numbered.select("row", "text").mapInArrow(dealt, packed).unionByName(table.mapInArrow(model_rows, packed))
+    sent = numbered.select("row", "text").mapInArrow(dealt, packed).unionByName(counted.mapInArrow(model_rows, packed))
     found = sent.repartition(parts, "part").sortWithinPartitions("part", "row").mapInArrow(judged, PARTIAL)
     sums = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n", "target", "target_own", "background")))
     flagged = numbered.select("row", "doc_id").join(wanted.withColumn("_in", F.lit(True)), "doc_id", "left").join(sums, "row", "left")

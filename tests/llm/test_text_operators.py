@@ -322,6 +322,26 @@ def test_cross_entropy_difference(spark):
     assert scoring.cross_entropy_difference(docs, target.limit(0)).count() == len(texts)
 
 
+def test_every_word_is_scored_as_itself(spark):
+    import math
+
+    many = " ".join(f"x{k}" for k in range(70_000))
+    docs = spark.createDataFrame([(0, many), (1, "x7 x8 x7"), (2, "x7 x9 x7")], "doc_id long, text string")
+    target = spark.createDataFrame([(1,)], "doc_id long")
+    got = {r.doc_id: r for r in scoring.cross_entropy_difference(docs, target).collect()}
+    total, uniform = 70_006, 0.05 / 70_002
+    single = {"x7": 5, "x8": 2, "x9": 2}
+    after = 0.6 * 1 / 2  # x8 follows x7 in one of the two other places
+
+    def entropy(words, rates):
+        return -sum(math.log(r + 0.35 * single[w] / total + uniform) for w, r in zip(words, rates)) / 3
+
+    assert abs(got[1].background_entropy - entropy(["x7", "x8", "x7"], [0.6 / 2, after, 0])) < 1e-9
+    assert abs(got[2].background_entropy - entropy(["x7", "x9", "x7"], [0.6 / 2, 0, 0])) < 1e-9
+    few = {r.doc_id: r for r in scoring.cross_entropy_difference(docs, target, size=4).collect()}
+    assert all(abs(few[k].score - got[k].score) < 1e-9 for k in got)
+
+
 # ---------------------------------------------------------------- mixing
 
 
