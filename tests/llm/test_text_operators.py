@@ -141,6 +141,17 @@ def test_jaccard_join(spark):
     assert jaccard.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_split_buckets_lose_no_pairs(spark):
+    base, texts = words(5, 200), []
+    for k in range(300):
+        w = list(base)
+        for j in random.Random(k).sample(range(200), 2):
+            w[j] = f"f{k}-{j}"
+        texts.append(" ".join(w))
+    got = sorted((tuple(r) for r in jaccard.jaccard_classes(docs_of(spark, texts), leaf=16).collect()), key=repr)
+    assert got == brute_classes(list(enumerate(texts)))
+
+
 def test_one_of_each_class(spark):
     docs = docs_of(spark, ["a", "b", "c", "d", "e", "d2"], [1, 2, 3, 4, None, 4])
     classes = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (None, None)], "doc_id long, class_id long")
