@@ -3,9 +3,9 @@
 Each source's documents are cut into blocks. Block ``i`` of a source of weight
 ``w`` is released at slot ``floor(i / w)`` and due at ``ceil((i + 1) / w)``;
 serving the earliest deadline among the released blocks keeps every source
-within one block of its weight at every slot. Weights are fractions with the
-denominator ``period``, so the schedule repeats after ``period`` slots and a
-table of that many slots, whatever the number of blocks, places all of them.
+within one block of its weight at every slot. Weights are exact fractions, so
+the schedule repeats after as many slots as their common denominator; a table
+of that many slots, or of all slots if they are fewer, places all blocks.
 
 Sources run out at different times: then a new phase begins, in which the
 remaining sources share the slots by their renormalised weights. Nothing is
@@ -16,6 +16,8 @@ source, which salted windows give without collecting a source in one task.
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,54 +31,58 @@ SALTS = 64
 NONE = "\0none"
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of ``period`` by largest remainder, at least 1 each."""
-    total = sum(weights.values())
-    exact = {k: w / total * period for k, w in weights.items()}
-    share = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))
-    k = 0
-    while sum(share.values()) < period:
-        share[order[k % len(order)]] += 1
-        k += 1
-    while sum(share.values()) > period:
-        most = max(share, key=lambda k: (share[k] - exact[k] if share[k] > 1 else -period, k))
-        share[most] -= 1
-    return share
-
-
-def pfair(share: dict[str, int], period: int) -> list[str]:
-    """The source of each slot of one period, earliest deadline first among released blocks."""
-    released: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for name, a in share.items():
-        for i in range(a):
-            released[i * period // a].append((-(-(i + 1) * period // a), name, i))
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The smallest whole numbers in the proportion of the weights as they are written in decimals."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    share = {k: int(x * scale) for k, x in exact.items()}
+    common = math.gcd(*share.values())
+    return {k: a // common for k, a in share.items()}
+
+
+def pfair(share: dict[str, int], period: int, blocks: dict[str, int] | None = None) -> list[str]:
+    """The source of each slot of one period, earliest deadline first among released blocks.
+
+    It ends early with the last of some source's ``blocks``.
+    """
+    coming = [(0, name, 0) for name in share]
     ready: list[tuple[int, str, int]] = []
-    slots = []
+    slots: list[str] = []
     for t in range(period):
-        for block in released[t]:
-            heapq.heappush(ready, block)
-        due, name, _ = heapq.heappop(ready)
+        while coming and coming[0][0] <= t:
+            _, name, i = heapq.heappop(coming)
+            a = share[name]
+            heapq.heappush(ready, (-(-(i + 1) * period // a), name, i))
+            if i + 1 < a:
+                heapq.heappush(coming, ((i + 1) * period // a, name, i + 1))
+        due, name, i = heapq.heappop(ready)
         if due <= t:
             raise ValueError("weights exceed one")
         slots.append(name)
+        if blocks and i + 1 == blocks[name]:
+            break
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
+def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
     """Phases until all blocks are placed: start slot, and per source its first block, number, and slots in a period."""
     left, done, start, found = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        size = max(period, len(left))
-        share = shares({k: weights[k] for k in left}, size)
-        slots = pfair(share, size)
+        share = whole({k: weights[k] for k in left})
+        size = sum(share.values())
+        slots = pfair(share, size, left)
         nth: dict[str, list[int]] = {k: [] for k in left}
         for t, name in enumerate(slots):
             nth[name].append(t)
-        last = {k: (n - 1) // share[k] * size + nth[k][(n - 1) % share[k]] for k, n in left.items()}
-        end = min(last.values()) + 1  # some source's last block has been served
-        served = {k: end // size * share[k] + int(np.searchsorted(nth[k], end % size)) for k in left}
-        found.append({"start": start, "parts": {k: (done[k], served[k], share[k], nth[k]) for k in left}, "size": size})
+        if any(len(nth[k]) == n for k, n in left.items()):  # a source's last block has been served
+            end, size = len(slots), len(slots)
+            served = {k: len(nth[k]) for k in left}
+            share = {k: max(1, n) for k, n in served.items()}
+        else:
+            last = {k: (n - 1) // share[k] * size + nth[k][(n - 1) % share[k]] for k, n in left.items()}
+            end = min(last.values()) + 1
+            served = {k: end // size * share[k] + int(np.searchsorted(nth[k], end % size)) for k in left}
+        found.append({"start": start, "parts": {k: (done[k], served[k], share[k], np.array(nth[k], dtype=np.int64)) for k in left}, "size": size})
         for k, n in served.items():
             done[k] += n
             left[k] -= n
@@ -92,7 +98,7 @@ def slot_of(found: list[dict], source: str, block: np.ndarray) -> np.ndarray:
             first, n, share, nth = phase["parts"][source]
             here = (block >= first) & (block < first + n)
             k = block[here] - first
-            slot[here] = phase["start"] + k // share * phase["size"] + np.array(nth, dtype=np.int64)[k % share]
+            slot[here] = phase["start"] + k // share * phase["size"] + nth[k % share]
     return slot
 
 
@@ -105,8 +111,10 @@ def mix(
     A null source is a source of its own, with the default weight. Within a
     source, rows go in an order set by a hash of the id; repeated ids, nulls
     too, are separate rows. ``_position`` counts from 0 and is unique, but
-    leaves gaps after a source's last, shorter block. The number of sources is
-    taken to fit the driver; the number of rows and blocks is not.
+    leaves gaps after a source's last, shorter block. ``period`` has no effect any
+    more: weights are exact. The number of sources is taken to fit the driver,
+    and so is the smaller of the weights' common denominator and the number of
+    blocks; the number of rows is not.
     """
     spark = docs.sparkSession
     given = dict(weights or {})
@@ -123,8 +131,8 @@ def mix(
     for source, salt, n in sorted(tuple(r) for r in counted.collect()):  # SALTS rows of each source
         ahead.setdefault(source, [0] * SALTS)[salt] = totals.get(source, 0)
         totals[source] = totals.get(source, 0) + n
-    found = phases({s: -(-n // block) for s, n in totals.items()}, {s: given.get(s, default) for s in totals}, period)
-    shared = spark.sparkContext.broadcast((ahead, found))  # SALTS + phases * period numbers a source
+    found = phases({s: -(-n // block) for s, n in totals.items()}, {s: given.get(s, default) for s in totals})
+    shared = spark.sparkContext.broadcast((ahead, found))  # SALTS numbers a source, and the slots of each phase
 
     schema = T.StructType([*plain.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
     width = len(names)
