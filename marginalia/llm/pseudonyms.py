@@ -19,7 +19,9 @@ date        a day of the Gregorian calendar, years 1800    189 x 773, the days o
 email       a local part, @ and a domain name              letters and digits of the
                                                            local part, each in its
                                                            class
-secret      AKIA key ids, values of password= and token=   as email
+secret      AKIA key ids; values of names that end in      as email
+            password or token, in any case, after = or :,
+            of any length, quoted or not
 ==========  =============================================  ==========================
 
 Numbers that fail their validation stay as they are.
@@ -34,9 +36,11 @@ from marginalia.llm.shared import plain_names
 
 ROUNDS = 10
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+NAMED = r"""(?i:password|token)["']?[ \t]{0,8}[:=]"""
+VALUE = rf"""(?<=[:= \t"'])(?:(?<={NAMED}[ \t]{{0,8}}")[^"\r\n]++(?=")|(?<={NAMED}[ \t]{{0,8}}')[^'\r\n]++(?=')|(?<={NAMED}[ \t]{{0,8}}["']?)[^\s"'=,;][^\s"',;]*+)"""
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}",
-    "secret": r"""(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[^\s"'=,;]{6,128}|(?<=token = ")[^\s"]{6,128}(?=")""",
+    "secret": rf"(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|{VALUE}",
     "ipv4": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -212,8 +216,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     plain, names, at = plain_names(docs, ("_n_replaced",))
     text = F.col(at[text_col]).cast("string")
-    likely = text.rlike(r"[0-9][0-9 .()/-]{6}")
-    for sign in ("@", "AKIA", "password=", 'token = "'):
+    likely = text.rlike(r"[0-9][0-9 .()/-]{6}") | text.rlike(NAMED)
+    for sign in ("@", "AKIA"):
         likely = likely | text.contains(sign)
     hit = likely & text.rlike(ANY)
     # one column a step, so that no step is worked out twice
