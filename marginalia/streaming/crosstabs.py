@@ -37,18 +37,20 @@ def sessions(stream: DataFrame, key: str, variables: Sequence[str], time: str, g
 def transitions(stream: DataFrame, key: str, state: str, time: str) -> DataFrame:
     """``key, previous, state`` for each row of a stream after the first of its key, in the order of arrival and time.
 
-    The last state of each key is kept between batches.
+    The last state of each key is kept between batches. Within a batch the rows
+    of a key are ordered by time as a whole, so they have to fit a task; limit
+    the size of batches, such as by ``maxFilesPerTrigger``, for larger keys.
     """
     kind = stream.schema[key].dataType.simpleString()
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         last = held.get[0] if held.exists else None
-        for f in frames:
-            states = f.sort_values(["time", "state"])["state"].tolist()
-            before = [last, *states[:-1]]
-            last = states[-1] if states else last
-            rows = [(k[0], a, b) for a, b in zip(before, states) if a is not None]
-            yield pd.DataFrame(rows, columns=["key", "previous", "state"])
+        rows = pd.concat([f[["time", "state"]] for f in frames])  # a key may come in several frames
+        states = rows.sort_values(["time", "state"])["state"].tolist()
+        before = [last, *states[:-1]]
+        last = states[-1] if states else last
+        found = [(k[0], a, b) for a, b in zip(before, states) if a is not None]
+        yield pd.DataFrame(found, columns=["key", "previous", "state"])
         if last is not None:
             held.update((last,))
 
