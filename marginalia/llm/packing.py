@@ -43,7 +43,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class PieceEncoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes.
 
-    The ids are those of ``tokenizers`` for the same file; a text is encoded
+    The ids are those of ``tokenizers`` for the same file, with ``added_tokens``
+    as at its default setting: the file's added tokens within a text are single
+    ids; without it they are encoded like other characters. A text is encoded
     word by word, and words met before come from a bounded memory. A text with
     a white-space run around a blank is encoded in one go, since there the cut
     at blanks would move word borders.
@@ -52,7 +54,7 @@ class PieceEncoder:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     RUN = re.compile(r"  |\s (?:\s|\Z)")
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, words: int = 500_000, added_tokens: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -64,6 +66,12 @@ class PieceEncoder:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.bpe = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+        if added_tokens and any(t.get(c) for t in file.get("added_tokens", ()) for c in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in file.get("added_tokens", ())} if added_tokens else {}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.border = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
         encode = self.encode_whole
 
         class Words(dict):
@@ -79,13 +87,18 @@ class PieceEncoder:
         return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.border is None or not self.border.search(text):
+            return self.encode_part(text)
+        return b"".join(self.added[x] if k % 2 else self.encode_part(x) for k, x in enumerate(self.border.split(text)) if x)
+
+    def encode_part(self, text: str) -> bytes:
         if self.RUN.search(text):
             return self.encode_whole(text)
         head, *rest = text.split(" ")
         return self.encode_whole(head) + b"".join(map(self.words.__getitem__, rest))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``.
 
     A document is its ids and a closing id 0; a null text counts as empty and
@@ -95,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = PieceEncoder(tokenizer, added_tokens=added_tokens)
         end = b"\0\0\0\0"
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -322,6 +335,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, small: float = 1 / 8, groups:
     return shares.unionByName(alone).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Tokenise, cut and pack the documents; see :func:`token_pieces` and :func:`pack`."""
-    return pack(materialise(token_pieces(docs, tokenizer, capacity, id_col, text_col), "pack-pieces"), capacity)
+    return pack(materialise(token_pieces(docs, tokenizer, capacity, id_col, text_col, added_tokens), "pack-pieces"), capacity)

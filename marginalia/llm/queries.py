@@ -22,7 +22,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), added_tokens=True)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
