@@ -10,16 +10,24 @@ off before the probabilities are formed. The score is the mean over tokens of
 ``log P_background - log P_target``; the lower, the more like the target. V is
 the number of distinct words and two more.
 
-A word is a 64-bit code: the most frequent words have short ones, which take
-less room in shuffles, all others their hash. The bigram table grows with the
-corpus and is never broadcast. Its words' counts join it; then it is dealt in
-parts by context word, where the counts of contexts are summed. Each document
-sends every part the bigrams it has there and gets a partial sum back.
+There is no table of bigrams. Every bigram of every document is dealt once to a
+part, where all its occurrences meet: counting and scoring are one pass.
+
+* The most frequent words, at most 65,534, have short codes and their counts
+  are broadcast. Bigrams of two such words are dealt by both. Other bigrams are
+  dealt by their rare word, which no part can have too many of, and that
+  word's counts are summed in its part.
+* The most frequent bigrams, a bounded number proposed by a sample and counted
+  over all documents, are scored where the document is read, so no bigram is
+  hot. The proposal changes where a bigram is scored, never its score.
+* Bigrams of two rare words that also occur elsewhere, a small rest, lack the
+  count of their context in that part. They join the table of words by it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,232 +35,417 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.jaccard import narrowed
+from marginalia.llm.jaccard import marked
 from marginalia.llm.shared import materialise
-from marginalia.llm.shingles import WordHashes, mix
+from marginalia.llm.shingles import mix
 
-START = 0  # a code; those of frequent words follow from 2
+START, END = 0, 1  # codes; those of frequent words follow from 2
 SHORT = 1 << 16  # short codes are below
-FLUSH = 1 << 21
-PARTIAL = "row long, n long, target double, target_own double, background double"
+RARE = 1 << 63  # the highest bit of the hash of every word
+ALL, TARGET, LAST, TARGET_LAST = range(4)  # what a count is of: words anywhere, or at the end of a document
+COUNTED = "word long, kind int, n long"
+SENT = "part int, kind int, row binary, docs binary, target binary, v binary, w binary, own binary"
+FOUND = "kind int, row long, doc_id long, n long, target double, background double, v long, own long, in_target boolean, b long, t long, other_b double, other_t double"
+BOTH_SHORT, WITH_RARE, HEADER = range(3)  # kinds of records sent; of rows found: 0 a document, 1 a sum, 2 a bigram that lacks its context
 
 
 class WordCodes(dict):
-    """Codes of words: the place among the frequent words, or the word's hash."""
+    """Codes of words: the short one of a frequent word, else the word's hash; those met first are kept, up to a bound."""
 
-    def __init__(self, frequent: np.ndarray, kept: int = 250_000):
+    def __init__(self, short: dict[int, int], kept: int = 250_000):
         super().__init__()
-        self.place = {h: k + 2 for k, h in enumerate(frequent.tolist())}
-        self.kept = kept
+        self.short, self.kept = short, kept
 
     def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        found = self.place.get(h, h)
+        h = xxhash.xxh3_64_intdigest(word) | RARE
+        found = self.short.get(h, h)
         if len(self) < self.kept:
             self[word] = found
         return found
 
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").lower().split()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
-def bigrams(text: str | None, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the context and of the word, for every word of the lower-cased text."""
-    words = (text or "").lower().split()
-    w = np.fromiter(map(codes.__getitem__, words), dtype=np.uint64, count=len(words))
-    return np.append(np.uint64(START), w[:-1])[: len(w)], w
 
+class Lexicon(NamedTuple):
+    """What every task knows: frequent words, frequent bigrams, totals. Its size is bounded by the operator's parameters."""
 
-def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One number a bigram: below 2^32 for two short codes, else a hash with the highest bit set."""
-    long = mix(mix(v, 7) + w, 8) | np.uint64(1 << 63)
-    return np.where((v < SHORT) & (w < SHORT), v << np.uint64(16) | w, long)
+    short: dict[int, int]  # hash of a frequent word -> its code
+    words: np.ndarray  # background and target: counts by code
+    contexts: np.ndarray  # the same, as contexts
+    pairs: np.ndarray  # frequent bigrams as numbers of two codes, sorted
+    pair_counts: np.ndarray  # background and target
+    totals: tuple[int, int]
+    n_words: int
 
 
-def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent words of all documents: all above the largest count that leaves at most ``size - 2``.
+def contexts_of(w: np.ndarray) -> np.ndarray:
+    return np.append(np.uint64(START), w[:-1])[: len(w)]
 
-    A histogram of counts gives that border, so no more than ``size`` words
-    ever reach the driver.
-    """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = WordHashes(250_000), [], 0
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A positive number for a bigram of word hashes; never 0, and never that of a word."""
+    return mix(mix(v, 7) + w, 8) >> np.uint64(1) | np.uint64(1)
 
-        def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                parts = (text.as_py() or "").lower().split()
-                held.append(np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts)))
-                n += len(parts)
-                if n >= FLUSH:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-
-    counted = docs.select("text").mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = materialise(counted, "scoring-words")
-    level = F.least(F.col("n"), F.lit(1 << 16))  # 65,536 counts at most; there are rarely as many words above them as fit
-    levels = sorted((r["level"], r["count"]) for r in counted.groupBy(level.alias("level")).count().collect())
-    border, words = 0, sum(n for _, n in levels)
-    for at, n in levels:
-        if words <= size - 2:
-            break
-        border, words = at, words - n
-    if words == 0 and levels:  # more words share the top level than fit: order them by their counts
-        frequent = counted.where(F.col("n") >= border).orderBy(F.desc("n"), "word").limit(size - 2)
-    else:
-        frequent = counted.where(F.col("n") > border)
-    return np.sort(np.array([r["word"] for r in frequent.select("word").collect()], dtype=np.int64)).view(np.uint64)
+def places(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are among sorted ones, and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
 
-def bigram_counts(docs: DataFrame, words, name: str) -> DataFrame:
-    """``v, w, name``: how often each bigram occurs, with several rows for some."""
+def flagged(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, in_target``; only rows that may be in the target enter the join with its ids."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    maybe = marked(texts, "doc_id", wanted)
+    others = maybe.where(~F.col("_maybe")).select("doc_id", "text", F.lit(False).alias("in_target"))
+    some = maybe.where("_maybe").join(wanted.withColumn("_in", F.lit(True)), "doc_id", "left")
+    return others.unionByName(some.select("doc_id", "text", F.coalesce("_in", F.lit(False)).alias("in_target")))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, n = WordCodes(words.value), [], 0
 
-        def flush():
-            v, w = (np.concatenate(x) for x in zip(*held))
-            _, first, c = np.unique(bigram_keys(v, w), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(c)], names=["v", "w", "n"])
+def proposed_pairs(texts: DataFrame, n_docs: int, most: int, sample: int) -> np.ndarray:
+    """Word hashes of the ``most`` most frequent bigrams of about ``sample`` documents."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, pairs = WordCodes({}), []
         for batch in batches:
             for text in batch.column(0):
-                held.append(bigrams(text.as_py(), codes))
-                n += len(held[-1][0])
-                if n >= 2 * FLUSH:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
+                w = codes.of(text.as_py())
+                pairs.append(np.stack([contexts_of(w), w]))
+        if pairs:
+            v, w = np.concatenate(pairs, axis=1)
+            _, first, n = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
+            top = np.argsort(-n, kind="stable")[:most]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[first[top]].view(np.int64), w[first[top]].view(np.int64), n[top])], names=["v", "w", "n"])
 
-    return docs.select("text").mapInArrow(rows, "v long, w long, n long").withColumnRenamed("n", name)
+    drawn = texts.select("text").sample(min(1.0, sample / max(1, n_docs)), seed=1)
+    top = drawn.mapInArrow(rows, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v", "w").limit(most)
+    return np.array([(r["v"], r["w"]) for r in top.collect()], dtype=np.int64).reshape(-1, 2).view(np.uint64)
 
 
-def part_of(context: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(context, 5) % np.uint64(parts)).astype(np.int64)
+def counted(texts: DataFrame, pairs: np.ndarray, flush: int) -> DataFrame:
+    """``word, b, t, last_b, last_t``: counts of all words by their hash, of START, and of the given bigrams by theirs."""
+    keys = np.sort(pair_hash(pairs[:, 0], pairs[:, 1]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held, targets, n = WordCodes({}, 500_000), [], [], 0
+
+        def flushed():
+            for texts, words, last in ((held, ALL, LAST), ([w for w, t in zip(held, targets) if t], TARGET, TARGET_LAST)):
+                if not texts:
+                    continue
+                w = np.concatenate(texts)
+                at, there = places(keys, pair_hash(np.concatenate([contexts_of(x) for x in texts]), w))
+                often = np.bincount(at[there], minlength=len(keys))
+                some = np.flatnonzero(often)
+                found = [(words, *np.unique(w, return_counts=True)), (last, *np.unique(np.array([x[-1] for x in texts]), return_counts=True))]
+                found += [(words, np.array([START], dtype=np.uint64), np.array([len(texts)])), (words, keys[some], often[some])]
+                for kind, word, count in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.full(len(word), kind, dtype=np.int32)), pa.array(count.astype(np.int64))], names=["word", "kind", "n"])
+
+        for batch in batches:
+            for text, target in zip(batch.column(0), batch.column(1).to_pylist()):
+                w = codes.of(text.as_py())
+                if len(w):
+                    held.append(w)
+                    targets.append(target)
+                    n += len(w)
+                if n >= flush:
+                    yield from flushed()
+                    held, targets, n = [], [], 0
+        yield from flushed()
+
+    sums = (F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0).cast("long")).alias(name) for k, name in enumerate(("b", "t", "last_b", "last_t")))
+    return texts.select("text", "in_target").mapInArrow(rows, COUNTED).groupBy("word").agg(*sums)
+
+
+def lexicon(counts: DataFrame, pairs: np.ndarray, size: int) -> Lexicon:
+    n_words, *totals = counts.where(F.col("word") < 0).agg(F.count("word"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    start = counts.where(F.col("word") == START).select("b", "t").collect()  # one row
+    top = counts.where(F.col("word") < 0).orderBy(F.desc("b"), "word").limit(size - 2).collect()  # ``size`` rows
+    by_pair = {r["word"]: (r["b"], r["t"]) for r in counts.where(F.col("word") > 0).select("word", "b", "t").collect()}  # proposed pairs
+    short = {r["word"] + (1 << 64): k + 2 for k, r in enumerate(top)}
+    words = np.array([(0, 0), (0, 0), *((r["b"], r["t"]) for r in top)], dtype=np.int64).T
+    contexts = np.array([tuple(start[0]) if start else (0, 0), (0, 0), *((r["b"] - r["last_b"], r["t"] - r["last_t"]) for r in top)], dtype=np.int64).T
+    coded = {}
+    for v, w in pairs.tolist():
+        a, b = START if v == START else short.get(v), short.get(w)
+        if a is not None and b is not None:
+            key = int(pair_hash(np.array([v], dtype=np.uint64), np.array([w], dtype=np.uint64))[0])
+            coded[a << 16 | b] = by_pair.get(key, (0, 0))
+    keys = sorted(coded)
+    pair_counts = np.array([coded[k] for k in keys], dtype=np.int64).reshape(-1, 2).T
+    return Lexicon(short, words, contexts, np.array(keys, dtype=np.uint64), pair_counts, tuple(totals), n_words)
+
+
+def surprise(pair: np.ndarray, context: np.ndarray, other: np.ndarray, bigram: float) -> np.ndarray:
+    """``-log P`` from a bigram's and its context's count, both without the document's own, and the other terms of P."""
+    return -np.log(np.where(context > 0, bigram * np.maximum(pair, 0) / np.maximum(context, 1), 0.0) + other)
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    change = np.zeros(max(0, len(columns[0]) - 1), dtype=bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    return np.append(0, np.flatnonzero(change) + 1)[: len(columns[0])]
+
+
+def smallest(x: np.ndarray) -> bytes:
+    """The numbers in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def numbers(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // count}").astype(np.int64) if count else np.empty(0, dtype=np.int64)
+
+
+def rate_of(counts: np.ndarray, model: int, lex: Lexicon, unigram: float, uniform: float) -> np.ndarray:
+    return unigram * counts / max(lex.totals[model], 1) + uniform
+
+
+class Sender:
+    """Codes the bigrams of documents and packs them by part, many documents in one record."""
+
+    def __init__(self, lex: Lexicon, parts: int, rates: tuple[float, float, float]):
+        self.lex, self.parts, self.rates = lex, parts, rates
+        self.codes = WordCodes(lex.short)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []
+        self.docs: list[tuple] = []
+        self.n = 0
+
+    def add(self, row: int, doc_id: int | None, target: bool, text: str | None) -> None:
+        w = self.codes.of(text)
+        v = contexts_of(w)
+        if len(w):
+            _, at, often = np.unique(v, return_inverse=True, return_counts=True)
+            self.own.append(often[at])
+        self.words.append(w)
+        self.contexts.append(v)
+        self.docs.append((row, doc_id, target))
+        self.n += len(w) + 8
+
+    def scored_here(self, doc, key, own, target, n_docs: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Which bigrams are among the frequent ones, and their sums by document for background and target."""
+        lex, (bigram, unigram, uniform) = self.lex, self.rates
+        at, here = places(lex.pairs, key)
+        order = np.flatnonzero(here)
+        order = order[np.lexsort((at[order], doc[order]))]
+        at, doc, own = at[order], doc[order], own[order]
+        first = runs(at, doc)
+        n = np.diff(np.append(first, len(at)))
+        at, doc, own = at[first], doc[first], own[first]
+        v, w = (lex.pairs[at] >> np.uint64(16)).astype(np.int64), (lex.pairs[at] & np.uint64(SHORT - 1)).astype(np.int64)
+        sums = []
+        for model, off in ((0, np.ones(len(at), dtype=np.int64)), (1, target[doc].astype(np.int64))):
+            other = rate_of(lex.words[model][w], model, lex, unigram, uniform)
+            each = surprise(lex.pair_counts[model][at] - n * off, lex.contexts[model][v] - own * off, other, bigram)
+            sums.append(np.bincount(doc, weights=n * each, minlength=n_docs))
+        return here, tuple(sums)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.docs:
+            return
+        size = np.array([len(w) for w in self.words])
+        v, w = np.concatenate(self.contexts), np.concatenate(self.words)
+        own = np.concatenate(self.own) if self.own else np.empty(0, dtype=np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        row = np.array([d[0] for d in self.docs], dtype=np.int64)
+        target = np.array([d[2] for d in self.docs], dtype=bool)
+        short = (v < SHORT) & (w < SHORT)
+        key = np.where(short, v << np.uint64(16) | w, np.uint64(RARE))
+        here, (background, wanted) = self.scored_here(doc, key, own, target, len(size))
+
+        out: list[tuple] = []
+        sums = np.stack([wanted, background]).tobytes()
+        known = np.array([d[1] is not None for d in self.docs], dtype=np.uint8)
+        ids = np.array([d[1] or 0 for d in self.docs], dtype=np.int64)
+        out.append((int(row[0] % self.parts), HEADER, row.tobytes(), size.astype(np.int64).tobytes(), known.tobytes(), ids.tobytes(), sums, b""))
+
+        ends = np.flatnonzero(size)
+        last = np.cumsum(size)[ends] - 1
+        ends = ends[w[last] >= SHORT]  # rare words at the end of a document: the bigram (word, END) tells their part
+        last = w[np.cumsum(size)[ends] - 1]
+        some = np.flatnonzero(short & ~here)
+        rare = np.flatnonzero(~short)
+        groups = (
+            (BOTH_SHORT, doc[some], key[some], np.empty(0, dtype=np.uint64), own[some], key[some]),
+            (WITH_RARE, np.append(doc[rare], ends), np.append(v[rare], last), np.append(w[rare], np.full(len(last), END, dtype=np.uint64)), np.append(own[rare], np.zeros(len(last), dtype=np.int64)), None),
+        )
+        for kind, d, a, b, mine, dealt in groups:
+            if not len(d):
+                continue
+            part = mix(np.where(b >= SHORT, b, a) if dealt is None else dealt, 5) % np.uint64(self.parts)
+            if kind == WITH_RARE:  # the ends go to their documents
+                order = np.lexsort((d, part))
+            else:
+                order = np.argsort(part.astype(np.min_scalar_type(self.parts)), kind="stable")
+            part, d, a, mine = part[order], d[order], a[order], mine[order]
+            b = b[order] if len(b) else b
+            cuts = np.append(runs(part), len(part))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                first = runs(d[lo:hi])
+                mined = d[lo:hi][first]
+                lengths = np.diff(np.append(first, hi - lo))
+                codes = (a[lo:hi].astype("<u4").tobytes(), b"") if kind == BOTH_SHORT else (a[lo:hi].tobytes(), b[lo:hi].tobytes())
+                out.append((int(part[lo]), kind, row[mined].tobytes(), smallest(lengths), target[mined].astype(np.uint8).tobytes(), *codes, smallest(mine[lo:hi])))
+        self.clear()
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "kind", "row", "docs", "target", "v", "w", "own"])
+
+
+def table_of(kind: int, rows: int, /, **columns: np.ndarray) -> pa.RecordBatch:
+    types = {"kind": pa.int32(), "target": pa.float64(), "background": pa.float64(), "other_b": pa.float64(), "other_t": pa.float64(), "in_target": pa.bool_()}
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    columns["kind"] = np.full(rows, kind, dtype=np.int32)
+    arrays = [pa.nulls(rows, types.get(c, pa.int64())) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c]).cast(types.get(c, pa.int64())) for c in names]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def headers(record: dict) -> pa.RecordBatch:
+    row = np.frombuffer(record["row"], dtype=np.int64)
+    known = np.frombuffer(record["target"], dtype=np.uint8) == 1
+    target, background = np.frombuffer(record["w"], dtype=np.float64).reshape(2, -1)
+    ids = pa.array(np.frombuffer(record["v"], dtype=np.int64), mask=~known)
+    return table_of(0, len(row), row=row, doc_id=ids, n=np.frombuffer(record["docs"], dtype=np.int64), target=target, background=background)
+
+
+def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, float, float]) -> Iterator[pa.RecordBatch]:
+    """Counts and scores the bigrams of one part: sums by document, and bigrams of two rare words that lack their context."""
+    bigram, unigram, uniform = rates
+    if kind == HEADER:
+        yield from map(headers, records)
+        return
+    row = np.concatenate([np.frombuffer(r["row"], dtype=np.int64) for r in records])
+    target = np.concatenate([np.frombuffer(r["target"], dtype=np.uint8) for r in records]).astype(np.int64)
+    length = np.concatenate([numbers(r["docs"], len(r["target"])) for r in records])
+    doc = np.repeat(np.arange(len(row)), length)
+    if kind == BOTH_SHORT:
+        key = np.concatenate([np.frombuffer(r["v"], dtype="<u4") for r in records])
+        own = np.concatenate([numbers(r["own"], len(r["v"]) // 4) for r in records])
+        known: tuple = (np.empty(0, dtype=np.uint64), np.zeros((2, 0), dtype=np.int64), np.zeros((2, 0), dtype=np.int64))
+    else:
+        v, w = (np.concatenate([np.frombuffer(r[c], dtype=np.uint64) for r in records]) for c in ("v", "w"))
+        own = np.concatenate([numbers(r["own"], len(r["v"]) // 8) for r in records])
+        key = pair_hash(v, w)
+        wanted = target[doc] == 1
+        mine = w >= SHORT
+        words, at = np.unique(w[mine], return_inverse=True)
+        often = np.stack([np.bincount(at, minlength=len(words)), np.bincount(at[wanted[mine]], minlength=len(words))])
+        ends = w == END
+        at = np.searchsorted(words, v[ends])
+        final = np.stack([np.bincount(at, minlength=len(words)), np.bincount(at[wanted[ends]], minlength=len(words))])
+        known = (words, often, often - final)
+
+    order = np.argsort(key, kind="stable")  # bigrams of one document stay together
+    key, doc, own = key[order], doc[order], own[order]
+    first = runs(key, doc)
+    n = np.diff(np.append(first, len(key)))
+    if kind == BOTH_SHORT:
+        v, w = key[first].astype(np.uint64) >> np.uint64(16), key[first].astype(np.uint64) & np.uint64(SHORT - 1)
+    else:
+        v, w = v[order][first], w[order][first]
+    key, doc, own = key[first], doc[first], own[first]
+    of = target[doc]
+    group = runs(key)
+    size = np.diff(np.append(group, len(key)))
+    b, t = (np.repeat(np.add.reduceat(x, group), size) if len(key) else x for x in (n, n * of))
+    b, t = b - n, t - n * of
+
+    def looked_up(code, short, long):
+        """The counts of words in both models, by code or from this part; whether they are known here."""
+        is_short = code < SHORT
+        place, there = places(known[0], code)
+        both = np.where(is_short, short[:, np.where(is_short, code, 0).astype(np.int64)], long[:, place] if long.size else 0)
+        return both, is_short | there
+
+    (word_b, word_t), _ = looked_up(w, lex.words, known[1])
+    other_b, other_t = rate_of(word_b, 0, lex, unigram, uniform), rate_of(word_t, 1, lex, unigram, uniform)
+    (context_b, context_t), there = looked_up(v, lex.contexts, known[2])
+    scored = w != END
+    lacking = scored & (b + t > 0) & (v >= SHORT) & (w >= SHORT)
+    done = scored & ~lacking & (there | (b + t == 0))
+    sums = [np.bincount(doc[done], weights=(n * surprise(x, c, o, bigram))[done], minlength=len(row)) for x, c, o in ((t, context_t - own * of, other_t), (b, context_b - own, other_b))]
+    some = np.flatnonzero(np.bincount(doc[done], minlength=len(row)))
+    yield table_of(1, len(some), row=row[some], target=sums[0][some], background=sums[1][some])
+    if lacking.any():
+        columns = {"n": n, "v": v.view(np.int64), "own": own, "in_target": of == 1, "b": b, "t": t, "other_b": other_b, "other_t": other_t}
+        yield table_of(2, int(lacking.sum()), row=row[doc[lacking]], **{k: x[lacking] for k, x in columns.items()})
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 21, pairs: int = 1 << 14, sample: int = 1 << 13, flush: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_tokens, target_entropy, background_entropy, score`` of every row, in nats per token.
 
     ``target_ids`` has a column ``doc_id``; ids that are not in ``docs``, and
     repeated ones, do no harm. ``size``, at most 65,536, bounds the words with
-    short codes and leaves the results as they are. A text without words has 0
-    tokens and null entropies and score. Rows that repeat a doc_id are
-    scored each by its own text; a null doc_id is never in the target. With an
-    empty target its model is uniform.
+    short codes, ``pairs`` the bigrams that are scored where they are read, as
+    proposed by about ``sample`` documents; all leave the results as they
+    are. ``part_rows`` is about the number of bigrams of a part. A text without
+    words has 0 tokens and null entropies and score. Rows that repeat a doc_id
+    are scored each by its own text; a null doc_id is never in the target. With
+    an empty target its model is uniform.
     """
     if not 2 < size <= SHORT:
         raise ValueError("there are 3 to 65,536 short codes")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    words = spark.sparkContext.broadcast(vocabulary(texts, size))  # ``size`` numbers
-
-    target = narrowed(texts.where(F.col("doc_id").isNotNull()), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
-    zero = F.lit(0).cast("long")
-    background = bigram_counts(texts, words, "b").withColumn("t", zero)
-    both = background.unionByName(bigram_counts(target, words, "t").withColumn("b", zero))
-    table = materialise(both.groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "scoring-bigrams")
-    single = materialise(table.groupBy("w").agg(F.sum("b").alias("wb"), F.sum("t").alias("wt")), "scoring-counts")
-    short = F.col("w").between(0, SHORT - 1)
-    counted = table.where(short).join(F.broadcast(single.where(short)), "w")  # at most ``size`` rows
-    counted = counted.unionByName(table.where(~short).join(single.where(~short), "w"))
-
-    parts = max(8, -(-table.count() // part_rows))
-    n_words, *total = single.agg(F.count("w"), F.coalesce(F.sum("wb"), zero), F.coalesce(F.sum("wt"), zero)).first()
-    packed_names = ["part", "row", "low", "high", "counts", "own"]
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(words.value)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v, w = bigrams(text.as_py(), codes)
-                if not len(v):
-                    continue
-                _, context, often = np.unique(v, return_inverse=True, return_counts=True)
-                keys, first, n = np.unique(bigram_keys(v, w), return_index=True, return_counts=True)
-                part = part_of(v[first], parts)
-                order = np.argsort(part, kind="stable")
-                keys, part = keys[order], part[order]
-                low, high = keys.astype("<u4"), (keys >> np.uint64(32)).astype("<u4")
-                n, own = n[order].astype("<u4"), often[context[first[order]]].astype("<u4")
-                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    for column, value in zip(out, (int(part[lo]), row, *(x[lo:hi].tobytes() for x in (low, high, n, own)))):
-                        column.append(value)
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=packed_names)
-
-    def model_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = flagged(docs, target_ids, id_col, text_col)
+    proposed = proposed_pairs(docs.select(F.col(text_col).cast("string").alias("text")), docs.count(), pairs, sample)
+    counts = materialise(counted(texts, proposed, 4 * flush), "scoring-words")
+    lex = lexicon(counts, proposed, size)
+    parts = max(8, -(-lex.totals[0] // part_rows))
+    rates = (bigram, unigram, (1 - bigram - unigram) / (lex.n_words + 2))
+    shared = spark.sparkContext.broadcast(lex)  # ``size`` words and ``pairs`` bigrams
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = Sender(shared.value, parts, rates)
         for batch in batches:
-            v, w, *counts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "w", "b", "t", "wb", "wt"))
-            v, w = v.view(np.uint64), w.view(np.uint64)
-            found = np.stack([bigram_keys(v, w).view(np.int64), v.view(np.int64), *counts])
-            part = part_of(v, parts)
-            for p in np.unique(part):
-                packed = found[:, part == p].astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([-1], pa.int64()), pa.array([packed]), *[pa.array([b""])] * 3], names=packed_names)
-
-    def loaded(held: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Sorted keys, and the counts of bigram, context and word in background and target."""
-        keys, v, *counts = (np.concatenate([m[k] for m in held]) for k in range(6))
-        keys = keys.view(np.uint64)
-        order = np.argsort(keys)
-        b, t, wb, wt = (x[order] for x in counts)
-        context = np.unique(v[order], return_inverse=True)[1]
-        cb, ct = (np.bincount(context, weights=x)[context].astype(np.int64) for x in (b, t))
-        return keys[order], b, t, cb, ct, wb, wt
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uniform = (1 - bigram - unigram) / (n_words + 2)
-
-        def log_p(pair, ctx, word, k):
-            rate = np.where(ctx > 0, bigram * np.maximum(pair, 0) / np.maximum(ctx, 1), 0.0)
-            return np.log(rate + unigram * word / max(total[k], 1) + uniform)
-
-        def numbers(batch, name, lo, hi):
-            return np.frombuffer(b"".join(batch.column(name).slice(lo, hi - lo).to_pylist()), dtype="<u4")
-
-        now, held, model = None, [], None
+            for row, doc_id, target, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                sender.add(row, doc_id, target, text.as_py())
+                if sender.n >= flush:
+                    yield from sender.flush()
+        yield from sender.flush()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            part, row = batch.column("part").to_numpy(), batch.column("row").to_numpy()
-            cuts = [0, *(np.flatnonzero((part[1:] != part[:-1]) | ((row[1:] < 0) != (row[:-1] < 0))) + 1).tolist(), len(part)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if part[lo] != now:
-                    now, held, model = part[lo], [], None
-                packed = batch.column("low").slice(lo, hi - lo).to_pylist()
-                if row[lo] < 0:
-                    held += [np.frombuffer(x, dtype="<i8").reshape(6, -1) for x in packed]
-                    continue
-                if model is None:
-                    model, held = loaded(held), []
-                for start in range(lo, hi, 2000):
-                    end = min(hi, start + 2000)
-                    sizes = [len(x) // 4 for x in packed[start - lo : end - lo]]
-                    keys = numbers(batch, "low", start, end) | numbers(batch, "high", start, end).astype(np.uint64) << np.uint64(32)
-                    n, own = (numbers(batch, c, start, end).astype(np.int64) for c in ("counts", "own"))
-                    owner = np.repeat(np.arange(end - start), sizes)
-                    at = np.searchsorted(model[0], keys)
-                    b, t, cb, ct, wb, wt = (x[at] for x in model[1:])
-                    sums = [np.bincount(owner, weights=n * x, minlength=end - start) for x in (log_p(t, ct, wt, 1), log_p(t - n, ct - own, wt, 1), log_p(b - n, cb - own, wb, 0))]
-                    tokens = np.bincount(owner, weights=n, minlength=end - start).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(row[start:end]), pa.array(tokens), *(pa.array(-x) for x in sums)], names=["row", "n", "target", "target_own", "background"])
-
-    packed = "part int, row long, low binary, high binary, counts binary, own binary"
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())  # the same in every run over the same files
-    sent = numbered.select("row", "text").mapInArrow(dealt, packed).unionByName(counted.mapInArrow(model_rows, packed))
-    found = sent.repartition(parts, "part").sortWithinPartitions("part", "row").mapInArrow(judged, PARTIAL)
-    sums = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n", "target", "target_own", "background")))
-    flagged = numbered.select("row", "doc_id").join(wanted.withColumn("_in", F.lit(True)), "doc_id", "left").join(sums, "row", "left")
-    entropy = F.when(F.col("_in"), F.col("target_own")).otherwise(F.col("target")) / F.col("n")
-    other = F.col("background") / F.col("n")
-    return flagged.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), entropy.alias("target_entropy"), other.alias("background_entropy"), (entropy - other).alias("score"))
+            for record in batch.to_pylist():
+                at = (record["part"], record["kind"])
+                if at != now and held:
+                    yield from judged(held, now[1], shared.value, rates)
+                    held = []
+                now = at
+                held.append(record)
+        if held:
+            yield from judged(held, now[1], shared.value, rates)
+
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "in_target", "text")
+    sent = keyed.mapInArrow(send, SENT).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    found = materialise(sent.mapInArrow(judge, FOUND), "scoring-sums")
+
+    counts = counts.select(F.col("word").alias("v"), (F.col("b") - F.col("last_b")).alias("cb"), (F.col("t") - F.col("last_t")).alias("ct"))
+    lacking = found.where("kind = 2").drop("target", "background", "doc_id").join(counts, "v")
+    off = F.when(F.col("in_target"), F.col("own")).otherwise(0)
+
+    def log_p(pair, context, other):
+        return F.log(F.when(context > 0, bigram * F.col(pair) / F.when(context > 0, context)).otherwise(0.0) + F.col(other))
+
+    late = lacking.select("row", (-F.col("n") * log_p("t", F.col("ct") - off, "other_t")).alias("target"), (-F.col("n") * log_p("b", F.col("cb") - F.col("own"), "other_b")).alias("background"), F.lit(0).alias("copies"))
+    documents = found.where("kind = 0").select("row", "doc_id", "n", F.col("target").alias("_t"), F.col("background").alias("_b"))
+    zero = F.lit(0.0)
+    each = found.where("kind = 1").select("row", "target", "background", F.lit(0).alias("copies"))
+    each = each.unionByName(late).unionByName(documents.select("row", zero.alias("target"), zero.alias("background"), F.lit(1).alias("copies")))
+    sums = each.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("target", "background", "copies")))  # equal rows have equal sums
+    tokens = F.when(F.col("n") > 0, F.col("n"))
+    target, background = ((F.col(f"_{c[0]}") + F.col(c) / F.col("copies")) / tokens for c in ("target", "background"))
+    return documents.join(sums, "row").select("doc_id", F.col("n").alias("n_tokens"), target.alias("target_entropy"), background.alias("background_entropy"), (target - background).alias("score"))
