@@ -107,6 +107,18 @@ def flagged(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str)
     return others.unionByName(some.select("doc_id", "text", F.coalesce("_in", F.lit(False)).alias("in_target")))
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> list:
+    """The rows with the largest counts, at most ``most`` of them: all above a border, which a histogram gives."""
+    level = F.floor(F.log2(F.col(n)) * 64)
+    border, left = -1, 0
+    for at, rows in sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True):
+        left += rows
+        if left > most:
+            border = at
+            break
+    return counts.where(level > border).collect()
+
+
 def proposed_pairs(texts: DataFrame, n_docs: int, most: int, sample: int) -> np.ndarray:
     """Word hashes of the ``most`` most frequent bigrams of about ``sample`` documents."""
 
@@ -123,8 +135,8 @@ def proposed_pairs(texts: DataFrame, n_docs: int, most: int, sample: int) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[first[top]].view(np.int64), w[first[top]].view(np.int64), n[top])], names=["v", "w", "n"])
 
     drawn = texts.select("text").sample(min(1.0, sample / max(1, n_docs)), seed=1)
-    top = drawn.mapInArrow(rows, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v", "w").limit(most)
-    return np.array([(r["v"], r["w"]) for r in top.collect()], dtype=np.int64).reshape(-1, 2).view(np.uint64)
+    found = materialise(drawn.mapInArrow(rows, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), "scoring-sample")
+    return np.array([(r["v"], r["w"]) for r in most_frequent(found, "n", most)], dtype=np.int64).reshape(-1, 2).view(np.uint64)
 
 
 def counted(texts: DataFrame, pairs: np.ndarray, flush: int) -> DataFrame:
@@ -166,7 +178,7 @@ def counted(texts: DataFrame, pairs: np.ndarray, flush: int) -> DataFrame:
 def lexicon(counts: DataFrame, pairs: np.ndarray, size: int) -> Lexicon:
     n_words, *totals = counts.where(F.col("word") < 0).agg(F.count("word"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     start = counts.where(F.col("word") == START).select("b", "t").collect()  # one row
-    top = counts.where(F.col("word") < 0).orderBy(F.desc("b"), "word").limit(size - 2).collect()  # ``size`` rows
+    top = most_frequent(counts.where(F.col("word") < 0), "b", size - 2)
     by_pair = {r["word"]: (r["b"], r["t"]) for r in counts.where(F.col("word") > 0).select("word", "b", "t").collect()}  # proposed pairs
     short = {r["word"] + (1 << 64): k + 2 for k, r in enumerate(top)}
     words = np.array([(0, 0), (0, 0), *((r["b"], r["t"]) for r in top)], dtype=np.int64).T
@@ -214,6 +226,7 @@ class Sender:
     def __init__(self, lex: Lexicon, parts: int, rates: tuple[float, float, float]):
         self.lex, self.parts, self.rates = lex, parts, rates
         self.codes = WordCodes(lex.short)
+        self.alone = [-np.log(rate_of(lex.words[model], model, lex, rates[1], rates[2])) for model in (0, 1)]
         self.clear()
 
     def clear(self) -> None:
@@ -249,7 +262,7 @@ class Sender:
         for model, off in ((0, np.ones(len(at), dtype=np.int64)), (1, target[doc].astype(np.int64))):
             other = rate_of(lex.words[model][w], model, lex, unigram, uniform)
             each = surprise(lex.pair_counts[model][at] - n * off, lex.contexts[model][v] - own * off, other, bigram)
-            sums.append(np.bincount(doc, weights=n * each, minlength=n_docs))
+            sums.append(np.bincount(doc, weights=n * each, minlength=n_docs).astype(np.float64))
         return here, tuple(sums)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -264,6 +277,9 @@ class Sender:
         short = (v < SHORT) & (w < SHORT)
         key = np.where(short, v << np.uint64(16) | w, np.uint64(RARE))
         here, (background, wanted) = self.scored_here(doc, key, own, target, len(size))
+        plain = np.flatnonzero((w < SHORT) & ~here)  # scored as if the bigram were in no other document; the part sends the difference
+        for model, sums in ((0, background), (1, wanted)):
+            sums += np.bincount(doc[plain], weights=self.alone[model][w[plain].astype(np.int64)], minlength=len(size))
 
         out: list[tuple] = []
         sums = np.stack([wanted, background]).tobytes()
@@ -319,23 +335,38 @@ def headers(record: dict) -> pa.RecordBatch:
     return table_of(0, len(row), row=row, doc_id=ids, n=np.frombuffer(record["docs"], dtype=np.int64), target=target, background=background)
 
 
-def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, float, float]) -> Iterator[pa.RecordBatch]:
-    """Counts and scores the bigrams of one part: sums by document, and bigrams of two rare words that lack their context."""
-    bigram, unigram, uniform = rates
+def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, float, float], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Counts and scores the bigrams of one part, about ``at_once`` of them together: sums by document, and bigrams of two rare words that lack their context."""
     if kind == HEADER:
         yield from map(headers, records)
         return
     row = np.concatenate([np.frombuffer(r["row"], dtype=np.int64) for r in records])
-    target = np.concatenate([np.frombuffer(r["target"], dtype=np.uint8) for r in records]).astype(np.int64)
+    target = np.concatenate([np.frombuffer(r["target"], dtype=np.uint8) for r in records])
     length = np.concatenate([numbers(r["docs"], len(r["target"])) for r in records])
-    doc = np.repeat(np.arange(len(row)), length)
-    if kind == BOTH_SHORT:
-        key = np.concatenate([np.frombuffer(r["v"], dtype="<u4") for r in records])
-        own = np.concatenate([numbers(r["own"], len(r["v"]) // 4) for r in records])
-        known: tuple = (np.empty(0, dtype=np.uint64), np.zeros((2, 0), dtype=np.int64), np.zeros((2, 0), dtype=np.int64))
-    else:
-        v, w = (np.concatenate([np.frombuffer(r[c], dtype=np.uint64) for r in records]) for c in ("v", "w"))
-        own = np.concatenate([numbers(r["own"], len(r["v"]) // 8) for r in records])
+    doc = np.repeat(np.arange(len(row), dtype=np.uint32), length)
+    width = 4 if kind == BOTH_SHORT else 8
+    own = np.concatenate([numbers(r["own"], len(r["v"]) // width).astype(np.uint32) for r in records])
+    v = np.concatenate([np.frombuffer(r["v"], dtype=f"<u{width}") for r in records])
+    w = np.concatenate([np.frombuffer(r["w"], dtype=np.uint64) for r in records])
+    records.clear()
+    sums = np.zeros((2, len(row)))
+    groups = -(-len(v) // at_once)
+    owner = v if kind == BOTH_SHORT else np.where(w >= SHORT, w, v)
+    group = (mix(owner, 9) % np.uint64(groups)).astype(np.uint16) if groups > 1 else np.zeros(len(v), dtype=np.uint16)
+    del owner
+    for g in range(groups):
+        some = np.flatnonzero(group == g)
+        yield from counted_and_scored(kind, row, target, doc[some].astype(np.int64), v[some], w[some] if len(w) else w, own[some].astype(np.int64), lex, rates, sums)
+    some = np.flatnonzero(sums.any(axis=0))
+    yield table_of(1, len(some), row=row[some], target=sums[0][some], background=sums[1][some])
+
+
+def counted_and_scored(kind: int, row, target, doc, v, w, own, lex: Lexicon, rates: tuple[float, float, float], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds to ``sums`` what these bigrams, with all their occurrences, change for the documents."""
+    bigram, unigram, uniform = rates
+    known: tuple = (np.empty(0, dtype=np.uint64), np.zeros((2, 0), dtype=np.int64), np.zeros((2, 0), dtype=np.int64))
+    key = v
+    if kind == WITH_RARE:
         key = pair_hash(v, w)
         wanted = target[doc] == 1
         mine = w >= SHORT
@@ -355,35 +386,35 @@ def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, flo
     else:
         v, w = v[order][first], w[order][first]
     key, doc, own = key[first], doc[first], own[first]
-    of = target[doc]
+    of = target[doc].astype(np.int64)
     group = runs(key)
     size = np.diff(np.append(group, len(key)))
     b, t = (np.repeat(np.add.reduceat(x, group), size) if len(key) else x for x in (n, n * of))
-    b, t = b - n, t - n * of
+    b, t = b - n, t - n * of  # in other documents
+    scored = (w != END) & ((b + t > 0) | (w >= SHORT))
+    v, w, n, doc, own, of, b, t = (x[scored] for x in (v, w, n, doc, own, of, b, t))
 
     def looked_up(code, short, long):
-        """The counts of words in both models, by code or from this part; whether they are known here."""
-        is_short = code < SHORT
-        place, there = places(known[0], code)
-        both = np.where(is_short, short[:, np.where(is_short, code, 0).astype(np.int64)], long[:, place] if long.size else 0)
-        return both, is_short | there
+        """The counts of words in both models, by code or from this part."""
+        place, _ = places(known[0], code)
+        return np.where(code < SHORT, short[:, np.where(code < SHORT, code, 0).astype(np.int64)], long[:, place] if long.size else 0)
 
-    (word_b, word_t), _ = looked_up(w, lex.words, known[1])
+    word_b, word_t = looked_up(w, lex.words, known[1])
+    context_b, context_t = looked_up(v, lex.contexts, known[2])
     other_b, other_t = rate_of(word_b, 0, lex, unigram, uniform), rate_of(word_t, 1, lex, unigram, uniform)
-    (context_b, context_t), there = looked_up(v, lex.contexts, known[2])
-    scored = w != END
-    lacking = scored & (b + t > 0) & (v >= SHORT) & (w >= SHORT)
-    done = scored & ~lacking & (there | (b + t == 0))
-    sums = [np.bincount(doc[done], weights=(n * surprise(x, c, o, bigram))[done], minlength=len(row)) for x, c, o in ((t, context_t - own * of, other_t), (b, context_b - own, other_b))]
-    some = np.flatnonzero(np.bincount(doc[done], minlength=len(row)))
-    yield table_of(1, len(some), row=row[some], target=sums[0][some], background=sums[1][some])
+    lacking = (b + t > 0) & (v >= SHORT) & (w >= SHORT)
+    done = np.flatnonzero(~lacking)
+    for total, pair, context, other in ((sums[0], t, context_t - own * of, other_t), (sums[1], b, context_b - own, other_b)):
+        each = surprise(pair, context, other, bigram)[done]
+        each = np.where(w[done] < SHORT, each + np.log(other[done]), each)  # the sender has added the rest
+        total += np.bincount(doc[done], weights=n[done] * each, minlength=len(row))
     if lacking.any():
         columns = {"n": n, "v": v.view(np.int64), "own": own, "in_target": of == 1, "b": b, "t": t, "other_b": other_b, "other_t": other_t}
         yield table_of(2, int(lacking.sum()), row=row[doc[lacking]], **{k: x[lacking] for k, x in columns.items()})
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 21, pairs: int = 1 << 14, sample: int = 1 << 13, flush: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 23, pairs: int = 1 << 16, sample: int = 1 << 14, flush: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_tokens, target_entropy, background_entropy, score`` of every row, in nats per token.
 
@@ -391,7 +422,8 @@ def cross_entropy_difference(
     repeated ones, do no harm. ``size``, at most 65,536, bounds the words with
     short codes, ``pairs`` the bigrams that are scored where they are read, as
     proposed by about ``sample`` documents; all leave the results as they
-    are. ``part_rows`` is about the number of bigrams of a part. A text without
+    are. ``part_rows`` is about the number of bigrams of a part, a quarter of
+    which is worked on at once. A text without
     words has 0 tokens and null entropies and score. Rows that repeat a doc_id
     are scored each by its own text; a null doc_id is never in the target. With
     an empty target its model is uniform.
@@ -401,9 +433,9 @@ def cross_entropy_difference(
     spark = docs.sparkSession
     texts = flagged(docs, target_ids, id_col, text_col)
     proposed = proposed_pairs(docs.select(F.col(text_col).cast("string").alias("text")), docs.count(), pairs, sample)
-    counts = materialise(counted(texts, proposed, 4 * flush), "scoring-words")
+    counts = materialise(counted(texts, proposed, 2 * flush), "scoring-words")
     lex = lexicon(counts, proposed, size)
-    parts = max(8, -(-lex.totals[0] // part_rows))
+    parts = max(16, -(-lex.totals[0] // part_rows))
     rates = (bigram, unigram, (1 - bigram - unigram) / (lex.n_words + 2))
     shared = spark.sparkContext.broadcast(lex)  # ``size`` words and ``pairs`` bigrams
 
@@ -422,12 +454,12 @@ def cross_entropy_difference(
             for record in batch.to_pylist():
                 at = (record["part"], record["kind"])
                 if at != now and held:
-                    yield from judged(held, now[1], shared.value, rates)
+                    yield from judged(held, now[1], shared.value, rates, part_rows // 4)
                     held = []
                 now = at
                 held.append(record)
         if held:
-            yield from judged(held, now[1], shared.value, rates)
+            yield from judged(held, now[1], shared.value, rates, part_rows // 4)
 
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "in_target", "text")
     sent = keyed.mapInArrow(send, SENT).repartition(parts, "part").sortWithinPartitions("part", "kind")
