@@ -213,7 +213,7 @@ def smallest(x: np.ndarray) -> bytes:
 
 
 def numbers(data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{len(data) // count}").astype(np.int64) if count else np.empty(0, dtype=np.int64)
+    return np.frombuffer(data, dtype=f"<u{len(data) // count}") if count else np.empty(0, dtype=np.uint8)
 
 
 def rate_of(counts: np.ndarray, model: int, lex: Lexicon, unigram: float, uniform: float) -> np.ndarray:
@@ -342,10 +342,10 @@ def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, flo
         return
     row = np.concatenate([np.frombuffer(r["row"], dtype=np.int64) for r in records])
     target = np.concatenate([np.frombuffer(r["target"], dtype=np.uint8) for r in records])
-    length = np.concatenate([numbers(r["docs"], len(r["target"])) for r in records])
+    length = np.concatenate([numbers(r["docs"], len(r["target"])) for r in records]).astype(np.int64)
     doc = np.repeat(np.arange(len(row), dtype=np.uint32), length)
     width = 4 if kind == BOTH_SHORT else 8
-    own = np.concatenate([numbers(r["own"], len(r["v"]) // width).astype(np.uint32) for r in records])
+    own = np.concatenate([numbers(r["own"], len(r["v"]) // width) for r in records])
     v = np.concatenate([np.frombuffer(r["v"], dtype=f"<u{width}") for r in records])
     w = np.concatenate([np.frombuffer(r["w"], dtype=np.uint64) for r in records])
     records.clear()
@@ -414,7 +414,7 @@ def counted_and_scored(kind: int, row, target, doc, v, w, own, lex: Lexicon, rat
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 23, pairs: int = 1 << 16, sample: int = 1 << 14, flush: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 22, pairs: int = 1 << 16, sample: int = 1 << 14, flush: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_tokens, target_entropy, background_entropy, score`` of every row, in nats per token.
 
@@ -451,13 +451,13 @@ def cross_entropy_difference(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for record in batch.to_pylist():
-                at = (record["part"], record["kind"])
+            names = batch.schema.names[2:]
+            for k, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if at != now and held:
                     yield from judged(held, now[1], shared.value, rates, part_rows // 4)
                     held = []
                 now = at
-                held.append(record)
+                held.append({c: batch.column(c)[k].as_buffer() for c in names})
         if held:
             yield from judged(held, now[1], shared.value, rates, part_rows // 4)
 
