@@ -45,7 +45,7 @@ RARE = 1 << 63  # the highest bit of the hash of every word
 ALL, TARGET, LAST, TARGET_LAST = range(4)  # what a count is of: words anywhere, or at the end of a document
 COUNTED = "word long, kind int, n long"
 SENT = "part int, kind int, row binary, docs binary, target binary, v binary, w binary, own binary"
-FOUND = "kind int, row long, doc_id long, n long, target double, background double, v long, own long, in_target boolean, b long, t long, other_b double, other_t double"
+FOUND = "kind int, row long, doc_id long, n long, target double, background double, v long, b long, t long, other_b double, other_t double, rows array<long>, ns array<int>, owns array<int>, flags array<int>"
 BOTH_SHORT, WITH_RARE, HEADER = range(3)  # kinds of records sent; of rows found: 0 a document, 1 a sum, 2 a bigram that lacks its context
 
 
@@ -320,7 +320,7 @@ class Sender:
 
 
 def table_of(kind: int, rows: int, /, **columns: np.ndarray) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "target": pa.float64(), "background": pa.float64(), "other_b": pa.float64(), "other_t": pa.float64(), "in_target": pa.bool_()}
+    types = {"kind": pa.int32(), "rows": pa.list_(pa.int64()), **dict.fromkeys(("ns", "owns", "flags"), pa.list_(pa.int32())), **dict.fromkeys(("target", "background", "other_b", "other_t"), pa.float64())}
     names = [c.split()[0] for c in FOUND.split(", ")]
     columns["kind"] = np.full(rows, kind, dtype=np.int32)
     arrays = [pa.nulls(rows, types.get(c, pa.int64())) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c]).cast(types.get(c, pa.int64())) for c in names]
@@ -392,7 +392,7 @@ def counted_and_scored(kind: int, row, target, doc, v, w, own, lex: Lexicon, rat
     b, t = (np.repeat(np.add.reduceat(x, group), size) if len(key) else x for x in (n, n * of))
     b, t = b - n, t - n * of  # in other documents
     scored = (w != END) & ((b + t > 0) | (w >= SHORT))
-    v, w, n, doc, own, of, b, t = (x[scored] for x in (v, w, n, doc, own, of, b, t))
+    key, v, w, n, doc, own, of, b, t = (x[scored] for x in (key, v, w, n, doc, own, of, b, t))
 
     def looked_up(code, short, long):
         """The counts of words in both models, by code or from this part."""
@@ -408,9 +408,12 @@ def counted_and_scored(kind: int, row, target, doc, v, w, own, lex: Lexicon, rat
         each = surprise(pair, context, other, bigram)[done]
         each = np.where(w[done] < SHORT, each + np.log(other[done]), each)  # the sender has added the rest
         total += np.bincount(doc[done], weights=n[done] * each, minlength=len(row))
-    if lacking.any():
-        columns = {"n": n, "v": v.view(np.int64), "own": own, "in_target": of == 1, "b": b, "t": t, "other_b": other_b, "other_t": other_t}
-        yield table_of(2, int(lacking.sum()), row=row[doc[lacking]], **{k: x[lacking] for k, x in columns.items()})
+    if lacking.any():  # a row for each bigram, with the documents that have it
+        key, v, n, doc, own, of, b, t, other_b, other_t = (x[lacking] for x in (key, v, n, doc, own, of, b, t, other_b, other_t))
+        first = runs(key)
+        offsets = np.append(first, len(key)).astype(np.int32)
+        lists = {c: pa.ListArray.from_arrays(offsets, pa.array(x)) for c, x in (("rows", row[doc]), ("ns", n.astype(np.int32)), ("owns", own.astype(np.int32)), ("flags", of.astype(np.int32)))}
+        yield table_of(2, len(first), v=v[first].view(np.int64), b=(b + n)[first], t=(t + n * of)[first], other_b=other_b[first], other_t=other_t[first], **lists)
 
 
 def cross_entropy_difference(
@@ -466,13 +469,15 @@ def cross_entropy_difference(
     found = materialise(sent.mapInArrow(judge, FOUND), "scoring-sums")
 
     counts = counts.select(F.col("word").alias("v"), (F.col("b") - F.col("last_b")).alias("cb"), (F.col("t") - F.col("last_t")).alias("ct"))
-    lacking = found.where("kind = 2").drop("target", "background", "doc_id").join(counts, "v")
-    off = F.when(F.col("in_target"), F.col("own")).otherwise(0)
+    lacking = found.where("kind = 2").select("v", "b", "t", "other_b", "other_t", "rows", "ns", "owns", "flags").join(counts, "v")
+    lacking = lacking.select("b", "t", "other_b", "other_t", "cb", "ct", F.inline(F.arrays_zip("rows", "ns", "owns", "flags")))
+    n = F.col("ns")
 
-    def log_p(pair, context, other):
-        return F.log(F.when(context > 0, bigram * F.col(pair) / F.when(context > 0, context)).otherwise(0.0) + F.col(other))
+    def loss(pair, context, other):
+        return -n * F.log(F.when(context > 0, bigram * pair / F.when(context > 0, context)).otherwise(0.0) + F.col(other))
 
-    late = lacking.select("row", (-F.col("n") * log_p("t", F.col("ct") - off, "other_t")).alias("target"), (-F.col("n") * log_p("b", F.col("cb") - F.col("own"), "other_b")).alias("background"), F.lit(0).alias("copies"))
+    target = loss(F.col("t") - n * F.col("flags"), F.col("ct") - F.col("owns") * F.col("flags"), "other_t")
+    late = lacking.select(F.col("rows").alias("row"), target.alias("target"), loss(F.col("b") - n, F.col("cb") - F.col("owns"), "other_b").alias("background"), F.lit(0).alias("copies"))
     documents = found.where("kind = 0").select("row", "doc_id", "n", F.col("target").alias("_t"), F.col("background").alias("_b"))
     zero = F.lit(0.0)
     each = found.where("kind = 1").select("row", "target", "background", F.lit(0).alias("copies"))
