@@ -101,6 +101,7 @@ def flagged(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str)
     """``doc_id, text, in_target``; only rows that may be in the target enter the join with its ids."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    wanted = materialise(wanted, "scoring-target")  # so the planner knows its size, and sends it to the texts where it is small
     maybe = marked(texts, "doc_id", wanted)
     others = maybe.where(~F.col("_maybe")).select("doc_id", "text", F.lit(False).alias("in_target"))
     some = maybe.where("_maybe").join(wanted.withColumn("_in", F.lit(True)), "doc_id", "left")
@@ -335,8 +336,11 @@ def headers(record: dict) -> pa.RecordBatch:
     return table_of(0, len(row), row=row, doc_id=ids, n=np.frombuffer(record["docs"], dtype=np.int64), target=target, background=background)
 
 
-def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, float, float], at_once: int) -> Iterator[pa.RecordBatch]:
-    """Counts and scores the bigrams of one part, about ``at_once`` of them together: sums by document, and bigrams of two rare words that lack their context."""
+def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, float, float], at_once: int, found: list) -> Iterator[pa.RecordBatch]:
+    """Counts and scores the bigrams of one part and kind, about ``at_once`` of them together.
+
+    Sums by document go to ``found``; bigrams of two rare words that lack their context are returned.
+    """
     if kind == HEADER:
         yield from map(headers, records)
         return
@@ -358,7 +362,16 @@ def judged(records: list[dict], kind: int, lex: Lexicon, rates: tuple[float, flo
         some = np.flatnonzero(group == g)
         yield from counted_and_scored(kind, row, target, doc[some].astype(np.int64), v[some], w[some] if len(w) else w, own[some].astype(np.int64), lex, rates, sums)
     some = np.flatnonzero(sums.any(axis=0))
-    yield table_of(1, len(some), row=row[some], target=sums[0][some], background=sums[1][some])
+    found.append((row[some], sums[:, some]))
+
+
+def together(found: list) -> Iterator[pa.RecordBatch]:
+    """The sums of a part, by row."""
+    if found:
+        row, at = np.unique(np.concatenate([r for r, _ in found]), return_inverse=True)
+        target, background = (np.bincount(at, weights=np.concatenate([x[k] for _, x in found]), minlength=len(row)) for k in (0, 1))
+        found.clear()
+        yield table_of(1, len(row), row=row, target=target, background=background)
 
 
 def counted_and_scored(kind: int, row, target, doc, v, w, own, lex: Lexicon, rates: tuple[float, float, float], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -452,17 +465,20 @@ def cross_entropy_difference(
         yield from sender.flush()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, sums = None, [], []
         for batch in batches:
             names = batch.schema.names[2:]
             for k, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if at != now and held:
-                    yield from judged(held, now[1], shared.value, rates, part_rows // 4)
+                    yield from judged(held, now[1], shared.value, rates, part_rows // 4, sums)
                     held = []
+                    if at[0] != now[0]:
+                        yield from together(sums)
                 now = at
                 held.append({c: batch.column(c)[k].as_buffer() for c in names})
         if held:
-            yield from judged(held, now[1], shared.value, rates, part_rows // 4)
+            yield from judged(held, now[1], shared.value, rates, part_rows // 4, sums)
+        yield from together(sums)
 
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "in_target", "text")
     sent = keyed.mapInArrow(send, SENT).repartition(parts, "part").sortWithinPartitions("part", "kind")
