@@ -41,6 +41,7 @@ from marginalia.llm.shingles import mix
 
 START, END = 0, 1  # codes; those of frequent words follow from 2
 SHORT = 1 << 16  # short codes are below
+FEW = 1 << 21  # ids
 RARE = 1 << 63  # the highest bit of the hash of every word
 ALL, TARGET, LAST, TARGET_LAST = range(4)  # what a count is of: words anywhere, or at the end of a document
 COUNTED = "word long, kind int, n long"
@@ -101,7 +102,10 @@ def flagged(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str)
     """``doc_id, text, in_target``; only rows that may be in the target enter the join with its ids."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    wanted = materialise(wanted, "scoring-target")  # so the planner knows its size, and sends it to the texts where it is small
+    wanted = materialise(wanted, "scoring-target")
+    if wanted.count() <= FEW:  # checked: a few dozen MB go to the texts; beyond, texts that may be in the target meet it by a shuffle
+        known = texts.join(F.broadcast(wanted.withColumn("_in", F.lit(True))), "doc_id", "left")
+        return known.select("doc_id", "text", F.coalesce("_in", F.lit(False)).alias("in_target"))
     maybe = marked(texts, "doc_id", wanted)
     others = maybe.where(~F.col("_maybe")).select("doc_id", "text", F.lit(False).alias("in_target"))
     some = maybe.where("_maybe").join(wanted.withColumn("_in", F.lit(True)), "doc_id", "left")

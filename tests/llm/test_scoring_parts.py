@@ -30,3 +30,10 @@ def test_a_very_long_text_and_repeated_rows(spark):
     assert twins[0] == twins[1] and twins[0][4] < 0
     short = {(r[0], round(r[3], 12)) for r in got if r[1] == 3}
     assert len({e for _, e in short}) == 1  # the background judges equal texts alike
+
+
+def test_a_large_target_is_joined_by_a_shuffle(spark, monkeypatch):
+    texts = [f"a b c{k % 5} d e{k % 3}" for k in range(40)]
+    want = scores(spark, texts)
+    monkeypatch.setattr(scoring, "FEW", 0)
+    assert scores(spark, texts) == want
