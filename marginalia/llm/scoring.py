@@ -53,7 +53,7 @@ BOTH_SHORT, WITH_RARE, HEADER = range(3)  # kinds of records sent; of rows found
 class WordCodes(dict):
     """Codes of words: the short one of a frequent word, else the word's hash; those met first are kept, up to a bound."""
 
-    def __init__(self, short: dict[int, int], kept: int = 250_000):
+    def __init__(self, short: dict[int, int], kept: int = 200_000):
         super().__init__()
         self.short, self.kept = short, kept
 
@@ -149,15 +149,18 @@ def counted(texts: DataFrame, pairs: np.ndarray, flush: int) -> DataFrame:
     keys = np.sort(pair_hash(pairs[:, 0], pairs[:, 1]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, targets, n = WordCodes({}, 500_000), [], [], 0
+        codes, held, targets, n = WordCodes({}), [], [], 0
 
         def flushed():
             for texts, words, last in ((held, ALL, LAST), ([w for w, t in zip(held, targets) if t], TARGET, TARGET_LAST)):
                 if not texts:
                     continue
                 w = np.concatenate(texts)
-                at, there = places(keys, pair_hash(np.concatenate([contexts_of(x) for x in texts]), w))
-                often = np.bincount(at[there], minlength=len(keys))
+                v, often = np.concatenate([contexts_of(x) for x in texts]), np.zeros(len(keys), dtype=np.int64)
+                for lo in range(0, len(w), 1 << 16):
+                    at, there = places(keys, pair_hash(v[lo : lo + (1 << 16)], w[lo : lo + (1 << 16)]))
+                    often += np.bincount(at[there], minlength=len(keys))
+                del v
                 some = np.flatnonzero(often)
                 found = [(words, *np.unique(w, return_counts=True)), (last, *np.unique(np.array([x[-1] for x in texts]), return_counts=True))]
                 found += [(words, np.array([START], dtype=np.uint64), np.array([len(texts)])), (words, keys[some], often[some])]
@@ -434,7 +437,7 @@ def counted_and_scored(kind: int, row, target, doc, v, w, own, lex: Lexicon, rat
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 22, pairs: int = 1 << 16, sample: int = 1 << 14, flush: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, size: int = 1 << 16, bigram: float = 0.6, unigram: float = 0.35, part_rows: int = 1 << 22, pairs: int = 1 << 16, sample: int = 1 << 14, flush: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_tokens, target_entropy, background_entropy, score`` of every row, in nats per token.
 
@@ -442,8 +445,8 @@ def cross_entropy_difference(
     repeated ones, do no harm. ``size``, at most 65,536, bounds the words with
     short codes, ``pairs`` the bigrams that are scored where they are read, as
     proposed by about ``sample`` documents; all leave the results as they
-    are. ``part_rows`` is about the number of bigrams of a part, a quarter of
-    which is worked on at once. A text without
+    are. ``part_rows`` is about the number of bigrams of a part, a sixteenth
+    of which is worked on at once. A text without
     words has 0 tokens and null entropies and score. Rows that repeat a doc_id
     are scored each by its own text; a null doc_id is never in the target. With
     an empty target its model is uniform.
@@ -453,7 +456,7 @@ def cross_entropy_difference(
     spark = docs.sparkSession
     texts = flagged(docs, target_ids, id_col, text_col)
     proposed = proposed_pairs(docs.select(F.col(text_col).cast("string").alias("text")), docs.count(), pairs, sample)
-    counts = materialise(counted(texts, proposed, 2 * flush), "scoring-words")
+    counts = materialise(counted(texts, proposed, 4 * flush), "scoring-words")
     lex = lexicon(counts, proposed, size)
     parts = max(16, -(-lex.totals[0] // part_rows))
     rates = (bigram, unigram, (1 - bigram - unigram) / (lex.n_words + 2))
@@ -474,14 +477,14 @@ def cross_entropy_difference(
             names = batch.schema.names[2:]
             for k, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if at != now and held:
-                    yield from judged(held, now[1], shared.value, rates, part_rows // 4, sums)
+                    yield from judged(held, now[1], shared.value, rates, part_rows // 16, sums)
                     held = []
                     if at[0] != now[0]:
                         yield from together(sums)
                 now = at
                 held.append({c: batch.column(c)[k].as_buffer() for c in names})
         if held:
-            yield from judged(held, now[1], shared.value, rates, part_rows // 4, sums)
+            yield from judged(held, now[1], shared.value, rates, part_rows // 16, sums)
         yield from together(sums)
 
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "in_target", "text")
