@@ -36,6 +36,9 @@ class Variable:
 
     def of_labels(self, column: Column, strict: bool = True) -> Column:
         """State indexes of labels. An unknown label is an error, or null if not ``strict``; null stays null."""
+        texts = [str(s) for s in self.states if s is not None]
+        if len(set(texts)) != len(texts):
+            raise ValueError(f"states of {self.name} print alike; give their indexes instead")
         cases = F.create_map(*(x for k, s in enumerate(self.states) if s is not None for x in (F.lit(str(s)), F.lit(k))))
         label = column.cast("string")
         found = cases[label]
@@ -49,7 +52,11 @@ class Variable:
 
 
 def variables_of(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> list[Variable]:
-    """Variables with the distinct values of columns as states, in order; one pass over the data. Nulls are no state."""
+    """Variables with the distinct values of columns as states, in order. Nulls are no state. Columns of more than ``most`` values are an error."""
+    counts = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()  # so that no large set is gathered
+    for c in columns:
+        if counts[c] > 1.2 * most:
+            raise ValueError(f"{c} has about {counts[c]} states, over {most}")
     sets = df.agg(*(F.sort_array(F.collect_set(F.col(c))).alias(c) for c in columns)).first()
     found = [Variable(c, tuple(sets[c])) for c in columns]
     for v in found:

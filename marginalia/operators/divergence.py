@@ -20,21 +20,41 @@ def paired(p: Space, q: Space, by: Sequence[str], space: DataFrame | None = None
     return joined.select(*by, F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
 
 
+def observed_space(p: Space, q: Space, by: Sequence[str]) -> DataFrame:
+    """All combinations of the values that either space has of each variable."""
+    found = None
+    for v in by:
+        values = p.marginal([v]).select(v).unionByName(q.marginal([v]).select(v)).distinct()
+        found = values if found is None else found.join(values, F.lit(True))  # the state space, which KL runs over
+    return found
+
+
 def kl(p: Space, q: Space, by: Sequence[str], space: DataFrame | None = None) -> DataFrame:
-    """``kl``: the sum of ``p log2(p / q)``; NaN as soon as any instance lacks probability in either."""
+    """``kl``: the sum of ``p log2(p / q)`` over the state space; NaN as soon as any instance lacks probability in either.
+
+    The state space is ``space``, or else all combinations of the values met in
+    either; so an instance that neither has gives NaN too.
+    """
     bad = (F.col("p") <= 0) | (F.col("q") <= 0) | F.isnan("p") | F.isnan("q")
     term = F.when(~bad, F.col("p") * F.log2(F.col("p") / F.when(~bad, F.col("q"))))
-    return paired(p, q, by, space).agg(F.when(F.coalesce(F.bool_or(bad), F.lit(True)), F.lit(NAN)).otherwise(F.sum(term)).alias("kl"))
+    pairs = paired(p, q, by, observed_space(p, q, by) if space is None else space)
+    return pairs.agg(F.when(F.coalesce(F.bool_or(bad), F.lit(True)), F.lit(NAN)).otherwise(F.sum(term)).alias("kl"))
+
 
+def pseudo_kl(p: Space, q: Space, factors: Mapping[str, Sequence[str]], space: DataFrame | None = None, conditional: bool = False) -> DataFrame:
+    """``pseudo_kl``: the KL divergences of the families' joint distributions, summed over p's structure ``child -> parents``.
 
-def pseudo_kl(p: Space, q: Space, factors: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``pseudo_kl``: KL of conditionals, factor by factor of p's structure ``child -> parents``, summed."""
+    ``conditional`` takes the divergence of the parents off each, which leaves
+    that of the conditional distributions.
+    """
     found = None
     for child, parents in factors.items():
-        one = kl(p, q, [child, *parents]).withColumnRenamed("kl", "v")
-        if parents:
+        one = kl(p, q, [child, *parents], space.select(child, *parents).distinct() if space is not None else None).withColumnRenamed("kl", "v")
+        if parents and conditional:
             one = one.crossJoin(F.broadcast(kl(p, q, list(parents)))).select((F.col("v") - F.col("kl")).alias("v"))  # one row each
         found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("a structure has variables")
     return found.agg(F.sum("v").alias("pseudo_kl"))
 
 

@@ -58,14 +58,14 @@ def sum_out(t: Table, variables: Sequence[str], ring: Semiring = SUM_PRODUCT) ->
     return rest, t[1].groupBy(*rest).agg(ring.add("w").alias("w"))
 
 
-def tables(model: Model, cond: Condition | None = None, skip: Sequence[int] = ()) -> list[Table]:
-    """The factors' rows under the condition, and a table of ones for variables that no factor has."""
+def tables(model: Model, cond: Condition | None = None, skip: Sequence[int] = (), ring: Semiring = SUM_PRODUCT) -> list[Table]:
+    """The factors' rows under the condition that are not the ring's zero, and a table of its ones for variables that no factor has."""
     cond = condition(cond)
     spark = model.factors[0].table.sparkSession if model.factors else None
-    found = [(f.scope, f.nonzero()) for k, f in enumerate(model.factors) if k not in skip]
+    found = [(f.scope, f.table.where(F.col("w") != F.lit(ring.zero))) for k, f in enumerate(model.factors) if k not in skip]
     for v in model.variables:
         if spark is not None and not any(v.name in s for s, _ in found):
-            found.append(((v.name,), state_space(spark, [v]).withColumn("w", F.lit(1.0))))
+            found.append(((v.name,), state_space(spark, [v]).withColumn("w", F.lit(ring.one))))
     return [(s, t.where(holds({k: v for k, v in cond.items() if k in s}))) for s, t in found]
 
 
@@ -86,7 +86,7 @@ def eliminate(parts: Sequence[Table], sizes: Mapping[str, int], keep: Sequence[s
 
 def wmc(model: Model, cond: Condition | None = None, ring: Semiring = SUM_PRODUCT, order: Sequence[str] | None = None) -> DataFrame:
     """``wmc``: the weight of all instances that meet the condition."""
-    _, table = eliminate(tables(model, cond), model.sizes, (), ring, order)
+    _, table = eliminate(tables(model, cond, ring=ring), model.sizes, (), ring, order)
     return table.agg(F.coalesce(ring.add("w"), F.lit(ring.zero)).alias("wmc"))
 
 
@@ -185,24 +185,79 @@ def batch_evidence(model: Model, evidence: DataFrame, observed: Sequence[str], t
     """The evidence rows with ``wmc``, or with a row per state of ``target`` and ``p``.
 
     One elimination keeps the observed variables; every row of evidence is then
-    a join away. Rows hold state indexes; nulls are not observed. Rows are
-    grouped by which variables they observe, at most ``2 ** len(observed)``
-    patterns, each with its own smaller table.
+    a join away. Rows hold state indexes; nulls are not observed. The patterns
+    of observed variables that occur, not all ``2 ** len(observed)``, get a
+    smaller table each. Posteriors are normalised in these tables, so evidence
+    rows, repeated ones too, are not shuffled for it. Evidence without weight
+    has ``wmc`` 0, or one row with a null state and NaN.
     """
     keep = [*observed, *([target] if target else [])]
     _, message = eliminate(tables(model), model.sizes, keep)
-    rows = evidence.withColumn("_pattern", sum((F.when(F.col(v).isNotNull(), 1 << k).otherwise(0) for k, v in enumerate(observed)), F.lit(0)))
-    sets = [[v for k, v in enumerate(observed) if m >> k & 1] + ([target] if target else []) for m in range(1 << len(observed))]
-    grouped = message.groupingSets([[F.col(v) for v in s] for s in sets], *keep).agg(F.sum("w").alias("_w"), F.grouping_id(*keep).alias("_gid"))
-    n = len(keep)
-    pattern = sum((F.when(F.shiftright("_gid", n - 1 - k).bitwiseAND(1) == 0, 1 << k).otherwise(0) for k in range(len(observed))), F.lit(0))
-    sums = grouped.select(*(F.col(v).alias(f"_e_{v}") for v in observed), *([F.col(target)] if target else []), "_w", pattern.alias("_p"))
+    bits = (F.when(F.col(v).isNotNull(), F.lit(1 << k).cast("long")).otherwise(0) for k, v in enumerate(observed))
+    rows = evidence.withColumn("_pattern", reduce(lambda a, b: a + b, bits, F.lit(0).cast("long")))
+    patterns = sorted(r["_pattern"] for r in rows.select("_pattern").distinct().collect())  # one row for each pattern
+    sums = None
+    for m in patterns:
+        seen = [v for k, v in enumerate(observed) if m >> k & 1]
+        grouped = message.groupBy(*seen, *([target] if target else [])).agg(F.sum("w").alias("_w"))
+        columns = [(F.col(v) if v in seen else F.lit(None).cast("int")).alias(f"_e_{v}") for v in observed]
+        one = grouped.select(F.lit(m).cast("long").alias("_p"), *columns, *([F.col(target).alias("_target")] if target else []), "_w")
+        sums = one if sums is None else sums.unionByName(one)
+    if sums is None:  # no evidence
+        out = rows.drop("_pattern")
+        return out.select("*", F.lit(None).cast("int").alias(target), F.lit(None).cast("double").alias("p")) if target else out.withColumn("wmc", F.lit(0.0))
+    if target:
+        z = F.sum("_w").over(Window.partitionBy("_p", *(f"_e_{v}" for v in observed)))  # over messages, not evidence
+        sums = sums.withColumn("_w", ratio(F.col("_w"), z))
     match = reduce(lambda a, b: a & b, (F.coalesce(rows[v], F.lit(-1)) == F.coalesce(sums[f"_e_{v}"], F.lit(-1)) for v in observed), rows["_pattern"] == sums["_p"])
     joined = rows.join(sums, match, "left")
     if not target:
         return joined.select(*evidence.columns, F.coalesce("_w", F.lit(0.0)).alias("wmc"))
-    z = F.sum("_w").over(Window.partitionBy(*evidence.columns))
-    return joined.select(*evidence.columns, target, ratio(F.col("_w"), z).alias("p"))
+    return joined.select(*evidence.columns, F.col("_target").alias(target), F.coalesce("_w", F.lit(float("nan"))).alias("p"))
+
+
+def target_marginals(model: Model, target: str, cond: Condition | None = None) -> DataFrame:
+    """``state, p`` of one variable under the condition, states without weight too; a condition on the target itself is left out."""
+    rest = {k: v for k, v in condition(cond).items() if k != target}
+    found = marginal(model, [target], rest)
+    states = state_space(found.sparkSession, [model.variable(target)])
+    joined = states.join(found, target, "left")
+    some = F.count("p").over(Window.partitionBy())  # over the states of one variable
+    return joined.select(F.col(target).alias("state"), F.when(some > 0, F.coalesce("p", F.lit(0.0))).otherwise(F.lit(float("nan"))).alias("p"))
+
+
+def target_map(model: Model, target: str, cond: Condition | None = None) -> DataFrame:
+    """``state, p``: the most likely state of one variable under the condition, the smallest on ties; no row without weight."""
+    best = F.max_by(F.struct("state", "p"), F.struct("p", -F.col("state")))
+    found = target_marginals(model, target, cond).where(~F.isnan("p")).agg(best.alias("b"))
+    return found.where(F.col("b").isNotNull()).select("b.state", "b.p")
+
+
+def gradients(model: Model, cond: Condition | None = None) -> DataFrame:
+    """``factor, states, d``: the derivatives of the weight by the parameters of all factors."""
+    found = None
+    for k, f in enumerate(model.factors):
+        one = gradient(model, k, cond).select(F.lit(k).alias("factor"), F.array(*(F.col(v).cast("int") for v in f.scope)).alias("states"), "d")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def wmc_by_enumeration(model: Model, cond: Condition | None = None) -> DataFrame:
+    """``wmc`` from every instance that meets the condition: the plain definition, for small models and for tests of other ways."""
+    spark = model.factors[0].table.sparkSession
+    rows = state_space(spark, model.variables).where(holds(condition(cond)))
+    weight = F.lit(1.0)
+    for k, f in enumerate(model.factors):
+        rows = rows.join(f.table.withColumnRenamed("w", f"_w{k}"), list(f.scope), "left")
+        weight = weight * F.coalesce(F.col(f"_w{k}"), F.lit(0.0))
+    return rows.agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("wmc"))
+
+
+def value_of(model: Model, instance: Mapping[str, int]) -> DataFrame:
+    """``wmc``: the weight of one complete instance."""
+    if set(instance) != set(model.sizes):
+        raise ValueError("the instance has every variable of the model")
+    return wmc(model, dict(instance))
 
 
 def soft_evidence(model: Model, evidence: DataFrame, observed: Sequence[str], row: str) -> DataFrame:

@@ -38,7 +38,9 @@ def train(data: DataFrame, variables: Sequence[Variable], structure: Structure,
     instance of a family. Vectors as evidence have to be expanded before.
     """
     by_name = {v.name: v for v in variables}
-    counted = network_counts(data, structure, weight).cache() if len(structure) > 1 else network_counts(data, structure, weight)
+    counted = network_counts(data, structure, weight)
+    if len(structure) > 1:
+        counted = written(counted, "families")  # counted once; as small as the state spaces
     factors = []
     for child, parents in structure.items():
         family = [by_name[child], *(by_name[p] for p in parents)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,13 +14,16 @@ from pyspark.sql import functions as F
 from marginalia.catalog import Condition, Variable, condition, holds
 from marginalia.operators.crosstab import WEIGHT
 from marginalia.operators.factors import Model
-from marginalia.operators.inference import eliminate, tables
+from marginalia.folders import written
+from marginalia.operators.inference import eliminate, product, tables, wmc
+from marginalia.plans.elimination import best_order
 
 Draw = Callable[[int], Column]  # the uniform number of a row for the k-th variable
 
 
 def random_draw(seed: int) -> Draw:
-    return lambda k: F.rand(seed + k)
+    """A number that depends on the seed, the variable and the row alone, so a repeated task draws the same."""
+    return lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("row")), F.lit(1 << 53)) / F.lit(2.0**53)
 
 
 def cdf(table: DataFrame, child: str, parents: Sequence[str], w: str = "w") -> DataFrame:
@@ -27,7 +32,7 @@ def cdf(table: DataFrame, child: str, parents: Sequence[str], w: str = "w") -> D
     listed = table.where(F.col(w) > 0).groupBy(*parents).agg(one.alias("s"))
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"])
     upto = F.transform("s", lambda x, i: F.struct(x[child].alias("state"), (F.aggregate(F.slice("s", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["w"]) / total).alias("hi")))
-    return listed.select(*parents, upto.alias("cdf"))
+    return listed.where(F.size("s") > 0).select(*parents, upto.alias("cdf"))
 
 
 def pick(u: Column, column: str = "cdf") -> Column:
@@ -36,13 +41,52 @@ def pick(u: Column, column: str = "cdf") -> Column:
     return F.when(F.size(over) > 0, over[0]["state"]).otherwise(F.element_at(column, -1)["state"])
 
 
+def until(n: int, propose: Callable[[int, int], DataFrame], buckets: int = 1024) -> DataFrame:
+    """The first ``n`` accepted rows: ``propose(start, size)`` gives those accepted among so many proposals, ``row`` their number.
+
+    Proposals go on in rounds sized by the share accepted so far. Rows are cut
+    at the ``n``-th by counts of buckets of proposals, so only one bucket is sorted.
+    """
+    start, size, got, rounds = 0, max(1000, 2 * n), 0, None
+    while got < n:
+        new = written(propose(start, size), "accepted")
+        width = max(1, -(-size // buckets))
+        counts = sorted((r["b"], r["count"]) for r in new.groupBy(F.floor((F.col("row") - start) / width).alias("b")).count().collect())  # ``buckets`` rows
+        total = sum(c for _, c in counts)
+        if got + total >= n:
+            before = 0
+            for b, c in counts:
+                if got + before + c >= n:
+                    break
+                before += c
+            low = start + b * width
+            last = new.where((F.col("row") >= low) & (F.col("row") < low + width)).orderBy("row").limit(n - got - before)
+            new = new.where(F.col("row") < low).unionByName(last)
+        rounds = new if rounds is None else rounds.unionByName(new)
+        start, got = start + size, got + total
+        size = min(max(size, math.ceil(1.2 * (n - got) * start / max(got, 1))), 100 * size)
+    return rounds
+
+
 def forward(model: Model, n: int, draw: Draw | None = None, cond: Condition | None = None, seed: int = 1) -> DataFrame:
-    """``n`` ancestral samples of a Bayesian network, ``row`` and the variables; those that miss the condition are left out."""
-    draw = draw or random_draw(seed)
+    """``n`` ancestral samples of a Bayesian network, ``row`` and the variables; under a condition, the first ``n`` proposals that meet it.
+
+    Without an instance that meets the condition there are no rows.
+    """
+    if not cond:
+        return ancestral(model, 0, n, draw or random_draw(seed))
+    proposals = lambda start, size: ancestral(model, start, size, draw or random_draw(seed)).where(holds(condition(cond)))
+    if n == 0 or wmc(model, cond).first()["wmc"] <= 0:
+        return proposals(0, 0)
+    return until(n, proposals)
+
+
+def ancestral(model: Model, start: int, n: int, draw: Draw) -> DataFrame:
+    """Samples ``start`` to ``start + n``, each variable given its parents."""
     spark = model.factors[0].table.sparkSession
     left = list(model.factors)
     known: list[str] = []
-    rows = spark.range(n).withColumnRenamed("id", "row")
+    rows = spark.range(start, start + n).withColumnRenamed("id", "row")
     k = 0
     while left:
         ready = [f for f in left if set(f.scope[1:]) <= set(known)]
@@ -56,31 +100,43 @@ def forward(model: Model, n: int, draw: Draw | None = None, cond: Condition | No
             known.append(child)
             left.remove(f)
             k += 1
-    return rows.where(holds(condition(cond))).select("row", *(v.name for v in model.variables))
+    return rows.select("row", *(v.name for v in model.variables))
+
 
+def direct(model: Model, n: int, variables: Sequence[str] | None = None, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, order: Sequence[str] | None = None) -> DataFrame:
+    """``n`` exact samples of any model under a condition, ``row`` and the variables; no rows where nothing meets the condition.
 
-def direct(model: Model, n: int, variables: Sequence[str] | None = None, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1) -> DataFrame:
-    """``n`` exact samples of any model under a condition: each variable given those before it, by eliminated tables."""
+    Variables are eliminated in the given or the best order, and each product
+    met on the way is kept; then they are drawn in the opposite order, each
+    given the variables it meets in its product. So no table is larger than
+    those of an elimination. The ``k``-th variable of the model uses ``draw(k)``.
+    """
     draw = draw or random_draw(seed)
-    variables = list(variables or (v.name for v in model.variables))
+    names = [v.name for v in model.variables]
     parts = tables(model, cond)
     spark = parts[0][1].sparkSession
-    rows = spark.range(n).withColumnRenamed("id", "row")
-    for k, v in enumerate(variables):
-        seen = variables[: k + 1]
-        scope, t = eliminate(parts, model.sizes, seen)
-        table = cdf(t, v, [x for x in seen[:-1] if x in scope])
-        parents = [x for x in seen[:-1] if x in scope]
-        joined = rows.join(table, parents) if parents else rows.crossJoin(F.broadcast(table))  # one row
-        rows = joined.withColumn("_u", draw(k)).select("row", *seen[:-1], pick(F.col("_u")).alias(v))
-    return rows
-
-
-def uniform(spark: SparkSession, variables: Sequence[Variable], n: int, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1) -> DataFrame:
-    """``n`` rows with every variable uniform over its allowed states."""
+    kept: list[tuple[str, list[str], DataFrame]] = []
+    for v in order or best_order([s for s, _ in parts], model.sizes):
+        mine = sorted((p for p in parts if v in p[0]), key=lambda p: math.prod(model.sizes[x] for x in p[0]))
+        parts = [p for p in parts if v not in p[0]]
+        scope, t = reduce(product, mine)
+        rest = [x for x in scope if x != v]
+        kept.append((v, rest, t))
+        parts.append((tuple(rest), t.groupBy(*rest).agg(F.sum("w").alias("w"))))
+    rows, known = spark.range(n).withColumnRenamed("id", "row"), []
+    for v, rest, t in reversed(kept):
+        table = cdf(t, v, rest)
+        joined = rows.join(table, rest) if rest else rows.crossJoin(F.broadcast(table))  # one row
+        rows = joined.withColumn("_u", draw(names.index(v))).select("row", *known, pick(F.col("_u")).alias(v))
+        known.append(v)
+    return rows.select("row", *(variables or names))
+
+
+def uniform(spark: SparkSession, variables: Sequence[Variable], n: int, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, start: int = 0) -> DataFrame:
+    """``n`` rows, numbered from ``start``, with every variable uniform over its allowed states."""
     draw = draw or random_draw(seed)
     cond = condition(cond)
-    rows = spark.range(n).withColumnRenamed("id", "row")
+    rows = spark.range(start, start + n).withColumnRenamed("id", "row")
     for k, v in enumerate(variables):
         allowed = cond.get(v.name, tuple(range(len(v))))
         if not allowed:
@@ -102,9 +158,14 @@ def from_table(table: DataFrame, n: int, draw: Draw | None = None, seed: int = 1
     table = table.where(F.col(WEIGHT) > 0)
     firsts = table.groupBy(by[0]).agg(F.sum(WEIGHT).alias("_sum"))
     whole = Window.orderBy(by[0])  # over the states of one variable
-    firsts = firsts.select(by[0], (F.sum("_sum").over(whole) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_z"))
+    before = F.coalesce(F.sum("_sum").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    firsts = firsts.select(by[0], "_sum", before.alias("_before")).withColumn("_z", F.max(F.col("_before") + F.col("_sum")).over(Window.partitionBy()))
     inside = Window.partitionBy(by[0]).orderBy(*by)
-    rows = table.join(firsts, by[0]).withColumn("_hi", (F.col("_before") + F.sum(WEIGHT).over(inside)) / F.col("_z")).withColumn("_lo", F.col("_hi") - F.col(WEIGHT) / F.col("_z"))
+    upto = (F.col("_before") + F.sum(WEIGHT).over(inside)) / F.col("_z")
+    ends = F.lead(F.lit(1)).over(inside).isNull()  # a state's last interval ends where the next state's first begins
+    close = F.when(F.col("_after") >= F.col("_z"), F.lit(1.0)).otherwise(F.col("_after") / F.col("_z"))
+    rows = table.join(firsts.withColumn("_after", F.col("_before") + F.col("_sum")), by[0]).withColumn("_hi", F.when(ends, close).otherwise(upto))
+    rows = rows.withColumn("_lo", F.coalesce(F.lag("_hi").over(inside), F.col("_before") / F.col("_z")))
     buckets = 1024
     bucket = F.explode(F.sequence(F.floor(F.greatest(F.col("_lo"), F.lit(0.0)) * buckets), F.least(F.floor(F.col("_hi") * buckets), F.lit(buckets - 1))))
     spans = rows.select(*by, "_lo", "_hi", bucket.alias("_bucket"))
@@ -115,22 +176,31 @@ def from_table(table: DataFrame, n: int, draw: Draw | None = None, seed: int = 1
     return best.select("row", *(F.col(f"_i.{c}").alias(c) for c in by))
 
 
-def rejection(model: Model, n: int, cond: Condition | None = None, seed: int = 1) -> DataFrame:
-    """The accepted among ``n`` uniform proposals; a proposal is accepted with its weight over a bound.
+def rejection(model: Model, n: int, cond: Condition | None = None, seed: int = 1, draw: Draw | None = None) -> DataFrame:
+    """``n`` samples: the first accepted uniform proposals, ``row`` their number; none where nothing meets the condition.
 
-    The bound is the product of the factors' largest weights under the
-    condition, so accepted rows follow the model exactly.
+    A proposal is accepted with its weight over a bound, the product of the
+    factors' largest weights under the condition, so accepted rows follow the
+    model exactly. The acceptance uses the draw after those of the variables.
     """
+    draw = draw or random_draw(seed)
     parts = tables(model, cond)
     spark = parts[0][1].sparkSession
-    rows = uniform(spark, model.variables, n, cond, seed=seed)
-    weight, bound = F.lit(1.0), F.lit(1.0)
-    for k, (scope, t) in enumerate(parts):
-        top = t.agg(F.coalesce(F.max("w"), F.lit(0.0)).alias(f"_b{k}"))
-        rows = rows.join(t.withColumnRenamed("w", f"_w{k}"), list(scope)).crossJoin(F.broadcast(top))  # one row
-        weight, bound = weight * F.col(f"_w{k}"), bound * F.col(f"_b{k}")
-    accepted = rows.withColumn("_u", F.rand(seed + 1000)).where(F.col("_u") * bound < weight)
-    return accepted.select("row", *(v.name for v in model.variables))
+    tops = [t.agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("w")).first()["w"] for _, t in parts]
+    bound = math.prod(tops)
+
+    def propose(start: int, size: int) -> DataFrame:
+        rows = uniform(spark, model.variables, size, cond, draw, start=start)
+        weight = F.lit(1.0)
+        for k, (scope, t) in enumerate(parts):
+            rows = rows.join(t.withColumnRenamed("w", f"_w{k}"), list(scope))
+            weight = weight * F.col(f"_w{k}")
+        accepted = rows.withColumn("_u", draw(len(model.variables))).where(F.col("_u") * bound < weight)
+        return accepted.select("row", *(v.name for v in model.variables))
+
+    if n == 0 or wmc(model, cond).first()["wmc"] <= 0:
+        return propose(0, 0)
+    return until(n, propose)
 
 
 def markov_chains(
@@ -138,10 +208,11 @@ def markov_chains(
 ) -> DataFrame:
     """``chain, step`` and the variables: ``length`` states of each of ``chains`` independent chains.
 
-    Chains run in parallel, one group each. The model's rows go along with the
-    task and must number at most ``most_cells``; larger models have to use
-    :func:`direct`. Gibbs sweeps all free variables in random order; Metropolis
-    changes one at a time. A chain starts at a state with weight.
+    Chains run in parallel, one group each, from exact samples as starts. The
+    model's cells are broadcast and must number at most ``most_cells``; larger
+    models have to use :func:`direct`. Gibbs sweeps all free variables in random
+    order; Metropolis changes one at a time. Under a condition that nothing
+    meets there are no chains.
     """
     if skip < 0 or burn_in < 0:
         raise ValueError("skip and burn_in are not negative")
@@ -160,13 +231,15 @@ def markov_chains(
             dense[tuple(r)[:-1]] = r[-1]
         held.append(([names.index(v) for v in scope], dense))
     allowed = [list(condition(cond).get(v.name, range(len(v)))) for v in model.variables]
-    touching = [[f for f in held if k in f[0]] for k in range(len(names))]
-    starts = [tuple(r)[1:] for r in direct(model, chains, names, cond, seed=seed).orderBy("row").collect()]  # one row a chain
+    shared = spark.sparkContext.broadcast(held)  # most_cells numbers
+    places = list(range(len(names)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         chain = int(pdf["chain"].iloc[0])
         rng = np.random.default_rng((seed, chain))
-        x = list(starts[chain])
+        start = [int(s) for s in pdf[names].iloc[0]]
+        x = list(start)
+        touching = [[f for f in shared.value if k in f[0]] for k in places]
 
         def weights(k):
             out = np.ones(len(allowed[k]))
@@ -193,7 +266,7 @@ def markov_chains(
         for t in range(length):
             rows.append((chain, t, *x))
             if pr_restart and rng.random() < pr_restart:
-                x[:] = starts[chain]
+                x[:] = start
                 for _ in range(burn_in):
                     step()
             for _ in range(skip + 1):
@@ -201,7 +274,8 @@ def markov_chains(
         return pd.DataFrame(rows, columns=["chain", "step", *names])
 
     schema = "chain long, step long, " + ", ".join(f"`{v}` int" for v in names)
-    return spark.range(chains).withColumnRenamed("id", "chain").groupBy("chain").applyInPandas(run, schema)
+    starts = direct(model, chains, names, cond, seed=seed).withColumnRenamed("row", "chain")
+    return starts.groupBy("chain").applyInPandas(run, schema)
 
 
 def chained(model: Model, pairs: dict[str, str], chains: int, length: int, initial: Condition | None = None, cond: Condition | None = None, seed: int = 1, most_cells: int = 1_000_000) -> DataFrame:

@@ -29,9 +29,9 @@ OBJECTIVES = {
     "min_fill": lambda g, v, s: (fill(g, v),),
     "min_degree_then_fill": lambda g, v, s: (len(g[v]), fill(g, v)),
     "min_fill_then_degree": lambda g, v, s: (fill(g, v), len(g[v])),
-    "min_weighted_degree": lambda g, v, s: (s[v] + sum(s[n] for n in g[v]),),
+    "min_weighted_degree": lambda g, v, s: (sum(s[n] for n in g[v]),),
     "min_weighted_fill": lambda g, v, s: (fill(g, v, lambda a, b: s[a] + s[b]),),
-    "min_traditional_weighted_fill": lambda g, v, s: (fill(g, v, lambda a, b: math.exp2(s[a] + s[b])),),
+    "min_traditional_weighted_fill": lambda g, v, s: (fill(g, v, lambda a, b: s[a] * s[b]),),
 }
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.catalog import Variable
+from marginalia.folders import written
 from marginalia.operators.factors import Factor, Model
 
-BLOCK = r"(node|potential)\s+(\([^)]*\)|[^\s{]+)\s*\{([^}]*)\}"
+BLOCK = r"(node|potential)\s+(\([^)]*\)|[^\s{]+)\s*\{((?:\"(?:[^\"\\]++|\\.)*+\"|[^}\"]++)*+)\}"
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
@@ -21,10 +22,10 @@ def read_net(spark: SparkSession, path: str) -> Model:
     its parents, the last fastest, and within these over the child. Numbers
     are taken apart in Spark, so large tables don't pass through the driver.
     """
-    text = F.regexp_replace("value", r"%[^\n]*", "")
+    text = F.regexp_replace("value", r'("(?:[^"\\]++|\\.)*+")|%[^\n]*', "$1")  # quoted text stays
     whole = spark.read.text(path, wholetext=True).select(text.alias("value"))
     blocks = whole.select(F.posexplode(F.regexp_extract_all("value", F.lit(BLOCK), F.lit(0))).alias("place", "block"))
-    parts = blocks.select("place", *(F.regexp_extract("block", BLOCK, k).alias(n) for k, n in ((1, "what"), (2, "name"), (3, "body"))))
+    parts = written(blocks.select("place", *(F.regexp_extract("block", BLOCK, k).alias(n) for k, n in ((1, "what"), (2, "name"), (3, "body")))), "net")  # the file is taken apart once
 
     def field(name: str) -> Column:
         return F.regexp_extract("body", name + r"\s*=\s*([^;]*);", 1)
@@ -46,6 +47,9 @@ def read_net(spark: SparkSession, path: str) -> Model:
         for n in reversed(order):
             columns[n] = (F.floor(F.col("k") / stride) % len(variables[n])).cast("int").alias(n)
             stride *= len(variables[n])
+        given = data.count()
+        if given < stride:
+            raise ValueError(f"too few values for {names[0]}: {given} of {stride}")
         w = F.when(F.col("k") < stride, F.col("w").cast("double")).otherwise(F.raise_error(F.lit(f"too many values for {names[0]}")).cast("double"))
         factors.append(Factor(tuple(mine), data.select(*(columns[n] for n in names), w.alias("w"))))
     return Model(tuple(variables.values()), tuple(factors))
