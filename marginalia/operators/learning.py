@@ -109,13 +109,15 @@ def network_from_tables(spark: SparkSession, tables: Sequence[DataFrame], variab
     return Model(tuple(variables), tuple(factors))
 
 
-def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable], rounds: int = 60, checkpoint: int = 20) -> DataFrame:
+def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable], rounds: int = 1000, tolerance: float = 1e-6, change: float = 1e-12) -> DataFrame:
     """One table over all variables whose projections fit the given tables, in proportion.
 
     Minimises the squared distance between the projections and the normalised
     tables over non-negative weights by multiplicative updates, each a join
     and an aggregate per table: a weight is multiplied by the sum of its
-    targets over the sum of its projections. Instances start out equal.
+    targets over the sum of its projections. Instances start out equal. Rounds
+    go on until the largest difference of a projection is below ``tolerance``
+    or falls by less than ``change``, or for ``rounds`` at most.
     """
     spark = tables[0].sparkSession
     names = [v.name for v in variables]
@@ -129,15 +131,20 @@ def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable],
         a = a.join(t.where(F.col("_b") > 0).select(*scope), scope, "left_semi")
     n = a.agg(F.count(F.lit(1)).alias("_n"))
     a = a.crossJoin(F.broadcast(n)).select(*names, (F.lit(1.0) / F.col("_n")).alias(WEIGHT))
-    for k in range(rounds):
+    last = float("inf")
+    for _ in range(rounds):
         num, den, rows = F.lit(0.0), F.lit(0.0), a
         for j, (scope, t) in enumerate(targets):
             sums = summed(a, scope).withColumnRenamed(WEIGHT, f"_p{j}").join(t.withColumnRenamed("_b", f"_b{j}"), scope)
             rows = rows.join(sums, scope)
             num, den = num + F.col(f"_b{j}"), den + F.col(f"_p{j}")
-        a = rows.select(*names, (F.col(WEIGHT) * num / den).alias(WEIGHT))
-        if (k + 1) % checkpoint == 0 or len(targets) > 1:
-            a = written(a, "coalesced")
+        worst = F.greatest(*(F.abs(F.col(f"_b{j}") - F.col(f"_p{j}")) for j in range(len(targets))), F.lit(0.0))
+        rows = written(rows.select(*names, (F.col(WEIGHT) * num / den).alias(WEIGHT), worst.alias("_worst")), "coalesced")
+        error = rows.agg(F.max("_worst").alias("e")).first()["e"] or 0.0  # of the weights before this round
+        a = rows.select(*names, WEIGHT)
+        if error < tolerance or abs(last - error) < change:
+            break
+        last = error
     return a
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.catalog import Variable, state_index, state_space
@@ -307,13 +307,6 @@ def fhi_two_spaces(spark, d):
     return divergence.factored_histogram_intersection(*halves(spark, d, "ln", "rf"), {"rf": ["ln"], "ln": []}).select(r9("fhi"))
 
 
-@query(
-    f"WITH {TWO}, a AS (SELECT ln, sum(p) AS p FROM p GROUP BY ln), b AS (SELECT ln, sum(q) AS q FROM q GROUP BY ln) SELECT round(2 * sum(p * log2(p / q)) - sum(p * log2(p / q)), 9) + 0.0 AS pseudo_kl FROM a JOIN b USING (ln)"
-)
-def pseudo_kl_structure(spark, d):
-    return divergence.pseudo_kl(*halves(spark, d, "ln"), {"ln": []}).select(r9("pseudo_kl"))
-
-
 # ---------------------------------------------------------------- learning
 
 
@@ -333,6 +326,32 @@ def cpt_dirichlet(spark, d):
 
 
 STRUCTURE = {"seg": [], "op": ["seg"], "os": ["op"]}
+HALVES = """so AS (SELECT (CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END)::INTEGER AS seg,
+  (left(o_orderpriority, 1)::INTEGER - 1)::INTEGER AS op, o_orderstatus AS st FROM orders JOIN customer ON o_custkey = c_custkey),
+p AS (SELECT seg, op, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM so WHERE st = 'F' GROUP BY seg, op),
+q AS (SELECT seg, op, count(*)::DOUBLE / sum(count(*)) OVER () AS q FROM so WHERE st = 'O' GROUP BY seg, op)"""
+
+
+def sold(spark, d):
+    rows = sales(spark, d)
+    return (Space(ct.cross_table(rows.where(F.col("os") == s), ["seg", "op"])) for s in (0, 1))
+
+
+@query(
+    f"""WITH {HALVES}, a AS (SELECT seg, sum(p) AS p FROM p GROUP BY seg), b AS (SELECT seg, sum(q) AS q FROM q GROUP BY seg),
+t AS (SELECT p * log2(p / q) AS v FROM p JOIN q USING (seg, op) UNION ALL SELECT p * log2(p / q) FROM a JOIN b USING (seg)) SELECT round(sum(v), 9) + 0.0 AS pseudo_kl FROM t"""
+)
+def pseudo_kl_structure(spark, d):
+    return divergence.pseudo_kl(*sold(spark, d), {"seg": [], "op": ["seg"]}).select(r9("pseudo_kl"))
+
+
+@query(
+    f"""WITH {HALVES}, a AS (SELECT seg, sum(p) AS p FROM p GROUP BY seg), b AS (SELECT seg, sum(q) AS q FROM q GROUP BY seg)
+SELECT round(sum(p.p * log2((p.p / a.p) / (q.q / b.q))) + (SELECT sum(p * log2(p / q)) FROM a JOIN b USING (seg)), 9) + 0.0 AS pseudo_kl FROM p JOIN q USING (seg, op) JOIN a USING (seg) JOIN b USING (seg)"""
+)
+def conditional_kl_structure(spark, d):
+    return divergence.pseudo_kl(*sold(spark, d), {"seg": [], "op": ["seg"]}, conditional=True).select(r9("pseudo_kl"))
+
 
 
 def sales(spark, d):
@@ -371,11 +390,34 @@ def network_from_crosstabs(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+@query(f"""WITH {SALES} SELECT 'seg, op' AS scope, a, b, round(w, 6) AS w FROM (SELECT seg AS a, op AS b, count(*)::DOUBLE / sum(count(*)) OVER () AS w FROM sales GROUP BY seg, op)
+UNION ALL SELECT 'op, os', a, b, round(w, 6) FROM (SELECT op AS a, os AS b, count(*)::DOUBLE / sum(count(*)) OVER () AS w FROM sales GROUP BY op, os)""")
 def coalesce_crosstabs(spark, d):
     rows = sales(spark, d)
-    out = learning.coalesce_tables([ct.cross_table(rows, ["seg", "op"]), ct.cross_table(rows, ["op", "os"])], [SEGMENT, PRIORITY, ORDER_STATUS], rounds=8)
-    return out.select("seg", "op", "os", F.round("weight", 6).alias("weight"))
+    out = learning.coalesce_tables([ct.cross_table(rows, ["seg", "op"]), ct.cross_table(rows, ["op", "os"])], [SEGMENT, PRIORITY, ORDER_STATUS], tolerance=1e-9)
+    parts = [ct.project(out, list(s)).select(F.lit(f"{s[0]}, {s[1]}").alias("scope"), F.col(s[0]).alias("a"), F.col(s[1]).alias("b"), (F.round("weight", 6) + 0.0).alias("w")) for s in (("seg", "op"), ("op", "os"))]
+    return parts[0].unionByName(parts[1])
+
+
+def family_rows(model: Model) -> DataFrame:
+    parts = [f.table.select(F.lit(f.scope[0]).alias("child"), F.col(f.scope[0]).alias("state"), (F.col(f.scope[1]) if f.scope[1:] else F.lit(-1)).cast("int").alias("parent"), r9("w")) for f in model.factors]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+for _method in ("first", "all"):  # either gives the conditional tables of the first table or of the mean; here one table has each family but that of op
+
+    def _from_tables(spark, d, method=_method):
+        rows = sales(spark, d)
+        tables = [ct.cross_table(rows, ["seg", "op"]), ct.cross_table(rows.where("seg < 3"), ["op", "os"])]
+        return family_rows(learning.network_from_tables(spark, tables, [SEGMENT, PRIORITY, ORDER_STATUS], method))
+
+    Q[f"network_from_crosstabs_{_method}"] = _from_tables
+    _op = "SELECT op, count(*)::DOUBLE / sum(count(*)) OVER () AS w FROM sales GROUP BY op"
+    _half = "SELECT op, count(*)::DOUBLE / sum(count(*)) OVER () AS w FROM sales WHERE seg < 3 GROUP BY op"
+    _op = _op if _method == "first" else f"SELECT op, sum(w) / 2 AS w FROM ({_op} UNION ALL {_half}) GROUP BY op"
+    SQL[f"network_from_crosstabs_{_method}"] = f"""WITH {SALES}, n AS (SELECT seg, op, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY op) AS w FROM sales GROUP BY seg, op),
+    m AS (SELECT os, op, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY op) AS w FROM sales WHERE seg < 3 GROUP BY os, op)
+    SELECT 'seg' AS child, seg AS state, op AS parent, round(w, 9) AS w FROM n UNION ALL SELECT 'op', op, -1, round(w, 9) FROM ({_op}) UNION ALL SELECT 'os', os, op, round(w, 9) FROM m"""
 
 
 # ---------------------------------------------------------------- inference
@@ -412,6 +454,35 @@ def batch_posterior(spark, d):
     return inference.batch_evidence(chain(spark, d), rows, ["op", "os"], target="seg").select("key", "seg", r9("p"))
 
 
+@query(f"WITH {SALES}, s AS (SELECT op, seg, sum(w) AS w FROM full_ GROUP BY op, seg), t AS (SELECT op, seg, w / sum(w) OVER (PARTITION BY op) AS p FROM s) SELECT o.op, t.seg, round(t.p, 9) AS p FROM (SELECT left(o_orderpriority, 1)::INTEGER - 1 AS op FROM orders) o JOIN t USING (op)")
+def batch_posterior_repeated(spark, d):
+    rows = table(spark, d, "orders").select(PRIORITY.of_labels(F.col("o_orderpriority")).alias("op"))  # few distinct rows, each many times
+    return inference.batch_evidence(chain(spark, d), rows, ["op"], target="seg").select("op", "seg", r9("p"))
+
+
+@query(f"WITH {SALES} SELECT op AS state, round(sum(w) / sum(sum(w)) OVER (), 9) AS p FROM full_ WHERE os = 2 GROUP BY op")
+def target_marginals(spark, d):
+    return inference.target_marginals(chain(spark, d), "op", {"os": 2, "op": 1}).select("state", r9("p"))
+
+
+@query(f"WITH {SALES} SELECT op AS state, round(sum(w) / sum(sum(w)) OVER (), 9) AS p FROM full_ WHERE os = 2 GROUP BY op ORDER BY sum(w) DESC, op LIMIT 1")
+def target_map(spark, d):
+    return inference.target_map(chain(spark, d), "op", {"os": 2}).select("state", r9("p"))
+
+
+@query(
+    f"""WITH {SALES} SELECT 0 AS factor, [seg] AS states, round(sum(wo * wt), 9) AS d FROM full_ GROUP BY seg
+UNION ALL SELECT 1, [op, seg], round(sum(ws * wt), 9) FROM full_ GROUP BY op, seg UNION ALL SELECT 2, [os, op], round(sum(ws * wo), 9) FROM full_ GROUP BY os, op"""
+)
+def gradients_all(spark, d):
+    return inference.gradients(chain(spark, d)).select("factor", "states", r9("d"))
+
+
+@query(f"WITH {SALES} SELECT round(sum(w), 9) AS wmc FROM full_ WHERE seg IN (0, 2) AND os = 1")
+def wmc_enumerated(spark, d):
+    return inference.wmc_by_enumeration(chain(spark, d), {"seg": (0, 2), "os": 1}).select(r9("wmc"))
+
+
 @query(f"WITH {SALES} SELECT c_custkey AS key, round(sum(f.w * CASE f.seg WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0.125 END * CASE WHEN f.os = c_custkey % 3 THEN 1.0 ELSE 0.1 END), 9) AS wmc FROM customer, full_ f GROUP BY c_custkey")
 def soft_evidence(spark, d):
     seg = F.array(*(F.lit(x) for x in (0.5, 0.25, 0.125, 0.125, 0.125)))
@@ -445,6 +516,12 @@ def semiring_max_sum(spark, d):
     return inference.wmc(mapped(chain(spark, d), F.log("w")), ring=inference.SEMIRINGS["max_sum"]).select(r9("wmc"))
 
 
+@query(f"WITH {SALES} SELECT round(max(CASE WHEN ws > 0.2 THEN 0 ELSE ln(ws) END + CASE WHEN wo > 0.2 THEN 0 ELSE ln(wo) END + CASE WHEN wt > 0.2 THEN 0 ELSE ln(wt) END), 9) + 0.0 AS wmc FROM full_")
+def semiring_max_sum_ones(spark, d):
+    """Logarithms of 0, which is the one of this ring, among the weights."""
+    return inference.wmc(mapped(chain(spark, d), F.when(F.col("w") > 0.2, 0.0).otherwise(F.log("w"))), ring=inference.SEMIRINGS["max_sum"]).select(r9("wmc"))
+
+
 def mapped(model: Model, w) -> Model:
     return Model(model.variables, tuple(Factor(f.variables, f.table.withColumn("w", w)) for f in model.factors))
 
@@ -564,24 +641,44 @@ def uniform_sample(spark, d):
     return sampling.uniform(spark, [FLAGS, STATUS], 1000, {"ls": 1}, draw=fixed)
 
 
-@query()
+@query(
+    f"""WITH {SALES}, r AS (SELECT range AS row, {U.format(k=0)} AS u0, {U.format(k=1)} AS u1 FROM range(1000)), g AS (SELECT seg, op, sum(w) AS w FROM full_ WHERE os = 1 GROUP BY ALL),
+s AS (SELECT seg, sum(w) AS w FROM g GROUP BY seg), c0 AS (SELECT seg, sum(w) OVER (ORDER BY seg) / sum(w) OVER () AS hi, (sum(w) OVER (ORDER BY seg) - w) / sum(w) OVER () AS lo FROM s),
+c1 AS (SELECT op, seg, sum(w) OVER (PARTITION BY seg ORDER BY op) / sum(w) OVER (PARTITION BY seg) AS hi, (sum(w) OVER (PARTITION BY seg ORDER BY op) - w) / sum(w) OVER (PARTITION BY seg) AS lo FROM g)
+SELECT row, c0.seg, c1.op FROM r JOIN c0 ON u0 >= c0.lo AND u0 < c0.hi JOIN c1 ON c1.seg = c0.seg AND u1 >= c1.lo AND u1 < c1.hi"""
+)
 def direct_sample(spark, d):
-    return sampling.direct(chain(spark, d), 1000, ["seg", "op"], {"os": 1})
+    return sampling.direct(chain(spark, d), 1000, ["seg", "op"], {"os": 1}, draw=fixed, order=["os", "op", "seg"])
 
 
-@query()
+@query(
+    f"""WITH {SALES}, b AS (SELECT (SELECT max(w) FROM fs) * (SELECT max(w) FROM fo) * (SELECT max(w) FROM ft WHERE os = 1) AS top),
+r AS (SELECT range AS row, floor({U.format(k=0).replace('row', 'range')} * 5)::INTEGER AS seg, floor({U.format(k=1).replace('row', 'range')} * 5)::INTEGER AS op, 1 AS os, {U.format(k=3).replace('row', 'range')} AS u FROM range(20000))
+SELECT row, seg, op, os FROM r JOIN full_ USING (seg, op, os), b WHERE u * top < w ORDER BY row LIMIT 500"""
+)
 def rejection_sample(spark, d):
-    return sampling.rejection(chain(spark, d), 2000, {"os": 1})
+    return sampling.rejection(chain(spark, d), 500, {"os": 1}, draw=fixed)
 
 
-@query()
+def close_to_exact(spark, d, method: str, cond: dict | None) -> DataFrame:
+    """Whether each marginal of the chains' states is within 0.03 of the exact one."""
+    model = chain(spark, d)
+    states = sampling.markov_chains(model, chains=64, length=300, method=method, cond=cond, skip=2)
+    n = F.sum("k").over(Window.partitionBy("variable"))  # over the states of a variable
+    long = states.select(F.inline(F.array(*(F.struct(F.lit(v.name).alias("variable"), F.col(v.name).alias("state")) for v in model.variables))))
+    drawn = long.groupBy("variable", "state").agg(F.count(F.lit(1)).alias("k")).withColumn("share", F.col("k") / n)
+    exact = inference.all_marginals(model, cond)
+    return exact.join(drawn, ["variable", "state"], "left").select("variable", "state", (F.abs(F.coalesce("share", F.lit(0.0)) - F.col("p")) < 0.03).alias("near"))
+
+
+@query("SELECT 'seg' AS variable, range::INTEGER AS state, true AS near FROM range(5) UNION ALL SELECT 'op', range::INTEGER, true FROM range(5) UNION ALL SELECT 'os', range::INTEGER, true FROM range(2)")
 def gibbs_sample(spark, d):
-    return sampling.markov_chains(chain(spark, d), chains=4, length=50, cond={"os": (0, 1)})
+    return close_to_exact(spark, d, "gibbs", {"os": (0, 1)})
 
 
-@query()
+@query("SELECT 'seg' AS variable, range::INTEGER AS state, true AS near FROM range(5) UNION ALL SELECT 'op', range::INTEGER, true FROM range(5) UNION ALL SELECT 'os', range::INTEGER, true FROM range(3)")
 def metropolis_sample(spark, d):
-    return sampling.markov_chains(chain(spark, d), chains=4, length=50, method="metropolis", skip=2)
+    return close_to_exact(spark, d, "metropolis", None)
 
 
 @query(
@@ -595,7 +692,26 @@ def example_sprinkler(spark, d):
     return inference.marginal(examples.network(spark, "sprinkler"), ["rain"], {"grass": 2}).select("rain", r9("p"))
 
 
-@query()
+def asia_sql() -> str:
+    """The eight tables as values, joined, with evidence, summed by variable."""
+    from marginalia.examples import NETWORKS
+
+    names, tables = NETWORKS["asia"]
+    parts, joins = [], []
+    for scope, values in tables:
+        rows = ", ".join(f"({', '.join(str(k >> (len(scope) - 1 - j) & 1) for j in range(len(scope)))}, {w}::DOUBLE)" for k, w in enumerate(values))
+        parts.append(f"t_{scope[0]}({', '.join(scope)}, w_{scope[0]}) AS (VALUES {rows})")
+    for scope in ("asia", "tub", "smoke", "lung", "bronc", "either", "xray", "dysp"):
+        joins.append(f"t_{scope}")
+    on = {"asia": "", "smoke": "", "tub": "(asia)", "lung": "(smoke)", "bronc": "(smoke)", "either": "(lung, tub)", "xray": "(either)", "dysp": "(bronc, either)"}
+    order = ("asia", "tub", "smoke", "lung", "bronc", "either", "xray", "dysp")
+    source = " ".join(f"t_{n}" if k == 0 else f"JOIN t_{n} USING {on[n]}" if on[n] else f"CROSS JOIN t_{n}" for k, n in enumerate(order))
+    weight = " * ".join(f"w_{n}" for n in order)
+    sums = " UNION ALL ".join(f"SELECT '{n}' AS variable, {n}::INTEGER AS state, round(sum(w) / sum(sum(w)) OVER (), 9) AS p FROM j GROUP BY {n} HAVING sum(w) > 0" for n in names)
+    return f"WITH {', '.join(parts)}, j AS (SELECT {', '.join(names)}, {weight} AS w FROM {source} WHERE xray = 0 AND smoke = 1) {sums}"
+
+
+@query(asia_sql())
 def example_asia(spark, d):
     from marginalia import examples
 
