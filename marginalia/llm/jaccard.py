@@ -16,6 +16,9 @@
 5. Each bucket returns a row per node: its links and the smallest node it is
    connected to. Components of these stars are the classes.
 
+6. The runs are repeated, twice as many each time, until the recall that two
+   halves of them tell reaches the target.
+
 With ``runs`` = 14 a pair at the threshold shares at least 14 picks on average
 and is missed with a probability of about exp(-14). A shared pick survives the
 splits of its bucket with a probability ``q`` only, 0.47 for two splits, so
@@ -38,6 +41,7 @@ from marginalia.llm.components import components
 from marginalia.llm.shared import materialise, plain_names
 from marginalia.llm.shingles import WordHashes, mix, shingle_set, unit
 
+NEAR = 0.05  # links less than this above the threshold, which are the most likely to be missed, tell the recall
 FEATURES = "doc_id long, h1 long, h2 long, size int, picks array<long>, more array<long>, sample binary"
 
 
@@ -71,10 +75,21 @@ def features(docs: DataFrame, width: int, runs: int, most: float, share: float,
     return chosen.mapInArrow(rows, FEATURES)
 
 
-def with_bucket_size(picks: DataFrame) -> DataFrame:
-    """The picks with the number ``n`` of nodes of their bucket, for buckets with two or more."""
-    sizes = picks.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return picks.join(sizes, "path")
+def with_bucket_size(picks: DataFrame, hot: int = 1 << 16) -> DataFrame:
+    """The picks with the number ``n`` of nodes of their bucket, for buckets with two or more.
+
+    Buckets with more than one ``hot``-th of all picks, fewer than ``hot``, are
+    broadcast; so no task gets all picks of such a bucket.
+    """
+    sizes = materialise(picks.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "jaccard-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    large = F.col("n") > max(256, total // hot)
+    known = picks.join(F.broadcast(sizes.where(large).withColumnRenamed("n", "_hot")), "path", "left")
+    small = F.col("_hot").isNull()
+    dealt = known.withColumns({"_small": small, "_key": F.when(small, F.col("path")).otherwise(F.xxhash64("node", "h1"))})
+    others = sizes.where(~large).select(F.col("path").alias("_key"), F.lit(True).alias("_small"), "n")
+    joined = dealt.join(others, ["_small", "_key"], "left").withColumn("n", F.coalesce("_hot", "n"))
+    return joined.where(F.col("n") > 1).select(*picks.columns, "n")
 
 
 def deeper(large: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
@@ -157,6 +172,15 @@ def own_pairs(table: pa.Table) -> np.ndarray:
     return mine
 
 
+def met_twice(table: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many of each node's pairs meet in the first half of all runs, in the second, and in both; a path's hash tells its half."""
+    if not pairs.any():
+        return (np.zeros(len(pairs), dtype=np.int64),) * 3
+    leaves = [np.array(x, dtype=np.int64) for x in table.column("leaves").to_pylist()]
+    halves = [overlaps([x[(mix(x, 6) & np.uint64(1)) == k] for x in leaves]) > 0 for k in (0, 1)]
+    return tuple((pairs & x).sum(axis=1) for x in (halves[0], halves[1], halves[0] & halves[1]))
+
+
 def survivors(threshold: float, sample: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
@@ -206,7 +230,10 @@ def judged(threshold: float, width: int):
             if len(some):
                 links = (linked @ copies).astype(np.int64)
                 h1 = t.column("h1").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (node, h1, links, label)], names=["node", "h1", "links", "label"])
+                near = linked & (common < (threshold + NEAR) * (size[:, None] + size[None, :] - common))
+                first, second, both = met_twice(t, near)
+                columns = (node, h1, links, label, first, second, both)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in columns], names=["node", "h1", "links", "label", "first", "second", "both"])
 
     return rows
 
@@ -252,18 +279,20 @@ def one_of_each_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id
     return keyed.where(~F.col("_maybe")).select(*columns).unionByName(kept.select(*columns)).toDF(*names)
 
 
-def jaccard_classes(
-    docs: DataFrame, width: int = 5, threshold: float = 0.8, runs: int = 14, leaf: int = 512, depth: int = 3, sample: int = 96, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row of ``docs``.
+def estimated_recall(found: DataFrame) -> float:
+    """The share of the links near the threshold that the runs find, estimated from two independent halves of them.
 
-    Two documents are linked if the Jaccard similarity of their shingle sets
-    is at least ``threshold``; ``n_links`` counts the other rows a row is linked
-    to, copies too. ``class_id`` is the smallest doc_id connected by links.
-    Null or blank texts have no shingles and are copies of each other. A null
-    doc_id has a null class and no links. Rows that repeat a doc_id with
-    different texts belong to one class; each keeps the links of its text.
+    Of the links that one half finds, the other finds a share; both miss the
+    product of what each misses. Without such links it is 1.
     """
+    first, second, both = found.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("first", "second", "both"))).first()
+    if not first or not second:
+        return 1.0 if not first + second else 0.0
+    return 1 - (1 - both / first) * (1 - both / second)
+
+
+def links_of(docs: DataFrame, width: int, threshold: float, runs: int, leaf: int, depth: int, sample: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with a shingle set's hash, the distinct sets, rows without an id, and the links of ``runs`` runs by node."""
     facts = materialise(features(docs, width, runs, runs / survival(depth - 1), threshold, sample, id_col, text_col), "jaccard-features")
     same, one = ["h1", "h2"], ["node", "h1"]  # a shingle set; a node
     some = facts.where(F.col("h1").isNotNull())
@@ -295,14 +324,39 @@ def jaccard_classes(
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     texts = narrowed(texts.where(F.col("text").isNotNull()), "node", close).join(close.select("node").distinct(), "node")
     full = tiles(close, leaf // 2).join(known.select(*one, "copies", "leaves"), one).join(texts, "node").select(*order, "part", *one, "copies", "leaves", "text")
-    found = full.repartition(*order).sortWithinPartitions(*order).mapInArrow(judged(threshold, width), "node long, h1 long, links long, label long")
+    found = full.repartition(*order).sortWithinPartitions(*order).mapInArrow(judged(threshold, width), "node long, h1 long, links long, label long, first long, second long, both long")
     found = materialise(found, "jaccard-links")
 
+    alone = facts.where(F.col("h1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return some, nodes, alone, found
+
+
+def jaccard_classes(
+    docs: DataFrame, width: int = 5, threshold: float = 0.8, runs: int = 14, leaf: int = 512, depth: int = 3, sample: int = 96, recall: float = 0.9995, most_runs: int = 224, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, class_id, n_links`` for every row of ``docs``.
+
+    ``runs`` are doubled until the recall, estimated from the links found, is at
+    least ``recall``, or ``most_runs`` are reached (see :func:`estimated_recall`).
+
+    Two documents are linked if the Jaccard similarity of their shingle sets
+    is at least ``threshold``; ``n_links`` counts the other rows a row is linked
+    to, copies too. ``class_id`` is the smallest doc_id connected by links.
+    Null or blank texts have no shingles and are copies of each other. A null
+    doc_id has a null class and no links. Rows that repeat a doc_id with
+    different texts belong to one class; each keeps the links of its text.
+    """
+    while True:
+        some, nodes, alone, found = links_of(docs, width, threshold, runs, leaf, depth, sample, id_col, text_col)
+        if 2 * runs > most_runs or estimated_recall(found) >= recall:
+            break
+        runs *= 2
+    same, one = ["h1", "h2"], ["node", "h1"]
+
     repeated = some.groupBy("doc_id").agg(F.count_distinct(*same).alias("k")).where(F.col("k") > 1)
     merged = repeated.join(some, "doc_id").join(nodes.select(*same, "node"), same).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     classes = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(merged))
     links = found.groupBy(*one).agg(F.sum("links").alias("links"))
     by_set = nodes.join(links, one, "left").join(classes, "node", "left")
     by_set = by_set.select(*same, F.coalesce("label", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    alone = facts.where(F.col("h1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return some.select("doc_id", *same).join(by_set, same).select("doc_id", "class_id", "n_links").unionByName(alone)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +50,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    mixed = mixing.mix(docs)
+    sources = [r["source"] for r in docs.where(F.col("source").isNotNull()).select("source").distinct().collect()]  # few, see mix
+    mixed = mixing.mix(docs, {s: target_weight(s) for s in sources})
     return mixed.select("doc_id", "source", *(F.col(f"_{c}").alias(c) for c in ("source_rank", "block", "slot", "position")))
 
 
+def target_weight(source: str) -> float:
+    """Unequal weights for the query, by rule: 1 to 1,009, from the name's CRC-32."""
+    return float(zlib.crc32(source.encode()) % 1009 + 1)
+
+
 def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"], F.lit("-"), m["end"])), ",")
