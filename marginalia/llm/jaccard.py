@@ -21,14 +21,14 @@
 
 With ``runs`` = 14 a pair at the threshold shares at least 14 picks on average
 and is missed with a probability of about exp(-14). A shared pick survives the
-splits of its bucket with a probability ``q`` only, 0.47 for two splits, so
-nodes with picks in large buckets get ``runs / q`` runs, in buckets of their own:
-with at least 14 surviving picks on average their pairs are missed as rarely.
+splits of its bucket with a probability of 0.63 for one split and 0.47 for two,
+so a pair whose picks are all in large buckets is missed with up to exp(-6.6);
+where such pairs are so many that the recall is below the target, the runs are
+repeated. Links over the threshold are exact.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,34 +42,26 @@ from marginalia.llm.shared import materialise, plain_names
 from marginalia.llm.shingles import WordHashes, mix, shingle_set, unit
 
 NEAR = 0.05  # links less than this above the threshold, which are the most likely to be missed, tell the recall
-FEATURES = "doc_id long, h1 long, h2 long, size int, picks array<long>, more array<long>, sample binary"
+FEATURES = "doc_id long, h1 long, h2 long, size int, picks array<long>, sample binary"
 
 
-def survival(splits: int) -> float:
-    """The probability that a shared pick of a pair at the threshold is still shared after so many splits."""
-    q = 1.0
-    for _ in range(splits):
-        q = 1 - math.exp(-q)
-    return q
-
-
-def features(docs: DataFrame, width: int, runs: int, most: float, share: float, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: hash and size of its shingle set, first-level picks of ``runs`` runs, those that ``most`` runs add, and a consistent sample; no hash without a doc_id."""
+def features(docs: DataFrame, width: int, runs: int, share: float, sample: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: hash and size of its shingle set, first-level picks of ``runs`` runs, and a consistent sample; no hash without a doc_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py() if doc is not None else None, words, width)
                 h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8").tolist() if doc is not None else (None, None)
                 at, rate = unit(mix(s, 1)), runs / (share * max(1, len(s)))
-                picked, more = s[at < rate], s[(at >= rate) & (at < rate * most / runs)]
+                picked = s[at < rate]
                 sampled = s[unit(mix(s, 2)) < sample / max(1, len(s))].astype("<u4")
-                for column, value in zip(out, (doc, h1, h2, len(s), picked.view(np.int64), more.view(np.int64), sampled.tobytes())):
+                for column, value in zip(out, (doc, h1, h2, len(s), picked.view(np.int64), sampled.tobytes())):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "h1", "h2", "size", "picks", "more", "sample"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "h1", "h2", "size", "picks", "sample"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(rows, FEATURES)
@@ -293,19 +285,15 @@ def estimated_recall(found: DataFrame) -> float:
 
 def links_of(docs: DataFrame, width: int, threshold: float, runs: int, leaf: int, depth: int, sample: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows with a shingle set's hash, the distinct sets, rows without an id, and the links of ``runs`` runs by node."""
-    facts = materialise(features(docs, width, runs, runs / survival(depth - 1), threshold, sample, id_col, text_col), "jaccard-features")
+    facts = materialise(features(docs, width, runs, threshold, sample, id_col, text_col), "jaccard-features")
     same, one = ["h1", "h2"], ["node", "h1"]  # a shingle set; a node
     some = facts.where(F.col("h1").isNotNull())
-    grouped = some.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("picks").alias("picks"), F.first("more").alias("more"), F.first("sample").alias("sample"))
+    grouped = some.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("picks").alias("picks"), F.first("sample").alias("sample"))
     nodes = materialise(grouped, "jaccard-nodes")
 
     level = materialise(with_bucket_size(nodes.select(F.explode("picks").alias("path"), *one)), "jaccard-level")
     leaves = level.where(F.col("n") <= leaf)
     large = level.where(F.col("n") > leaf)
-    if depth > 1 and not large.isEmpty():  # their nodes start again with more runs
-        again = nodes.join(large.select(*one).distinct(), one).select(F.explode(F.concat("picks", "more")).alias("path"), *one)
-        level = materialise(with_bucket_size(again.withColumn("path", F.xxhash64("path", F.lit("again")))), "jaccard-level")
-        leaves = leaves.unionByName(level.where(F.col("n") <= leaf))
     for _ in range(depth - 1):
         large = level.where(F.col("n") > leaf)
         if large.isEmpty():
