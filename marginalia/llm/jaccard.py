@@ -94,6 +94,7 @@ def deeper(large: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
                 tokens = np.frombuffer(sample, dtype="<u4").astype(np.uint64)
                 mixed = mix(tokens ^ np.uint64(path & 0xFFFFFFFFFFFFFFFF), 3)
                 kept = mix(mixed[unit(mixed) < 1 / (share * max(1, len(tokens)))], 4)
+                kept = kept >> np.uint64(1) << np.uint64(1) | np.uint64(path & 1)  # of the same half of the runs as its first pick
                 paths.append(kept.view(np.int64))
                 counts.append(len(kept))
             at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
@@ -165,11 +166,11 @@ def own_pairs(table: pa.Table) -> np.ndarray:
 
 
 def met_twice(table: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many of each node's pairs meet in the first half of all runs, in the second, and in both; a path's hash tells its half."""
+    """How many of each node's pairs meet in the first half of all runs, in the second, and in both; the lowest bit of a path tells its half."""
     if not pairs.any():
         return (np.zeros(len(pairs), dtype=np.int64),) * 3
     leaves = [np.array(x, dtype=np.int64) for x in table.column("leaves").to_pylist()]
-    halves = [overlaps([x[(mix(x, 6) & np.uint64(1)) == k] for x in leaves]) > 0 for k in (0, 1)]
+    halves = [overlaps([x[(x & 1) == k] for x in leaves]) > 0 for k in (0, 1)]
     return tuple((pairs & x).sum(axis=1) for x in (halves[0], halves[1], halves[0] & halves[1]))
 
 
