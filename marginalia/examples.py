@@ -164,7 +164,45 @@ def cnf(spark: SparkSession, n: int = 8, clauses: int = 12, shortest: int = 2, l
     return Model(tuple(v), tuple(found))
 
 
+# The edges of small factor graphs, between single letters.
+GRAPHS = {
+    "diamond_square": "ac ae bc bd cd ce df dh ef eg fg fh",
+    "triangle_square": "ab ac bc bd ce de df ef",
+    "truss": "ab ac bc bd cd ce de",
+}
+
+
+def graph(spark: SparkSession, name: str, states: int = 2, unaries: bool = True, seed: int = 1) -> Model:
+    """One of the small graphs, with a factor for each edge and, if wanted, each variable."""
+    edges = [tuple(e) for e in GRAPHS[name].split()]
+    names = sorted({v for e in edges for v in e})
+    return from_scopes(spark, dict.fromkeys(names, states), edges + [(v,) for v in names] * unaries, seed)
+
+
+def bow_tie(spark: SparkSession, states: int = 2, seed: int = 1) -> Model:
+    """Two factors of three variables that share one."""
+    return from_scopes(spark, {f"x{k}": states for k in range(1, 6)}, [("x1", "x2", "x3"), ("x1", "x4", "x5")], seed)
+
+
+def empty() -> Model:
+    """No variables and no factors."""
+    return Model((), ())
+
+
+def random_network(spark: SparkSession, n: int = 37, most_parents: int = 2, states: int = 3, seed: int = 1) -> Model:
+    """A Bayesian network of ``n`` variables whose parents are among the four before."""
+    rng = random.Random(seed)
+    v, found = [], []
+    for k in range(n):
+        v.append(Variable(f"n{k}", tuple(range(states))))
+        parents = sorted(rng.sample(range(max(0, k - 4), k), min(k, rng.randint(1, most_parents))))
+        family = [v[k], *(v[p] for p in parents)]
+        mixed = F.xxhash64(F.lit(seed), F.lit(k), *(F.col(x.name) for x in family))
+        found.append(cpt(filled(spark, family, (F.pmod(mixed, F.lit(997)) + 1) / F.lit(997.0))))
+    return Model(tuple(v), tuple(found))
+
+
 def stress(spark: SparkSession) -> Model:
     """Odd names and states, and most kinds of factors, some over the same variables."""
-    a, b, c = Variable("", (1.1, 1.23, None, "string")), Variable("ß x", (True, False)), Variable("plain", (0, "0", 0.0))
+    a, b, c = Variable("a=b, c", (2.5, None, "x;y", True)), Variable("größe %", (False, True)), Variable("kind", (7, "7", 7.0))
     return Model((a, b, c), (dense(spark, [a, b], range(8)), sparse(spark, [b, c], {(0, 1): 0.5, (1, 2): 2.0}), cpt(dense(spark, [c, a], range(12))), Factor((c,), filled(spark, [c], F.lit(1.0)).table)))

@@ -52,6 +52,83 @@ def order(scopes: Iterable[Iterable[str]], sizes: Mapping[str, int], objective:
     return found, largest
 
 
+def _remove(graph: dict[str, set[str]], v: str) -> None:
+    near = graph.pop(v)
+    for n in near:
+        graph[n] |= near - {n}
+        graph[n].discard(v)
+
+
+def _almost_simplicial(graph: Mapping[str, set[str]], v: str) -> bool:
+    """Whether all neighbours but one are connected with each other."""
+    open_pairs = [(a, b) for a in graph[v] for b in graph[v] if a < b and b not in graph[a]]
+    return not open_pairs or bool(set.intersection(*map(set, open_pairs)))
+
+
+def twig_prefix(scopes: Iterable[Iterable[str]], keep: Iterable[str] = ()) -> list[str]:
+    """Variables with at most one neighbour, again and again: an order may always begin with them."""
+    graph, found, kept = neighbours(scopes), [], set(keep)
+    while twigs := sorted(v for v in graph if len(graph[v]) <= 1 and v not in kept):
+        _remove(graph, twigs[0])
+        found.append(twigs[0])
+    return found
+
+
+def optimal_prefix(scopes: Iterable[Iterable[str]], keep: Iterable[str] = ()) -> list[str]:
+    """Variables that some best order, by width, may begin with.
+
+    They are simplicial (all neighbours are connected), or almost so with no
+    more neighbours than the width known to be needed, which is the largest
+    number of neighbours of a simplicial variable met so far.
+    """
+    graph, found, least, kept = neighbours(scopes), [], 0, set(keep)
+    while True:
+        free = sorted(v for v in graph if v not in kept)
+        simplicial = next((v for v in free if fill(graph, v) == 0), None)
+        v = simplicial or next((x for x in free if len(graph[x]) <= least and _almost_simplicial(graph, x)), None)
+        if v is None:
+            return found
+        if simplicial:
+            least = max(least, len(graph[v]))
+        _remove(graph, v)
+        found.append(v)
+
+
+#: Planners by name: an order from scopes, sizes and the variables kept.
+PLANNERS = {name: lambda scopes, sizes, keep=(), o=name: order(scopes, sizes, o, keep)[0] for name in OBJECTIVES}
+
+
+def planned(scopes: Iterable[Iterable[str]], sizes: Mapping[str, int], planner: str = "best", prefix: str | None = None, keep: Iterable[str] = ()) -> list[str]:
+    """An order by a planner's name, ``best`` for the best of all, after a ``twig`` or ``optimal`` prefix."""
+    scopes = [tuple(s) for s in scopes]
+    first = {"twig": twig_prefix, "optimal": optimal_prefix, None: lambda *_: []}[prefix](scopes, keep)
+    graph = neighbours(scopes)
+    for v in first:
+        _remove(graph, v)
+    rest = [(v, n) for v, near in graph.items() for n in near] + [(v,) for v in graph]
+    return first + (best_order(rest, sizes, keep) if planner == "best" else PLANNERS[planner](rest, sizes, keep))
+
+
+def maximal_tree(scopes: Iterable[Iterable[str]], sizes: Mapping[str, int]) -> tuple[list[frozenset], list[int | None]]:
+    """The maximal clusters of the best order, joined into a tree by the largest separators, and the parent of each.
+
+    The root of each tree is its smallest cluster, and a parent comes before
+    its children.
+    """
+    every = join_tree(scopes, sizes)[0]
+    clusters = sorted({c for c in every if not any(c < d for d in every)}, key=lambda c: (sum(math.log2(max(1, sizes[v])) for v in c), sorted(c)))
+    found: list[frozenset] = []
+    parents: list[int | None] = []
+    left = list(clusters)
+    while left:
+        best = max(((len(c & f), -k, -left.index(c)) for c in left for k, f in enumerate(found)), default=(0, 0, 0))
+        c = left[-best[2]] if best[0] else left[0]
+        found.append(c)
+        parents.append(-best[1] if best[0] else None)
+        left.remove(c)
+    return found, parents
+
+
 def best_order(scopes: Iterable[Iterable[str]], sizes: Mapping[str, int], keep: Iterable[str] = ()) -> list[str]:
     """The order with the smallest largest table among all objectives."""
     scopes = [tuple(s) for s in scopes]
