@@ -47,8 +47,9 @@ class Variable:
         return F.when(label.isNull(), F.lit(None).cast("int")).when(found.isNull(), F.raise_error(F.concat(F.lit(f"unknown state of {self.name}: "), label)).cast("int")).otherwise(found)
 
     def labels(self, column: Column) -> Column:
-        """Labels of state indexes, as text."""
-        return F.element_at(F.array(*(F.lit(None if s is None else str(s)).cast("string") for s in self.states)), column + 1)
+        """Labels of state indexes, as text; null stays null."""
+        label = F.element_at(F.array(*(F.lit(None if s is None else str(s)).cast("string") for s in self.states)), column + 1)
+        return F.when(column.isNotNull(), label)  # a null place alone does not make element_at nullable
 
 
 def variables_of(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> list[Variable]:

@@ -126,3 +126,14 @@ def test_net_files_with_percent_signs_and_too_few_values(spark, tmp_path):
     (tmp_path / "few.net").write_text('node v { states = ("a" "b"); }\npotential (v) { data = (0.5); } % comment\n')
     with pytest.raises(ValueError):
         net.read_net(spark, str(tmp_path / "few.net"))
+
+
+def test_labels_of_missing_cells_are_missing(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.catalog import Variable
+    from marginalia.operators.building import dump
+
+    v = Variable("v", ("a", "b"))
+    rows = spark.range(6).select(F.when(F.col("id") % 3 != 2, F.col("id") % 3).cast("int").alias("v"), F.lit(1.0).alias("weight"))
+    assert sorted(r.line for r in dump(rows, [v]).collect()) == ["?, x 1.0"] * 2 + ["a, x 1.0"] * 2 + ["b, x 1.0"] * 2
