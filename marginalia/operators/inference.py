@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.catalog import Condition, condition, holds, state_space
+from marginalia.folders import written
 from marginalia.functions.scalar import ratio
 from marginalia.operators.factors import Model
 from marginalia.operators.space import Space
@@ -111,41 +112,56 @@ def probability(model: Model, event: Condition, cond: Condition | None = None) -
     return table.agg(ratio(hit, F.coalesce(F.sum("w"), F.lit(0.0))).alias("p"))
 
 
-def all_marginals(model: Model, cond: Condition | None = None) -> DataFrame:
-    """``variable, state, p`` for every variable, from one pass up and one down a join tree."""
+def all_marginals(model: Model, cond: Condition | None = None, most_joins: int = 8) -> DataFrame:
+    """``variable, state, p`` for every variable, from one pass up and one down a join tree.
+
+    A message whose plan has come to more than ``most_joins`` joins is written,
+    and so are the sums, so plans stay small however large the model is.
+    """
     parts = tables(model, cond)
     clusters, parents = join_tree([s for s, _ in parts], model.sizes)
-    home: list[list[Table]] = [[] for _ in clusters]
+    home: list[list[tuple[Table, int]]] = [[] for _ in clusters]  # tables with the number of joins in their plans
     for part in parts:
-        home[next(k for k, c in enumerate(clusters) if set(part[0]) <= c)].append(part)
+        home[next(k for k, c in enumerate(clusters) if set(part[0]) <= c)].append((part, 0))
     spark = parts[0][1].sparkSession
     one: Table = ((), spark.range(1).select(F.lit(1.0).alias("w")))
 
-    def times(found: Sequence[Table]) -> Table:
-        return reduce(product, found) if found else one
-
-    children = [[k for k, p in enumerate(parents) if p == c] for c in range(len(clusters))]
-    up: dict[int, Table] = {}
-    for c in range(len(clusters)):
-        t = times([*home[c], *(up[k] for k in children[c])])
-        above = clusters[parents[c]] if parents[c] is not None else frozenset()
-        up[c] = sum_out(t, [v for v in t[0] if v not in above])
-    down: dict[int, Table] = {}
+    def times(found: Sequence[tuple[Table, int]]) -> tuple[Table, int]:
+        if not found:
+            return one, 0
+        return reduce(product, (t for t, _ in found)), sum(n for _, n in found) + len(found) - 1
+
+    def message(found: Sequence[tuple[Table, int]], keep: frozenset) -> tuple[Table, int]:
+        t, joins = times(found)
+        scope, rows = sum_out(t, [v for v in t[0] if v not in keep])
+        return ((scope, written(rows, "message")), 0) if joins > most_joins else ((scope, rows), joins)
+
+    children: list[list[int]] = [[] for _ in clusters]
+    for c, p in enumerate(parents):
+        if p is not None:
+            children[p].append(c)
+    up: dict[int, tuple[Table, int]] = {}
+    for c, p in enumerate(parents):
+        up[c] = message([*home[c], *(up[k] for k in children[c])], clusters[p] if p is not None else frozenset())
+    down: dict[int, tuple[Table, int]] = {}
     roots = [c for c, p in enumerate(parents) if p is None]
     for c in reversed(range(len(clusters))):
-        if parents[c] is None:
-            down[c] = times([up[r] for r in roots if r != c])
-        else:
-            p = parents[c]
-            t = times([*home[p], *(up[k] for k in children[p] if k != c), down[p]])
-            down[c] = sum_out(t, [v for v in t[0] if v not in clusters[c]])
-    found = None
-    for v in model.variables:
-        c = min((k for k, cl in enumerate(clusters) if v.name in cl), key=lambda k: len(clusters[k]))
-        t = times([*home[c], *(up[k] for k in children[c]), down[c]])
-        sums = sum_out(t, [x for x in t[0] if x != v.name])[1]
-        mine = sums.select(F.lit(v.name).alias("variable"), F.col(v.name).alias("state"), "w")
-        found = mine if found is None else found.unionByName(mine)
+        p = parents[c]
+        others = [up[r] for r in roots if r != c] if p is None else [*home[p], *(up[k] for k in children[p] if k != c), down[p]]
+        down[c] = message(others, clusters[c])
+    wanted: dict[int, list[str]] = {}
+    for v in model.variables:  # the largest clusters serve most variables
+        wanted.setdefault(max((k for k, c in enumerate(clusters) if v.name in c), key=lambda k: (len(clusters[k]), k)), []).append(v.name)
+    kept, found, joins = [], None, 0
+    for c, mine in wanted.items():
+        (_, belief), n = times([*home[c], *(up[k] for k in children[c]), down[c]])
+        each = F.inline(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("state")) for v in mine)))
+        sums = belief.select(each, "w").groupBy("variable", "state").agg(F.sum("w").alias("w"))
+        found, joins = sums if found is None else found.unionByName(sums), joins + n
+        if joins > 4 * most_joins:
+            kept.append(written(found, "marginals"))
+            found, joins = None, 0
+    found = reduce(DataFrame.unionByName, [*kept, *([] if found is None else [found])])
     z = found.groupBy("variable").agg(F.sum("w").alias("_z"))
     return found.join(z, "variable").select("variable", "state", ratio(F.col("w"), F.col("_z")).alias("p"))
 
