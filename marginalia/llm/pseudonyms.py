@@ -29,6 +29,8 @@ Numbers that fail their validation stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +57,23 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
 
-def _keyed(key: str, *parts: Column, bits: int = 256) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *parts), bits)
+Key = str | Column
+
+
+def _keyed(key: Key, *parts: Column, bits: int = 256) -> Column:
+    return F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), *parts), bits)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _number(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, 10).cast("bigint")
 
 
-def feistel(key: str, tweak: Column, left: Column, right: Column, a: Column, b: Column) -> Column:
+def feistel(key: Key, tweak: Column, left: Column, right: Column, a: Column, b: Column) -> Column:
     """A keyed permutation of the pairs (left < a, right < b), as a struct of l and r."""
 
     def turn(acc: Column, i: Column) -> Column:
@@ -78,13 +88,13 @@ def feistel(key: str, tweak: Column, left: Column, right: Column, a: Column, b:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r")), turn)
 
 
-def feistel_text(key: str, value: Column) -> Column:
+def feistel_text(key: Key, value: Column) -> Column:
     """Letters and digits of a text moved within their class by the same kind of network; other characters stay."""
 
     def shifted(half: Column, noise: Column) -> Column:
         def one(p: Column) -> Column:
             code = F.ascii(half.substr(p, F.lit(1)))
-            k = F.conv(noise.substr((p - 1) * 4 % 124 + 1, F.lit(4)), 16, 10).cast("int")
+            k = F.conv(noise.substr(p * 4 - 3, F.lit(4)), 16, 10).cast("int")
             moved = (
                 F.when(code.between(48, 57), (code - 48 + k) % 10 + 48)
                 .when(code.between(65, 90), (code - 65 + k) % 26 + 65)
@@ -94,10 +104,15 @@ def feistel_text(key: str, value: Column) -> Column:
 
         return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")).otherwise(F.lit(""))
 
+    def moved(i: Column, half: Column, other: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.length(half) - 1) / 32), F.lit(0)).cast("int"))  # 32 characters each
+        seed = _keyed(key, F.lit("text"), i.cast("string"), other, bits=512)
+        noise = _once(seed, lambda z: F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", z, b.cast("string")), 512)), ""))
+        return _once(noise, lambda z: shifted(half, z))
+
     def turn(acc: Column, i: Column) -> Column:
         odd = i % 2 == 1
-        noise = _keyed(key, F.lit("text"), i.cast("string"), F.when(odd, acc["r"]).otherwise(acc["l"]), bits=512)
-        return F.struct(F.when(odd, shifted(acc["l"], noise)).otherwise(acc["l"]).alias("l"), F.when(odd, acc["r"]).otherwise(shifted(acc["r"], noise)).alias("r"))
+        return F.struct(F.when(odd, moved(i, acc["l"], acc["r"])).otherwise(acc["l"]).alias("l"), F.when(odd, acc["r"]).otherwise(moved(i, acc["r"], acc["l"])).alias("r"))
 
     middle = (F.length(value) / 2).cast("int")
     halves = F.struct(F.substring(value, F.lit(1), middle).alias("l"), value.substr(middle + 1, F.length(value)).alias("r"))
@@ -130,7 +145,7 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("bigint")
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Key, m: Column) -> Column:
     digits = _digits(m)
     body = digits.substr(F.lit(1), F.length(digits) - 1)
     n = F.length(body)
@@ -140,7 +155,7 @@ def _card(key: str, m: Column) -> Column:
     return F.when(luhn_digit(body) == F.right(digits, F.lit(1)), pour(F.concat(new, luhn_digit(new)), m))
 
 
-def _phone(key: str, m: Column) -> Column:
+def _phone(key: Key, m: Column) -> Column:
     digits = _digits(m)
     ten = F.right(digits, F.lit(10))
     moved = feistel(key, F.lit("phone"), F.left(ten, F.lit(3)).cast("bigint") - 200, F.right(ten, F.lit(7)).cast("bigint") - 2_000_000, F.lit(800), F.lit(8_000_000))
@@ -148,7 +163,7 @@ def _phone(key: str, m: Column) -> Column:
     return pour(F.concat(digits.substr(F.lit(1), F.length(digits) - 10), new), m)
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Key, m: Column) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("bigint") for a, n in ((1, 3), (5, 2), (8, 4)))
     place = area - F.when(area > 666, 2).otherwise(1)
     moved = feistel(key, F.lit("ssn"), place * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
@@ -158,13 +173,13 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), text)
 
 
-def _ipv4(key: str, m: Column) -> Column:
+def _ipv4(key: Key, m: Column) -> Column:
     part = [F.split(m, r"\.")[k].cast("bigint") for k in range(4)]
     moved = feistel(key, F.lit("ipv4"), part[0] * 256 + part[1], part[2] * 256 + part[3], F.lit(65536), F.lit(65536))
     return F.concat_ws(".", *(x.cast("string") for half in ("l", "r") for x in (F.floor(moved[half] / 256), moved[half] % 256)))
 
 
-def _date(key: str, m: Column) -> Column:
+def _date(key: Key, m: Column) -> Column:
     part = [F.split(m, r"[-./]")[k].cast("int") for k in range(3)]
     iso, dotted = m.contains("-"), m.contains(".")
 
@@ -181,11 +196,11 @@ def _date(key: str, m: Column) -> Column:
     return F.when(nth.between(0, 146096), text)
 
 
-def _email(key: str, m: Column) -> Column:
+def _email(key: Key, m: Column) -> Column:
     return F.concat(feistel_text(key, F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-def _secret(key: str, m: Column) -> Column:
+def _secret(key: Key, m: Column) -> Column:
     aws = m.startswith("AKIA")
     return F.when(aws, F.concat(F.lit("AKIA"), feistel_text(key, m.substr(F.lit(5), F.length(m))))).otherwise(feistel_text(key, m))
 
@@ -199,18 +214,21 @@ def kind(m: Column) -> Column:
     return F.coalesce(found, F.lit("secret"))
 
 
-def pseudonym(key: str, m: Column) -> Column:
-    """The pseudonym of a match, or null where its kind's validation fails."""
+def pseudonym(key: Key, m: Column, which: Column) -> Column:
+    """The pseudonym of a match of the given kind, or null where the kind's validation fails."""
     makers = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "secret": _secret}
-    chosen, which = None, kind(m)
+    chosen = None
     for name, make in makers.items():
         chosen = (F if chosen is None else chosen).when(which == name, make(key, m))
     return chosen
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | DataFrame, text_col: str = "text") -> DataFrame:
     """``docs``, every column, with the text's personal data replaced, and ``_n_replaced``.
 
+    A key given as text is a literal of the plan, which logs show. A key in a
+    table of one row and one column, such as one read from a protected file,
+    is not; another number of rows is an error.
     A null text stays null and counts 0. Rows are independent: repeated rows
     give repeated results, and an empty table an empty one.
     """
@@ -220,9 +238,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     for sign in ("@", "AKIA"):
         likely = likely | text.contains(sign)
     hit = likely & text.rlike(ANY)
+    if isinstance(key, DataFrame):
+        (column,) = key.columns
+        one = F.when(F.count(F.lit(1)) == 1, F.first(F.col(f"`{column}`").cast("string"))).otherwise(F.raise_error(F.lit("one key is needed")))
+        key, keyed = F.col("_key"), plain.crossJoin(F.broadcast(key.agg(one.alias("_key"))))  # one row
+    else:
+        keyed = plain
     # one column a step, so that no step is worked out twice
-    out = plain.withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    out = out.withColumn("_fresh", F.transform("_found", lambda m: F.coalesce(pseudonym(key, m), m)))
+    out = keyed.withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    out = out.withColumn("_fresh", F.zip_with("_found", F.transform("_found", kind), lambda m, which: F.coalesce(pseudonym(key, m, which), m)))
     between = F.split(text, ANY, -1)
     filled = F.array_join(F.zip_with(between, F.concat("_fresh", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = F.size(F.filter(F.zip_with("_found", "_fresh", lambda m, p: p != m), lambda x: x))
