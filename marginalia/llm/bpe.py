@@ -45,19 +45,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     """Tokens by rank, with the memory of which token may follow which."""
 
-    def __init__(self, ranks: dict[bytes, int], pairs: int = 2_000_000):
+    def __init__(self, ranks: dict[bytes, int], pairs: int = 500_000):
         self.ranks, self.pairs = ranks, pairs
         self.bytes_of = {i: t for t, i in ranks.items()}
         # tokens whose bytes do not encode to themselves can only be whole words, never parts of one
-        self.inner = {t: i for t, i in ranks.items() if len(t) == 1 or self.merged(t) == [i]}
-        if any(bytes([b]) not in self.inner for b in range(256)):
+        inner = {t: i for t, i in ranks.items() if len(t) == 1 or self.merged(t) == [i]}
+        if any(bytes([b]) not in inner for b in range(256)):
             raise ValueError("a byte-level vocabulary has all 256 bytes")
         # finds all inner tokens in a word, those that end at the same byte longest first; bytes are given as Latin-1
         self.found = ahocorasick.Automaton()
-        for token, i in self.inner.items():
+        for token, i in inner.items():
             self.found.add_word(token.decode("latin-1"), (i, len(token)))
         self.found.make_automaton()
-        self.longest = max(map(len, self.inner))
+        self.longest = max(map(len, inner))
         self._may_follow: dict[tuple[int, int], bool] = {}
 
     def merged(self, piece: bytes, border: int = -1) -> list[int]:
@@ -171,7 +171,7 @@ class Memory(dict):
 class Encoder:
     """Ids of texts. Words met before come from a memory of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = 250_000):
         import regex
 
         self.vocabulary = Vocabulary(ranks)
@@ -241,6 +241,13 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return found[name]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time, so that results of a large batch are not in memory together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids_col: str = "_ids") -> DataFrame:
     """All columns of ``docs`` with ``ids_col``: the text's ids as little-endian unsigned 32-bit bytes.
 
@@ -254,7 +261,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"encoder {ranks} {pattern}", lambda: Encoder(read_ranks(ranks), pattern))
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("_text")
             found = pa.array([encoder.encode(t.as_py() or "") for t in batch.column(at)], pa.binary())
             yield batch.remove_column(at).append_column("_ids", found)
@@ -269,9 +276,9 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "_ids", bytes_col: str
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = kept(f"tokens {ranks}", lambda: {i: t for t, i in read_ranks(ranks).items()})
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("_sent")
-            found = pa.array([None if i is None else decoded(i, bytes_of) for i in batch.column(at).to_pylist()], pa.binary())
+            found = pa.array([None if i is None else decoded(i, bytes_of) for i in map(pa.Scalar.as_py, batch.column(at))], pa.binary())
             yield batch.remove_column(at).append_column("_bytes", found)
 
     plain, names, new = plain_names(encoded, (bytes_col,))
