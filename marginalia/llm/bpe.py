@@ -278,7 +278,7 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "_ids", bytes_col: str
         bytes_of = kept(f"tokens {ranks}", lambda: {i: t for t, i in read_ranks(ranks).items()})
         for batch in slices(batches):
             at = batch.schema.get_field_index("_sent")
-            found = pa.array([None if i is None else decoded(i, bytes_of) for i in map(pa.Scalar.as_py, batch.column(at))], pa.binary())
+            found = pa.array([decoded(i.as_py(), bytes_of) if i.is_valid else None for i in batch.column(at)], pa.binary())
             yield batch.remove_column(at).append_column("_bytes", found)
 
     plain, names, new = plain_names(encoded, (bytes_col,))
