@@ -35,16 +35,19 @@ def matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
-def search(rows: DataFrame, queries: DataFrame, shards: int, shard: F.Column, dimension: int, k: int, score_type: str, build: Callable, batch: int = 256) -> DataFrame:
-    """The ``k`` best of every query: ``query_id, rank, vec_id, score``.
+def found_type(score_type: str) -> str:
+    return RESULT.format(score_type)
+
 
-    Rows are dealt over ``shards``; each query visits every shard. A task holds
-    one shard, given to ``build(ids, matrix)``, and streams the queries past
-    the function it returns, which gives each query's best few there as
-    (indexes, scores). Partial results are merged by score and id.
+def visit(dimension: int, score_type: str, build: Callable, batch: int = 256) -> Callable:
+    """Tasks over rows ``shard, asks, vec_id, uid, vector``, sorted by shard and asks: 0 for rows held there, 1 for queries.
+
+    A task holds one shard at a time, given to ``build(ids, matrix)``, and
+    streams the queries past the function it returns, which gives each query's
+    best few there as (indexes, scores).
     """
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.float64() if score_type == "double" else pa.int64()
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         best, now = None, None
@@ -77,9 +80,18 @@ def search(rows: DataFrame, queries: DataFrame, shards: int, shard: F.Column, di
                         best, parts = (own, build(own, np.concatenate([m for _, m in parts]))), []
                     yield from answers(ids[lo:hi], uids[lo:hi], vectors[lo:hi], best)
 
+    return tasks
+
+
+def search(rows: DataFrame, queries: DataFrame, shards: int, shard: F.Column, dimension: int, k: int, score_type: str, build: Callable) -> DataFrame:
+    """The ``k`` best of every query: ``query_id, rank, vec_id, score``.
+
+    Rows are dealt over ``shards``; each query visits every shard (see
+    :func:`visit`). Partial results are merged by score and id.
+    """
     held = rows.select(F.pmod(shard, F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "vec_id", "uid", "vector")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "uid", "vector")
     dealt = held.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "vec_id")
-    found = dealt.mapInArrow(visit, RESULT.format(score_type))
+    found = dealt.mapInArrow(visit(dimension, score_type, build), found_type(score_type))
     order = Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
