@@ -7,7 +7,7 @@ has the variable, so it reaches the scans.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -112,29 +112,52 @@ def probability(model: Model, event: Condition, cond: Condition | None = None) -
     return table.agg(ratio(hit, F.coalesce(F.sum("w"), F.lit(0.0))).alias("p"))
 
 
-def all_marginals(model: Model, cond: Condition | None = None, most_joins: int = 8) -> DataFrame:
-    """``variable, state, p`` for every variable, from one pass up and one down a join tree.
+@dataclass(frozen=True)
+class Messages:
+    """A join tree with its tables and all messages up and down; each is a table with the number of joins in its plan."""
 
-    A message whose plan has come to more than ``most_joins`` joins is written,
-    and so are the sums, so plans stay small however large the model is.
-    """
-    parts = tables(model, cond)
-    clusters, parents = join_tree([s for s, _ in parts], model.sizes)
-    home: list[list[tuple[Table, int]]] = [[] for _ in clusters]  # tables with the number of joins in their plans
-    for part in parts:
-        home[next(k for k, c in enumerate(clusters) if set(part[0]) <= c)].append((part, 0))
-    spark = parts[0][1].sparkSession
-    one: Table = ((), spark.range(1).select(F.lit(1.0).alias("w")))
+    clusters: list[frozenset]
+    parents: list[int | None]
+    home: list[list[int]]  # the numbers of the tables each cluster has
+    parts: list[Table]
+    up: dict[int, tuple[Table, int]]
+    down: dict[int, tuple[Table, int]]
 
-    def times(found: Sequence[tuple[Table, int]]) -> tuple[Table, int]:
-        if not found:
-            return one, 0
-        return reduce(product, (t for t, _ in found)), sum(n for _, n in found) + len(found) - 1
+    def around(self, cluster: int, without: int | None = None) -> tuple[Table, int]:
+        """The product of a cluster's tables, but one, and of all that comes in: the model summed over all variables outside."""
+        own = [(self.parts[k], 0) for k in self.home[cluster] if k != without]
+        return _times([*own, *(self.up[c] for c, p in enumerate(self.parents) if p == cluster), self.down[cluster]])
+
+    def cluster_of(self, variable: str) -> int:
+        """The largest cluster with the variable, as it serves most variables."""
+        return max((k for k, c in enumerate(self.clusters) if variable in c), key=lambda k: (len(self.clusters[k]), k))
+
+
+def _times(found: Sequence[tuple[Table, int]]) -> tuple[Table, int]:
+    return reduce(product, (t for t, _ in found)), sum(n for _, n in found) + len(found) - 1
+
+
+def _kept(scope: tuple[str, ...], rows: DataFrame, joins: int, most_joins: int) -> tuple[Table, int]:
+    """The table, written if its plan has more than ``most_joins`` joins."""
+    return ((scope, written(rows, "message")), 0) if joins > most_joins else ((scope, rows), joins)
+
+
+def messages(parts: Sequence[Table], sizes: Mapping[str, int], most_joins: int = 8) -> Messages:
+    """One pass up and one down a join tree. A message whose plan has come to more than ``most_joins`` joins is written, so plans stay small."""
+    parts = list(parts)
+    clusters, parents = join_tree([s for s, _ in parts], sizes)
+    home: list[list[int]] = [[] for _ in clusters]
+    for k, part in enumerate(parts):
+        home[next(c for c, vs in enumerate(clusters) if set(part[0]) <= vs)].append(k)
+    spark = parts[0][1].sparkSession
+    one: tuple[Table, int] = (((), spark.range(1).select(F.lit(1.0).alias("w"))), 0)
 
     def message(found: Sequence[tuple[Table, int]], keep: frozenset) -> tuple[Table, int]:
-        t, joins = times(found)
+        if not found:
+            return one
+        t, joins = _times(found)
         scope, rows = sum_out(t, [v for v in t[0] if v not in keep])
-        return ((scope, written(rows, "message")), 0) if joins > most_joins else ((scope, rows), joins)
+        return _kept(scope, rows, joins, most_joins)
 
     children: list[list[int]] = [[] for _ in clusters]
     for c, p in enumerate(parents):
@@ -142,47 +165,114 @@ def all_marginals(model: Model, cond: Condition | None = None, most_joins: int =
             children[p].append(c)
     up: dict[int, tuple[Table, int]] = {}
     for c, p in enumerate(parents):
-        up[c] = message([*home[c], *(up[k] for k in children[c])], clusters[p] if p is not None else frozenset())
+        up[c] = message([*((parts[k], 0) for k in home[c]), *(up[k] for k in children[c])], clusters[p] if p is not None else frozenset())
     down: dict[int, tuple[Table, int]] = {}
     roots = [c for c, p in enumerate(parents) if p is None]
     for c in reversed(range(len(clusters))):
         p = parents[c]
-        others = [up[r] for r in roots if r != c] if p is None else [*home[p], *(up[k] for k in children[p] if k != c), down[p]]
+        others = [up[r] for r in roots if r != c] if p is None else [*((parts[k], 0) for k in home[p]), *(up[k] for k in children[p] if k != c), down[p]]
         down[c] = message(others, clusters[c])
-    wanted: dict[int, list[str]] = {}
-    for v in model.variables:  # the largest clusters serve most variables
-        wanted.setdefault(max((k for k, c in enumerate(clusters) if v.name in c), key=lambda k: (len(clusters[k]), k)), []).append(v.name)
-    kept, found, joins = [], None, 0
-    for c, mine in wanted.items():
-        (_, belief), n = times([*home[c], *(up[k] for k in children[c]), down[c]])
-        each = F.inline(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("state")) for v in mine)))
-        sums = belief.select(each, "w").groupBy("variable", "state").agg(F.sum("w").alias("w"))
-        found, joins = sums if found is None else found.unionByName(sums), joins + n
+    return Messages(clusters, parents, home, parts, up, down)
+
+
+def _gathered(found: Iterable[tuple[DataFrame, int]], most_joins: int, name: str) -> DataFrame:
+    """The union of tables given with the joins in their plans; parts of it are written once they have come to many."""
+    done, now, joins = [], None, 0
+    for rows, n in found:
+        now, joins = rows if now is None else now.unionByName(rows), joins + n
         if joins > 4 * most_joins:
-            kept.append(written(found, "marginals"))
-            found, joins = None, 0
-    found = reduce(DataFrame.unionByName, [*kept, *([] if found is None else [found])])
+            done.append(written(now, name))
+            now, joins = None, 0
+    return reduce(DataFrame.unionByName, [*done, *([] if now is None else [now])])
+
+
+def _state_sums(passed: Messages, variables: Sequence[str], most_joins: int) -> DataFrame:
+    """``variable, state, w`` of variables, from one product for each cluster that serves some."""
+    wanted: dict[int, list[str]] = {}
+    for v in variables:
+        wanted.setdefault(passed.cluster_of(v), []).append(v)
+
+    def sums():
+        for c, mine in wanted.items():
+            (_, belief), n = passed.around(c)
+            each = F.inline(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("state")) for v in mine)))
+            yield belief.select(each, "w").groupBy("variable", "state").agg(F.sum("w").alias("w")), n
+
+    return _gathered(sums(), most_joins, "marginals")
+
+
+def all_marginals(model: Model, cond: Condition | None = None, most_joins: int = 8) -> DataFrame:
+    """``variable, state, p`` for every variable, from one pass up and one down a join tree.
+
+    Large messages and sums are written (see :func:`messages`), so plans stay
+    small however large the model is.
+    """
+    found = _state_sums(messages(tables(model, cond), model.sizes, most_joins), [v.name for v in model.variables], most_joins)
     z = found.groupBy("variable").agg(F.sum("w").alias("_z"))
     return found.join(z, "variable").select("variable", "state", ratio(F.col("w"), F.col("_z")).alias("p"))
 
 
-def mpe(model: Model, cond: Condition | None = None) -> DataFrame:
+def derivatives(model: Model, cond: Condition | None = None, most_joins: int = 8) -> tuple[DataFrame, DataFrame]:
+    """All first derivatives of the weight under a condition, from one pass up and down a join tree.
+
+    The first table, ``factor, states, d``, is by the parameter of each row of
+    each factor; the second, ``variable, state, d``, by the indicator of each
+    state: what the weight would be if the variable had that state, and the
+    rest of the condition held. States that the condition rules out have one
+    too. A variable's condition is a table of its own in the tree, so leaving
+    it out is leaving out one table of a product.
+    """
+    cond = condition(cond)
+    spark = model.factors[0].table.sparkSession
+    parts = tables(model)
+    # factors come first in ``parts``, in their order; then variables that no factor has, and the conditions
+    first = len(parts)
+    for v, states in cond.items():
+        parts.append(((v,), state_space(spark, [model.variable(v)]).where(F.col(v).isin(*states) if states else F.lit(False)).withColumn("w", F.lit(1.0))))
+    passed = messages(parts, model.sizes, most_joins)
+    cluster = {k: c for c, ks in enumerate(passed.home) for k in ks}
+
+    def by_parameter():
+        for k, f in enumerate(model.factors):
+            t, n = passed.around(cluster[k], k)
+            scope, rest = sum_out(t, [v for v in t[0] if v not in f.scope])
+            on = [v for v in f.scope if v in scope]
+            rest = rest.withColumnRenamed("w", "_d")
+            joined = f.table.join(rest, on, "left") if on else f.table.crossJoin(F.broadcast(rest))  # one row
+            yield joined.select(F.lit(k).alias("factor"), F.array(*(F.col(v).cast("int") for v in f.scope)).alias("states"), F.coalesce("_d", F.lit(0.0)).alias("d")), n + 1
+
+    def by_indicator():
+        free = [v.name for v in model.variables if v.name not in cond]
+        if free:
+            yield _state_sums(passed, free, most_joins).withColumnRenamed("w", "d"), 0
+        for k, v in enumerate(cond):
+            (scope, t), n = passed.around(cluster[first + k], first + k)
+            yield t.groupBy(F.lit(v).alias("variable"), F.col(v).alias("state")).agg(F.sum("w").alias("d")), n
+
+    each = reduce(DataFrame.unionByName, (state_space(spark, [v]).select(F.lit(v.name).alias("variable"), F.col(v.name).alias("state")) for v in model.variables))
+    indicators = each.join(_gathered(by_indicator(), most_joins, "derivatives"), ["variable", "state"], "left").select("variable", "state", F.coalesce("d", F.lit(0.0)).alias("d"))
+    return _gathered(by_parameter(), most_joins, "derivatives"), indicators
+
+
+def mpe(model: Model, cond: Condition | None = None, most_joins: int = 8) -> DataFrame:
     """The most probable instance and its weight ``w``, the smallest states on ties.
 
     Each elimination keeps, for every instance of the rest, the best state; the
-    instance is then read off these tables in the opposite order.
+    instance is then read off these tables in the opposite order. A table whose
+    plan has more than ``most_joins`` joins is written, as it is read twice.
     """
-    parts = tables(model, cond)
+    parts = [(p, 0) for p in tables(model, cond)]
     best: list[tuple[str, tuple[str, ...], DataFrame]] = []
-    for v in best_order([s for s, _ in parts], model.sizes):
-        mine = [p for p in parts if v in p[0]]
-        parts = [p for p in parts if v not in p[0]]
-        scope, t = reduce(product, mine)
+    for v in best_order([s for (s, _), _ in parts], model.sizes):
+        mine = [p for p in parts if v in p[0][0]]
+        parts = [p for p in parts if v not in p[0][0]]
+        (scope, t), joins = _times(mine)
         rest = tuple(x for x in scope if x != v)
         t = t.groupBy(*rest).agg(F.max("w").alias("w"), F.max_by(F.col(v), F.struct("w", -F.col(v))).alias(v))
+        (_, t), joins = _kept(scope, t, joins, most_joins)
         best.append((v, rest, t.select(*rest, v)))
-        parts.append((rest, t.select(*rest, "w")))
-    found = reduce(product, parts)[1]
+        parts.append(((rest, t.select(*rest, "w")), joins))
+    found = reduce(product, (p for p, _ in parts))[1]
     for v, rest, t in reversed(best):
         found = found.join(t, list(rest)) if rest else found.crossJoin(F.broadcast(t))  # one row
     return found.select(*(v.name for v in model.variables), "w").where(F.col("w").isNotNull())
@@ -251,11 +341,7 @@ def target_map(model: Model, target: str, cond: Condition | None = None) -> Data
 
 def gradients(model: Model, cond: Condition | None = None) -> DataFrame:
     """``factor, states, d``: the derivatives of the weight by the parameters of all factors."""
-    found = None
-    for k, f in enumerate(model.factors):
-        one = gradient(model, k, cond).select(F.lit(k).alias("factor"), F.array(*(F.col(v).cast("int") for v in f.scope)).alias("states"), "d")
-        found = one if found is None else found.unionByName(one)
-    return found
+    return derivatives(model, cond)[0]
 
 
 def wmc_by_enumeration(model: Model, cond: Condition | None = None) -> DataFrame:

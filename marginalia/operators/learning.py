@@ -148,6 +148,130 @@ def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable],
     return a
 
 
+class Incidence:
+    """The sums that cross-tables ask of the weights of instances: a sparse matrix, as joins and aggregates.
+
+    A row of the matrix is an instance of one table, a column an instance of
+    all variables that every table supports; an entry is 1 where the second
+    projects onto the first. Vectors over columns are columns of a DataFrame of
+    instances, and those over rows a DataFrame for each table. Each step is
+    written, so no plan grows.
+    """
+
+    def __init__(self, tables: Sequence[DataFrame], variables: Sequence[Variable]):
+        self.names = [v.name for v in variables]
+        self.targets: list[tuple[list[str], DataFrame]] = []
+        for t in tables:
+            scope = [c for c in t.columns if c != WEIGHT]
+            z = t.agg(F.sum(WEIGHT).alias("_z"))
+            self.targets.append((scope, t.where(F.col(WEIGHT) > 0).crossJoin(F.broadcast(z)).select(*scope, (F.col(WEIGHT) / F.col("_z")).alias("_b"))))  # one row
+        a = state_space(tables[0].sparkSession, variables)
+        for scope, t in self.targets:
+            a = a.join(t.select(*scope), scope, "left_semi")
+        self.instances = written(a, "instances")
+        self.targets = [(scope, written(t, "targets")) for scope, t in self.targets]
+
+    def sums(self, x: DataFrame, column: str) -> list[DataFrame]:
+        """The matrix times a vector: for each table its instances, with ``_b`` and the sum ``_s``."""
+        return [t.join(x.groupBy(*scope).agg(F.sum(column).alias("_s")), scope, "left").withColumn("_s", F.coalesce("_s", F.lit(0.0))) for scope, t in self.targets]
+
+    def spread(self, x: DataFrame, rows: Sequence[DataFrame], column: str, mean: bool = False) -> DataFrame:
+        """``x`` with ``_s``: the transposed matrix times a vector, or its mean over the tables."""
+        for j, ((scope, _), r) in enumerate(zip(self.targets, rows)):
+            x = x.join(r.select(*scope, F.col(column).alias(f"_s{j}")), scope)
+        columns = [F.col(f"_s{j}") for j in range(len(rows))]
+        return x.withColumn("_s", reduce(lambda a, b: a + b, columns) / (len(rows) if mean else 1)).drop(*(f"_s{j}" for j in range(len(rows))))
+
+
+def misfit(result: DataFrame, tables: Sequence[DataFrame], variables: Sequence[Variable]) -> DataFrame:
+    """``squared, absolute, largest``: how the projections of a table differ from the given ones, in proportion."""
+    parts = [(F.col("_b") - F.col("_s")).alias("_e")]
+    z = result.agg(F.sum(WEIGHT).alias("_z"))
+    share = result.crossJoin(F.broadcast(z)).withColumn(WEIGHT, F.col(WEIGHT) / F.col("_z")).drop("_z")  # one row
+    rows = reduce(DataFrame.unionByName, (r.select(*parts) for r in Incidence(tables, variables).sums(share, WEIGHT)))
+    return rows.agg(F.sum(F.col("_e") * F.col("_e")).alias("squared"), F.sum(F.abs("_e")).alias("absolute"), F.max(F.abs("_e")).alias("largest"))
+
+
+def _norm(parts: Sequence[DataFrame], column: str) -> float:
+    squares = reduce(DataFrame.unionByName, (p.select((F.col(column) * F.col(column)).alias("_q")) for p in parts))
+    return float(squares.agg(F.coalesce(F.sum("_q"), F.lit(0.0)).alias("_q")).first()["_q"]) ** 0.5
+
+
+def least_squares_tables(tables: Sequence[DataFrame], variables: Sequence[Variable], rounds: int = 100, tolerance: float = 1e-9, shift: bool = True) -> DataFrame:
+    """One table over all variables by least squares, the smallest among the best; consistent or not.
+
+    LSQR (Paige and Saunders 1982) on :class:`Incidence`: two joins and an
+    aggregate for each table and round, and two numbers to the driver. Ends when
+    the gradient or the residual is below ``tolerance`` in proportion. Weights
+    may come out negative; ``shift`` then raises all by the least one, which
+    keeps them in proportion of their differences but adds to the residual.
+    """
+    m = Incidence(tables, variables)
+    u = [t.withColumn("_u", F.col("_b")) for _, t in m.targets]
+    beta = _norm(u, "_u")
+    size = beta
+    u = [t.withColumn("_u", F.col("_u") / beta) for t in u]
+    x = written(m.spread(m.instances, u, "_u").withColumnRenamed("_s", "_v"), "lsqr")
+    alpha = _norm([x], "_v")
+    if not alpha:
+        return x.select(*m.names, F.lit(0.0).alias(WEIGHT))
+    x = x.select(*m.names, (F.col("_v") / alpha).alias("_v"), (F.col("_v") / alpha).alias("_w"), F.lit(0.0).alias("_x"))
+    phi, rho = beta, alpha
+    for _ in range(rounds):
+        # the next pair of the bidiagonal form
+        u = [written(r.join(old.select(*scope, "_u"), scope).withColumn("_u", F.col("_s") - alpha * F.col("_u")).select(*scope, "_b", "_u"), "lsqr-u") for (scope, _), r, old in zip(m.targets, m.sums(x, "_v"), u)]
+        beta = _norm(u, "_u")
+        if beta > 1e-14 * size:
+            u = [t.withColumn("_u", F.col("_u") / beta) for t in u]
+            x = written(m.spread(x, u, "_u").withColumn("_v", F.col("_s") - beta * F.col("_v")).drop("_s"), "lsqr")
+            alpha = _norm([x], "_v")
+        else:
+            beta = alpha = 0.0
+        if alpha:
+            x = x.withColumn("_v", F.col("_v") / alpha)
+        # the rotation that keeps it upper bidiagonal, and the step it gives
+        length = (rho * rho + beta * beta) ** 0.5
+        c, s = rho / length, beta / length
+        theta, rho, step, phi = s * alpha, -c * alpha, c * phi, s * phi
+        x = x.withColumn("_x", F.col("_x") + step / length * F.col("_w")).withColumn("_w", F.col("_v") - theta / length * F.col("_w"))
+        if phi < tolerance * size or abs(phi * alpha * c) < tolerance * size or not alpha:
+            break
+    if shift:
+        least = x.agg(F.least(F.min("_x"), F.lit(0.0)).alias("_least"))
+        x = x.crossJoin(F.broadcast(least)).withColumn("_x", F.col("_x") - F.col("_least"))  # one row
+    return written(x.select(*m.names, F.col("_x").alias(WEIGHT)), "least-squares")
+
+
+def split_and_mean_tables(tables: Sequence[DataFrame], variables: Sequence[Variable], start: DataFrame | None = None, rounds: int = 100, tolerance: float = 1e-6, change: float = 1e-12) -> DataFrame:
+    """One table over all variables, without negative weights, by splitting and averaging.
+
+    Every instance of a table splits what it lacks evenly among the instances
+    that project onto it; an instance's weight becomes the mean of what the
+    tables give it, and at least 0. Begins with even splits, or with ``start``
+    such as the result of :func:`least_squares_tables`. Ends when the absolute
+    differences of all projections sum to ``tolerance`` at most, or the sum
+    changes by ``change`` at most, or after ``rounds``; :func:`misfit` tells
+    what is left.
+    """
+    m = Incidence(tables, variables)
+    sizes = m.instances.withColumn("_one", F.lit(1.0))
+    share = [written(r.withColumnRenamed("_s", "_n"), "shares") for r in m.sums(sizes, "_one")]
+    if start is None:
+        first = [r.withColumn("_d", F.col("_b") / F.col("_n")) for r in share]
+        x = m.spread(m.instances, first, "_d", mean=True).withColumnRenamed("_s", "_x")
+    else:
+        x = m.instances.join(start.select(*m.names, F.col(WEIGHT).alias("_x")), m.names, "left").withColumn("_x", F.greatest(F.coalesce("_x", F.lit(0.0)), F.lit(0.0)))
+    x, last = written(x, "split-mean"), 0.0
+    for _ in range(rounds):
+        lacks = [written(r.join(n.select(*scope, "_n"), scope).withColumn("_e", F.abs(F.col("_b") - F.col("_s"))).withColumn("_d", (F.col("_b") - F.col("_s")) / F.col("_n")), "lacks") for (scope, _), r, n in zip(m.targets, m.sums(x, "_x"), share)]
+        error = float(reduce(DataFrame.unionByName, (r.select("_e") for r in lacks)).agg(F.coalesce(F.sum("_e"), F.lit(0.0)).alias("_e")).first()["_e"])
+        if error <= tolerance or abs(error - last) <= change:
+            break
+        last = error
+        x = written(m.spread(x, lacks, "_d", mean=True).select(*m.names, F.greatest(F.col("_x") + F.col("_s"), F.lit(0.0)).alias("_x")), "split-mean")
+    return x.select(*m.names, F.col("_x").alias(WEIGHT))
+
+
 def log_likelihood(model: Model, data: DataFrame) -> DataFrame:
     """``log2_likelihood``: the summed log2 weight of the rows; NaN where a row has none."""
     rows = data

@@ -103,33 +103,48 @@ def ancestral(model: Model, start: int, n: int, draw: Draw) -> DataFrame:
     return rows.select("row", *(v.name for v in model.variables))
 
 
-def direct(model: Model, n: int, variables: Sequence[str] | None = None, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, order: Sequence[str] | None = None) -> DataFrame:
+def direct(model: Model, n: int, variables: Sequence[str] | None = None, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, order: Sequence[str] | None = None, most_joins: int = 8) -> DataFrame:
     """``n`` exact samples of any model under a condition, ``row`` and the variables; no rows where nothing meets the condition.
 
     Variables are eliminated in the given or the best order, and each product
     met on the way is kept; then they are drawn in the opposite order, each
     given the variables it meets in its product. So no table is larger than
-    those of an elimination. The ``k``-th variable of the model uses ``draw(k)``.
+    those of an elimination; those whose plans have more than ``most_joins``
+    joins are written. The ``k``-th variable of the model uses ``draw(k)``.
     """
     draw = draw or random_draw(seed)
     names = [v.name for v in model.variables]
+    rows = model.factors[0].table.sparkSession.range(n).withColumnRenamed("id", "row")
+    kept = _products(model, cond, (), order, most_joins)
+    return _drawn(rows, ["row"], kept, names, draw).select("row", *(variables or names))
+
+
+def _products(model: Model, cond: Condition | None, given: Sequence[str], order: Sequence[str] | None, most_joins: int) -> list[tuple[str, list[str], DataFrame]]:
+    """Each variable but the given ones as it is eliminated, the others it meets then, and their product."""
     parts = tables(model, cond)
-    spark = parts[0][1].sparkSession
-    kept: list[tuple[str, list[str], DataFrame]] = []
-    for v in order or best_order([s for s, _ in parts], model.sizes):
-        mine = sorted((p for p in parts if v in p[0]), key=lambda p: math.prod(model.sizes[x] for x in p[0]))
-        parts = [p for p in parts if v not in p[0]]
-        scope, t = reduce(product, mine)
+    kept, joins = [], [0] * len(parts)
+    for v in order or best_order([s for s, _ in parts], model.sizes, given):
+        mine = sorted((k for k, p in enumerate(parts) if v in p[0]), key=lambda k: math.prod(model.sizes[x] for x in parts[k][0]))
+        scope, t = reduce(product, (parts[k] for k in mine))
+        n = sum(joins[k] for k in mine) + len(mine) - 1
+        if n > most_joins:  # it is read twice
+            t, n = written(t, "product"), 0
         rest = [x for x in scope if x != v]
         kept.append((v, rest, t))
-        parts.append((tuple(rest), t.groupBy(*rest).agg(F.sum("w").alias("w"))))
-    rows, known = spark.range(n).withColumnRenamed("id", "row"), []
+        left = [k for k in range(len(parts)) if k not in mine]
+        parts, joins = [*(parts[k] for k in left), (tuple(rest), t.groupBy(*rest).agg(F.sum("w").alias("w")))], [*(joins[k] for k in left), n]
+    return kept
+
+
+def _drawn(rows: DataFrame, known: Sequence[str], kept: Sequence[tuple[str, list[str], DataFrame]], names: Sequence[str], draw: Draw) -> DataFrame:
+    """The rows, of which the known columns stay, with the eliminated variables drawn in the opposite order."""
+    known = list(known)
     for v, rest, t in reversed(kept):
         table = cdf(t, v, rest)
         joined = rows.join(table, rest) if rest else rows.crossJoin(F.broadcast(table))  # one row
-        rows = joined.withColumn("_u", draw(names.index(v))).select("row", *known, pick(F.col("_u")).alias(v))
+        rows = joined.withColumn("_u", draw(names.index(v))).select(*known, pick(F.col("_u")).alias(v))
         known.append(v)
-    return rows.select("row", *(variables or names))
+    return rows
 
 
 def uniform(spark: SparkSession, variables: Sequence[Variable], n: int, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, start: int = 0) -> DataFrame:
@@ -278,44 +293,129 @@ def markov_chains(
     return starts.groupBy("chain").applyInPandas(run, schema)
 
 
-def chained(model: Model, pairs: dict[str, str], chains: int, length: int, initial: Condition | None = None, cond: Condition | None = None, seed: int = 1, most_cells: int = 1_000_000) -> DataFrame:
+def chained(
+    model: Model, pairs: dict[str, str], chains: int, length: int, initial: Condition | None = None, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, segment: int = 1 << 16, most_cells: int = 1_000_000
+) -> DataFrame:
     """``chain, step`` and the variables: samples in which each ``pairs`` value copies its key's state of the step before.
 
     The first step follows the model under ``initial``, the others under the
-    copied states; ``cond`` holds throughout. The joint table of all variables,
-    of at most ``most_cells`` rows, goes along with the tasks, one per chain. A
-    chain ends early where the copied states have no weight.
+    copied states; ``cond`` holds throughout. A chain ends early where the
+    copied states have no weight.
+
+    An elimination keeps the variables of the pairs alone; their table, of at
+    most ``most_cells`` rows, says how copied states go on. Chains are cut into
+    segments of ``segment`` steps. A segment is first run from every state at
+    once, with the same numbers, which makes it a map of states; maps follow
+    each other in any grouping, so each segment learns its first state from
+    the maps before it and all are run at the same time. The other variables
+    are drawn last, for all steps together. The ``k``-th variable of the model
+    uses ``draw(k)``, and steps after the first ``draw(-1)``, at row ``chain *
+    length + step``.
     """
     names = [v.name for v in model.variables]
-    unknown = {*pairs, *pairs.values()} - set(names)
-    if unknown or len(set(pairs.values())) != len(pairs):
+    keys, copies = list(pairs), list(pairs.values())
+    if {*keys, *copies} - set(names) or len(set(copies)) != len(copies):
         raise ValueError(f"inconsistent pairs {pairs}")
-    _, joint = eliminate(tables(model, cond), model.sizes, names)
-    held = joint.select(*names, "w").where(F.col("w") > 0).limit(most_cells + 1).collect()  # most_cells at most
-    if len(held) > most_cells:
-        raise ValueError(f"the joint table has over {most_cells} rows")
-    cells = np.array([tuple(r)[:-1] for r in held], dtype=np.int64).reshape(-1, len(names))
-    weights = np.array([r["w"] for r in held])
-    start = np.ones(len(cells), dtype=bool)
-    for name, states in condition(initial).items():
-        start &= np.isin(cells[:, names.index(name)], states)
-    copies = [(names.index(a), names.index(b)) for a, b in pairs.items()]
-    spark = joint.sparkSession
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain = int(pdf["chain"].iloc[0])
-        rng = np.random.default_rng((seed, chain))
-        rows, allowed = [], start
-        for t in range(length):
-            w = np.where(allowed, weights, 0.0)
-            if w.sum() <= 0:
+    draw = draw or random_draw(seed)
+    spark = model.factors[0].table.sparkSession
+    first = _drawn(spark.range(chains).select((F.col("id") * length).alias("row")), ["row"], _products(model, _both(cond, initial), (), None, 8), names, draw)
+    first = written(first.select("row", *names), "first-steps")
+    number = F.floor(F.col("row") / length)
+    whole = first.select(number.alias("chain"), F.lit(0).cast("long").alias("step"), *names)
+    if length < 2 or not pairs:
+        rest = _drawn(_steps(spark, chains, 1, length).select("row"), ["row"], _products(model, cond, (), None, 8), names, draw)
+        going = rest.join(first.select(number.alias("_c")), F.floor(rest["row"] / length) == F.col("_c"), "left_semi") if length > 1 else rest.limit(0)
+        return whole.unionByName(going.select(number.alias("chain"), (F.col("row") % length).alias("step"), *names))
+
+    held = [v for v in names if v in {*keys, *copies}]
+    _, table = eliminate(tables(model, cond), model.sizes, held)
+    cells = table.select(*held, "w").where(F.col("w") > 0).limit(most_cells + 1).collect()  # most_cells at most
+    if len(cells) > most_cells:
+        raise ValueError(f"the table of {', '.join(held)} has over {most_cells} rows")
+    shared = spark.sparkContext.broadcast(_Steps.of([tuple(r) for r in cells], [held.index(v) for v in keys], [held.index(v) for v in copies], [model.sizes[v] for v in keys]))
+    steps = _steps(spark, chains, 1, length).select("row", number.alias("chain"), F.floor(F.col("row") % length / segment).alias("segment"), draw(-1).alias("_u"))
+
+    def as_map(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # states that have met stay together, so only distinct ones go on
+        at, place = np.arange(shared.value.states), np.arange(shared.value.states)
+        for u in pdf.sort_values("row")["_u"].to_numpy():
+            at = shared.value.after(shared.value.cell(at, u))
+            if len(at) > 1:
+                at, met = np.unique(at, return_inverse=True)
+                place = met[place]
+        return pd.DataFrame([(k[0], k[1], at[place].tolist())], columns=["chain", "segment", "map"])
+
+    state = sum((F.col(v) * stride for v, stride in zip(keys, _strides([model.sizes[v] for v in keys]))), F.lit(0)).cast("int")
+    maps = steps.groupBy("chain", "segment").applyInPandas(as_map, "chain long, segment long, map array<int>")
+    maps = maps.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("segment", "map"))).alias("m"))  # length / segment maps
+    # the state each segment begins with
+    go = lambda acc, x: F.concat(acc, F.array(F.when(F.element_at(acc, -1) < 0, -1).otherwise(F.get(x["map"], F.element_at(acc, -1)))))
+    begins = first.select(number.alias("chain"), state.alias("s0")).join(maps, "chain").select("chain", "m", F.aggregate("m", F.array("s0"), go).alias("b"))
+    begins = begins.select("chain", F.explode(F.zip_with(F.transform("m", lambda x: x["segment"]), "b", lambda a, b: F.struct(a.alias("segment"), b.alias("begin")))).alias("x")).select("chain", "x.*")
+    begins = begins.where(F.col("segment").isNotNull() & (F.col("begin") >= 0))
+
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        found, at = [], np.array([int(pdf["begin"].iloc[0])])
+        for row, u in zip(pdf["row"].to_numpy(), pdf["_u"].to_numpy()):
+            cell = shared.value.cell(at, u)
+            at = shared.value.after(cell)
+            if at[0] < 0:
                 break
-            x = cells[int(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), side="right"))]
-            rows.append((chain, t, *x.tolist()))
-            allowed = np.ones(len(cells), dtype=bool)
-            for a, b in copies:
-                allowed &= cells[:, b] == x[a]
-        return pd.DataFrame(rows, columns=["chain", "step", *names])
-
-    schema = "chain long, step long, " + ", ".join(f"`{v}` int" for v in names)
-    return spark.range(chains).withColumnRenamed("id", "chain").groupBy("chain").applyInPandas(run, schema)
+            found.append((row, *shared.value.rows[cell[0]].tolist()))
+        return pd.DataFrame(found, columns=["row", *held])
+
+    ints = ", ".join(f"`{v}` int" for v in held)
+    skeleton = steps.join(begins, ["chain", "segment"]).groupBy("chain", "segment").applyInPandas(run, f"row long, {ints}")
+    rest = _drawn(skeleton, ["row", *held], _products(model, cond, held, None, 8), names, draw)
+    return whole.unionByName(rest.select(number.alias("chain"), (F.col("row") % length).alias("step"), *names))
+
+
+def _both(a: Condition | None, b: Condition | None) -> Condition:
+    """The condition that both hold."""
+    a, b = condition(a), condition(b)
+    return {v: tuple(s for s in a.get(v, b.get(v)) if s in b.get(v, a.get(v))) for v in {**a, **b}}
+
+
+def _strides(sizes: Sequence[int]) -> list[int]:
+    return [math.prod(sizes[k + 1 :]) for k in range(len(sizes))]
+
+
+def _steps(spark: SparkSession, chains: int, begin: int, length: int) -> DataFrame:
+    """``row``: a number for every chain and every step from ``begin``."""
+    n = length - begin
+    return spark.range(chains * n).select((F.floor(F.col("id") / n) * length + F.col("id") % n + begin).alias("row"))
+
+
+class _Steps:
+    """How copied states go on: for each, the rows of the pairs' table it can lead to, with cumulated fractions."""
+
+    @classmethod
+    def of(cls, cells: list[tuple], keys: list[int], copies: list[int], sizes: list[int]) -> _Steps:
+        self = cls()
+        rows = np.array([c[:-1] for c in cells], dtype=np.int64).reshape(len(cells), -1)
+        strides, weights = np.array(_strides(sizes)), np.array([c[-1] for c in cells])
+        self.states = math.prod(sizes)
+        # a copied state outside the key's states is never asked for
+        fits = (rows[:, copies] < np.array(sizes)).all(axis=1) if len(rows) else np.zeros(0, dtype=bool)
+        rows, weights = rows[fits], weights[fits]
+        source = rows[:, copies] @ strides
+        order = np.lexsort((*rows.T[::-1], source))
+        self.rows, source, weights = rows[order], source[order], weights[order]
+        self.next = self.rows[:, keys] @ strides
+        self.first = np.searchsorted(source, np.arange(self.states))
+        self.end = np.searchsorted(source, np.arange(self.states), side="right")
+        total = np.bincount(source, weights, self.states) if len(source) else np.zeros(self.states)
+        upto = np.concatenate([np.cumsum(weights[a:b]) / t for a, b, t in zip(self.first, self.end, total) if b > a] or [np.empty(0)])
+        upto[self.end[self.end > self.first] - 1] = 1.0
+        self.place = source + upto  # within its state's unit interval
+        return self
+
+    def cell(self, states: np.ndarray, u: float) -> np.ndarray:
+        """The row each state goes to; -1 where none has weight, or for the state -1."""
+        alive = (states >= 0) & (self.end[states] > self.first[states])
+        found = np.clip(np.searchsorted(self.place, states + u, side="right"), self.first[states], np.maximum(self.end[states] - 1, 0))
+        return np.where(alive, found, -1)
+
+    def after(self, cells: np.ndarray) -> np.ndarray:
+        return np.where(cells < 0, -1, self.next[cells] if len(self.next) else -1)
