@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -30,19 +29,23 @@ class Ordered(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at long, state string")
         self.last = handle.getValueState("last", "at long, state string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         passed, first = timerValues.getCurrentWatermarkInMs(), None
-        for frame in rows:  # a key may come in several frames; they are not held together
-            fresh = frame[frame["at"] >= passed * 1000]
-            if len(fresh):
-                self.waiting.appendList([(int(t), s) for t, s in zip(fresh["at"], fresh["state"])])
-                least = int(fresh["at"].min())
-                first = least if first is None else min(first, least)
+        some: list[tuple[int, str]] = []
+        for r in rows:  # they are put away a few at a time, not held together
+            if r["at"] >= passed * 1000:
+                some.append((r["at"], r["state"]))
+                first = r["at"] if first is None else min(first, r["at"])
+            if len(some) == 1000:
+                self.waiting.appendList(some)
+                some = []
+        if some:
+            self.waiting.appendList(some)
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
-        yield pd.DataFrame({c: [] for c in self.out})
+        return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
         ready = [r for r in held if r[0] < passed * 1000]
@@ -65,7 +68,7 @@ class Ordered(StatefulProcessor):
             else:
                 self.last.update(last)
                 self.handle.registerTimer(last[0] // 1000 + self.keep_ms + 1)
-        yield pd.DataFrame(found, columns=self.out)
+        return iter([Row(*self.out)(*f) for f in found])
 
     def close(self) -> None:
         pass
@@ -86,4 +89,4 @@ def ordered_transitions(stream: DataFrame, key: str, state: str, time: str, late
     timed = stream.select(F.col(key).alias("key"), F.col(state).cast("string").alias("state"), F.col(time).cast("timestamp").alias("ts"))
     timed = timed.where(F.col("ts").isNotNull() & F.col("state").isNotNull()).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
     out = StructType().add("key", kind).add("previous", "string").add("state", "string").add("at", "long")
-    return timed.groupBy("key").transformWithStateInPandas(Ordered(keep_ms, out.names), out, "Append", "EventTime")
+    return timed.groupBy("key").transformWithState(Ordered(keep_ms, out.names), out, "Append", "EventTime")
