@@ -223,7 +223,7 @@ def nearest(
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     probes = probes.select(F.xxhash64("key", "part").alias("shard"), F.lit(1).alias("asks"), "vec_id", "uid", "vector")
     both = dealt.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "asks", "vec_id")
-    found = both.mapInArrow(visit(dimension, "double", exhaustive(k)), found_type("double"))
+    found = both.mapInArrow(visit(dimension, "double", exhaustive(k), k=k), found_type("double"))
     # a candidate met in several tables has one dense rank
     order = Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", "uid", "rank"])

@@ -39,15 +39,66 @@ def found_type(score_type: str) -> str:
     return RESULT.format(score_type)
 
 
-def visit(dimension: int, score_type: str, build: Callable, batch: int = 256) -> Callable:
+class Best:
+    """The ``k`` best candidates of each query in a task, each once, in a buffer of bounded size.
+
+    A full buffer is brought down to the best; what then still fills it by half
+    is given out, so a query may have more than ``k`` rows in all, never fewer
+    of its best.
+    """
+
+    def __init__(self, k: int, most: int = 1 << 20):
+        self.k, self.most = k, most
+        self.parts: list[pa.RecordBatch] = []
+        self.rows = 0
+
+    def add(self, found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.parts.append(found)
+        self.rows += found.num_rows
+        if self.rows > self.most:
+            few = self._best()
+            self.parts, self.rows = [few], few.num_rows
+            if self.rows > self.most // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield self._best()
+        self.parts, self.rows = [], 0
+
+    def _best(self) -> pa.RecordBatch:
+        t = pa.Table.from_batches(self.parts).combine_chunks()
+        uid, query, vec, score = (t.column(c).to_numpy() for c in ("uid", "query_id", "vec_id", "score"))
+        order = np.lexsort((vec, -score, query, uid))
+        uid, query, vec, score = uid[order], query[order], vec[order], score[order]
+        new = np.ones(len(uid), dtype=bool)  # of another query than the row before
+        new[1:] = (uid[1:] != uid[:-1]) | (query[1:] != query[:-1])
+        fresh = new.copy()
+        fresh[1:] |= (vec[1:] != vec[:-1]) | (score[1:] != score[:-1])
+        nth = np.cumsum(fresh)
+        nth -= np.maximum.accumulate(np.where(new, nth, 0))
+        return t.take(pa.array(order[fresh & (nth < self.k)])).combine_chunks().to_batches()[0]
+
+
+def visit(dimension: int, score_type: str, build: Callable, batch: int = 256, k: int | None = None) -> Callable:
     """Tasks over rows ``shard, asks, vec_id, uid, vector``, sorted by shard and asks: 0 for rows held there, 1 for queries.
 
     A task holds one shard at a time, given to ``build(ids, matrix)``, and
     streams the queries past the function it returns, which gives each query's
-    best few there as (indexes, scores).
+    best few there as (indexes, scores). With ``k``, what a query finds in
+    several shards of a task is brought down to the ``k`` best.
     """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if k is None:
+            yield from shards(batches)
+            return
+        held = Best(k)
+        for found in shards(batches):
+            yield from held.add(found)
+        yield from held.rest()
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.float64() if score_type == "double" else pa.int64()
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         best, now = None, None

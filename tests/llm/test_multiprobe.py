@@ -73,3 +73,25 @@ def test_queries_that_find_too_few_are_searched_exactly(spark, monkeypatch):
 
     monkeypatch.setattr(neighbours, "fit", narrow)
     assert recall(spark, x, k=50, bucket_rows=5, tables=1) == 1.0
+
+
+def test_the_best_of_a_task_are_kept_in_a_bounded_buffer():
+    import pyarrow as pa
+
+    from marginalia.llm.vectors import Best
+
+    rng = np.random.default_rng(8)
+    names = ["uid", "query_id", "vec_id", "score"]
+    for most in (50, 1 << 20):
+        held, out, rows = Best(3, most), [], []
+        for _ in range(40):
+            q, v = rng.integers(0, 6, 20), rng.integers(0, 30, 20)
+            score = ((q * 7 + v * 5) % 11).astype(float)
+            rows += list(zip(q.tolist(), v.tolist(), score.tolist()))
+            out += held.add(pa.RecordBatch.from_arrays([pa.array(x) for x in (q, q, v, score)], names=names))
+        out += held.rest()
+        got = [tuple(r.values())[1:] for b in out for r in b.to_pylist()]
+        for q in range(6):
+            want = sorted({(-s, v) for a, v, s in rows if a == q})[:3]
+            assert sorted({(-s, v) for a, v, s in got if a == q})[:3] == want
+        assert most == 50 or len(got) == 18
