@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.folders import written
 from marginalia.functions.scalar import natural_index
 
 
@@ -69,11 +70,19 @@ def variables_of(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> l
 def state_index(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the index of each value of ``column`` among its distinct values.
 
-    The distinct values are ranked, not the rows, so no task sees the table.
+    The distinct values are sorted over all tasks and written with their places
+    in their partitions; the partitions' sizes, a row for each, make the places
+    dense. So no task sees the table, nor all values.
     """
     from pyspark.sql import Window
 
-    ranked = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    values = df.select(F.col(column).alias("_value")).where(F.col("_value").isNotNull()).distinct()
+    placed = written(values.orderBy("_value").withColumn("_id", F.monotonically_increasing_id()), "states")  # partition and place
+    part = F.call_function("shiftright", "_id", F.lit(33))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over partitions
+    starts = F.broadcast(sizes.select("_part", "_first", before.alias("_before")))  # a row for each partition
+    ranked = placed.withColumn("_part", part).join(starts, "_part").select(F.col("_value").alias(column), (F.col("_id") - F.col("_first") + F.col("_before")).cast("int").alias(name))
     return df.join(ranked, column, "left")
 
 

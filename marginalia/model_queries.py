@@ -207,3 +207,27 @@ def split_and_mean_crosstabs(spark, d):
     out = learning.split_and_mean_tables([ct.cross_table(rows, s) for s in scopes], [SEGMENT, PRIORITY, ORDER_STATUS], tolerance=1e-8)
     parts = [ct.project(out, s).select(F.lit(f"{s[0]}, {s[1]}").alias("scope"), F.col(s[0]).alias("a"), F.col(s[1]).alias("b"), (F.round("weight", 5) + 0.0).alias("w")) for s in scopes]
     return parts[0].unionByName(parts[1])
+
+
+# ---------------------------------------------------------------- plans
+
+
+@query(f"WITH {SALES}, c AS (SELECT 'seg' AS variable, seg AS state, sum(w) AS w FROM full_ WHERE os = 1 GROUP BY seg UNION ALL SELECT 'op', op, sum(w) FROM full_ WHERE os = 1 GROUP BY op UNION ALL SELECT 'os', 1, sum(w) FROM full_ WHERE os = 1) SELECT variable, state, round(w / sum(w) OVER (PARTITION BY variable), 9) AS p FROM c")
+def maximal_tree_marginals(spark, d):
+    return inference.all_marginals(chain(spark, d), {"os": 1}, maximal=True).select("variable", "state", r9("p"))
+
+
+@query(f"WITH {SALES} SELECT os, round(sum(w * (1 + seg)) / sum(sum(w * (1 + seg))) OVER (), 9) AS p FROM full_ WHERE os = op % 3 GROUP BY os")
+def product_tree_marginal(spark, d):
+    model = chain(spark, d)
+    more = (factors.functional(spark, ORDER_STATUS, [PRIORITY], lambda op: op % 3), factors.dense(spark, [SEGMENT], [1.0, 2.0, 3.0, 4.0, 5.0]))
+    return inference.marginal(Model(model.variables, (*model.factors, *more)), ["os"], trees=True).select("os", r9("p"))
+
+
+@query(f"WITH {SALES}, s AS (SELECT DISTINCT op FROM sales WHERE op < 3) SELECT op, range::INTEGER AS os, CASE WHEN range = op % 3 THEN 1.0::DOUBLE ELSE 0 END AS p FROM s, range(3)")
+def batch_posterior_all_states(spark, d):
+    """Posteriors with states of probability 0, as a function of the evidence rules them out."""
+    model = chain(spark, d)
+    rule = factors.functional(spark, ORDER_STATUS, [PRIORITY], lambda op: op % 3)
+    rows = table(spark, d, "orders").select(PRIORITY.of_labels(F.col("o_orderpriority")).alias("op")).distinct().where("op < 3")
+    return inference.batch_evidence(Model(model.variables, (*model.factors, rule)), rows, ["op"], target="os").select("op", "os", r9("p"))

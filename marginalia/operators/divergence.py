@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.folders import written
 from marginalia.functions.scalar import NAN, ratio
 from marginalia.operators.space import Space
 
@@ -20,25 +22,23 @@ def paired(p: Space, q: Space, by: Sequence[str], space: DataFrame | None = None
     return joined.select(*by, F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
 
 
-def observed_space(p: Space, q: Space, by: Sequence[str]) -> DataFrame:
-    """All combinations of the values that either space has of each variable."""
-    found = None
-    for v in by:
-        values = p.marginal([v]).select(v).unionByName(q.marginal([v]).select(v)).distinct()
-        found = values if found is None else found.join(values, F.lit(True))  # the state space, which KL runs over
-    return found
-
-
 def kl(p: Space, q: Space, by: Sequence[str], space: DataFrame | None = None) -> DataFrame:
     """``kl``: the sum of ``p log2(p / q)`` over the state space; NaN as soon as any instance lacks probability in either.
 
     The state space is ``space``, or else all combinations of the values met in
-    either; so an instance that neither has gives NaN too.
+    either; so an instance that neither has gives NaN too. Whether there is one
+    is told by counting: without any, the instances met are as many as the
+    product of the numbers of values.
     """
     bad = (F.col("p") <= 0) | (F.col("q") <= 0) | F.isnan("p") | F.isnan("q")
     term = F.when(~bad, F.col("p") * F.log2(F.col("p") / F.when(~bad, F.col("q"))))
-    pairs = paired(p, q, by, observed_space(p, q, by) if space is None else space)
-    return pairs.agg(F.when(F.coalesce(F.bool_or(bad), F.lit(True)), F.lit(NAN)).otherwise(F.sum(term)).alias("kl"))
+    pairs = paired(p, q, by, space)
+    if space is not None:
+        return pairs.agg(F.when(F.coalesce(F.bool_or(bad), F.lit(True)), F.lit(NAN)).otherwise(F.sum(term)).alias("kl"))
+    pairs = written(pairs, "pairs")  # counted and summed
+    sums = pairs.agg(F.coalesce(F.bool_or(bad), F.lit(True)).alias("_bad"), F.sum(term).alias("_kl"), F.count(F.lit(1)).alias("_n"))
+    values = pairs.agg(reduce(lambda a, b: a * b, (F.count_distinct(v).cast("double") for v in by), F.lit(1.0)).alias("_all"))
+    return sums.crossJoin(F.broadcast(values)).select(F.when(F.col("_bad") | (F.col("_n") < F.col("_all")), F.lit(NAN)).otherwise(F.col("_kl")).alias("kl"))  # one row each
 
 
 def pseudo_kl(p: Space, q: Space, factors: Mapping[str, Sequence[str]], space: DataFrame | None = None, conditional: bool = False) -> DataFrame:

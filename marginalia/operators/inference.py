@@ -19,7 +19,8 @@ from marginalia.folders import written
 from marginalia.functions.scalar import ratio
 from marginalia.operators.factors import Model
 from marginalia.operators.space import Space
-from marginalia.plans.elimination import best_order, join_tree
+from marginalia.plans.elimination import best_order, join_tree, maximal_tree
+from marginalia.plans.products import Tree, best_tree
 
 
 @dataclass(frozen=True)
@@ -70,13 +71,23 @@ def tables(model: Model, cond: Condition | None = None, skip: Sequence[int] = ()
     return [(s, t.where(holds({k: v for k, v in cond.items() if k in s}))) for s, t in found]
 
 
-def eliminate(parts: Sequence[Table], sizes: Mapping[str, int], keep: Sequence[str] = (), ring: Semiring = SUM_PRODUCT, order: Sequence[str] | None = None) -> Table:
-    """All variables summed out but the kept ones, in the given or the best order."""
+def eliminate(parts: Sequence[Table], sizes: Mapping[str, int], keep: Sequence[str] = (), ring: Semiring = SUM_PRODUCT, order: Sequence[str] | None = None, trees: bool = False) -> Table:
+    """All variables summed out but the kept ones, in the given or the best order.
+
+    The tables that a variable is in are joined smallest first, or by the best
+    of the binary trees (see :func:`best_tree`), which sums variables out
+    between the joins.
+    """
     parts = list(parts)
     order = [v for v in order if v not in keep] if order is not None else best_order([s for s, _ in parts], sizes, keep)
     for v in order:
         mine = sorted((p for p in parts if v in p[0]), key=lambda p: reduce(lambda n, x: n * sizes[x], p[0], 1))
-        if mine:
+        if trees and mine:
+            parts = [p for p in parts if v not in p[0]]
+            outside = {x for s, _ in parts for x in s} | set(keep)
+            tree, _ = best_tree([s for s, _ in mine], sizes, outside)
+            parts.append(along(tree, mine, outside, ring))
+        elif mine:
             parts = [p for p in parts if v not in p[0]]
             parts.append(sum_out(reduce(lambda a, b: product(a, b, ring), mine), [v], ring))
     scope, table = reduce(lambda a, b: product(a, b, ring), parts)
@@ -85,15 +96,34 @@ def eliminate(parts: Sequence[Table], sizes: Mapping[str, int], keep: Sequence[s
     return scope, table
 
 
+def along(tree: Tree, parts: Sequence[Table], keep: Iterable[str], ring: Semiring = SUM_PRODUCT) -> Table:
+    """The product of tables in the order of a tree; a variable that neither ``keep`` nor a table still to come has is summed out at once."""
+    keep = set(keep)
+
+    def leaves(t: Tree) -> list[int]:
+        return [t] if isinstance(t, int) else [x for side in t for x in leaves(side)]
+
+    def joined(t: Tree, needed: set[str]) -> Table:
+        if isinstance(t, int):
+            return parts[t]
+        found = product(*(joined(side, needed | {v for k in leaves(other) for v in parts[k][0]}) for side, other in (t, t[::-1])), ring)
+        gone = [v for v in found[0] if v not in needed]
+        return sum_out(found, gone, ring) if gone else found
+
+    scope, table = joined(tree, keep)
+    gone = [v for v in scope if v not in keep]
+    return sum_out((scope, table), gone, ring) if gone else (scope, table)
+
+
 def wmc(model: Model, cond: Condition | None = None, ring: Semiring = SUM_PRODUCT, order: Sequence[str] | None = None) -> DataFrame:
     """``wmc``: the weight of all instances that meet the condition."""
     _, table = eliminate(tables(model, cond, ring=ring), model.sizes, (), ring, order)
     return table.agg(F.coalesce(ring.add("w"), F.lit(ring.zero)).alias("wmc"))
 
 
-def marginal(model: Model, variables: Sequence[str], cond: Condition | None = None) -> DataFrame:
-    """``p`` of every instance of the variables that has weight."""
-    _, table = eliminate(tables(model, cond), model.sizes, variables)
+def marginal(model: Model, variables: Sequence[str], cond: Condition | None = None, trees: bool = False) -> DataFrame:
+    """``p`` of every instance of the variables that has weight; ``trees`` as for :func:`eliminate`."""
+    _, table = eliminate(tables(model, cond), model.sizes, variables, trees=trees)
     table = table.select(*variables, "w")
     z = table.agg(F.sum("w").alias("_z"))
     return table.crossJoin(F.broadcast(z)).select(*variables, ratio(F.col("w"), F.col("_z")).alias("p"))  # z is one row
@@ -142,10 +172,14 @@ def _kept(scope: tuple[str, ...], rows: DataFrame, joins: int, most_joins: int)
     return ((scope, written(rows, "message")), 0) if joins > most_joins else ((scope, rows), joins)
 
 
-def messages(parts: Sequence[Table], sizes: Mapping[str, int], most_joins: int = 8) -> Messages:
-    """One pass up and one down a join tree. A message whose plan has come to more than ``most_joins`` joins is written, so plans stay small."""
+def messages(parts: Sequence[Table], sizes: Mapping[str, int], most_joins: int = 8, maximal: bool = False) -> Messages:
+    """One pass up and one down a join tree, of all clusters of an elimination or of the ``maximal`` ones alone. A message whose plan has come to more than ``most_joins`` joins is written, so plans stay small."""
     parts = list(parts)
     clusters, parents = join_tree([s for s, _ in parts], sizes)
+    if maximal:  # with parents after their children
+        found, above = maximal_tree([s for s, _ in parts], sizes)
+        last = len(found) - 1
+        clusters, parents = found[::-1], [None if p is None else last - p for p in above[::-1]]
     home: list[list[int]] = [[] for _ in clusters]
     for k, part in enumerate(parts):
         home[next(c for c, vs in enumerate(clusters) if set(part[0]) <= vs)].append(k)
@@ -201,13 +235,14 @@ def _state_sums(passed: Messages, variables: Sequence[str], most_joins: int) ->
     return _gathered(sums(), most_joins, "marginals")
 
 
-def all_marginals(model: Model, cond: Condition | None = None, most_joins: int = 8) -> DataFrame:
+def all_marginals(model: Model, cond: Condition | None = None, most_joins: int = 8, maximal: bool = False) -> DataFrame:
     """``variable, state, p`` for every variable, from one pass up and one down a join tree.
 
     Large messages and sums are written (see :func:`messages`), so plans stay
-    small however large the model is.
+    small however large the model is. With ``maximal`` clusters there are fewer
+    messages, and so fewer exchanges.
     """
-    found = _state_sums(messages(tables(model, cond), model.sizes, most_joins), [v.name for v in model.variables], most_joins)
+    found = _state_sums(messages(tables(model, cond), model.sizes, most_joins, maximal), [v.name for v in model.variables], most_joins)
     z = found.groupBy("variable").agg(F.sum("w").alias("_z"))
     return found.join(z, "variable").select("variable", "state", ratio(F.col("w"), F.col("_z")).alias("p"))
 
@@ -292,34 +327,36 @@ def batch_evidence(model: Model, evidence: DataFrame, observed: Sequence[str], t
 
     One elimination keeps the observed variables; every row of evidence is then
     a join away. Rows hold state indexes; nulls are not observed. The patterns
-    of observed variables that occur, not all ``2 ** len(observed)``, get a
-    smaller table each. Posteriors are normalised in these tables, so evidence
-    rows, repeated ones too, are not shuffled for it. Evidence without weight
-    has ``wmc`` 0, or one row with a null state and NaN.
+    of observed variables that occur, not all ``2 ** len(observed)``, are
+    grouping sets of one scan of the message. Its groups hold the weights of all
+    states of the target, so evidence rows, repeated ones too, are not shuffled
+    to normalise them; states of probability 0 have rows as well. Evidence
+    without weight has ``wmc`` 0, or one row with a null state and NaN.
     """
     keep = [*observed, *([target] if target else [])]
     _, message = eliminate(tables(model), model.sizes, keep)
     bits = (F.when(F.col(v).isNotNull(), F.lit(1 << k).cast("long")).otherwise(0) for k, v in enumerate(observed))
     rows = evidence.withColumn("_pattern", reduce(lambda a, b: a + b, bits, F.lit(0).cast("long")))
     patterns = sorted(r["_pattern"] for r in rows.select("_pattern").distinct().collect())  # one row for each pattern
-    sums = None
-    for m in patterns:
-        seen = [v for k, v in enumerate(observed) if m >> k & 1]
-        grouped = message.groupBy(*seen, *([target] if target else [])).agg(F.sum("w").alias("_w"))
-        columns = [(F.col(v) if v in seen else F.lit(None).cast("int")).alias(f"_e_{v}") for v in observed]
-        one = grouped.select(F.lit(m).cast("long").alias("_p"), *columns, *([F.col(target).alias("_target")] if target else []), "_w")
-        sums = one if sums is None else sums.unionByName(one)
-    if sums is None:  # no evidence
+    if not patterns:  # no evidence
         out = rows.drop("_pattern")
         return out.select("*", F.lit(None).cast("int").alias(target), F.lit(None).cast("double").alias("p")) if target else out.withColumn("wmc", F.lit(0.0))
+    sets = [[F.col(v) for k, v in enumerate(observed) if m >> k & 1] + ([F.col(target)] if target else []) for m in patterns]
+    grouped = message.groupingSets(sets, *(F.col(v) for v in keep)) if keep else message.groupBy()
+    of = reduce(lambda a, b: a + b, ((1 - F.grouping(v)).cast("long") * (1 << k) for k, v in enumerate(observed)), F.lit(0).cast("long"))
+    sums = grouped.agg(F.sum("w").alias("_w"), *([of.alias("_p")] if observed else [])).where(F.col("_w").isNotNull())
+    sums = sums.select(*(F.col(v).alias(f"_e_{v}") for v in observed), (F.col("_p") if observed else F.lit(0).cast("long")).alias("_p"), *([F.col(target).alias("_target")] if target else []), "_w")
     if target:
-        z = F.sum("_w").over(Window.partitionBy("_p", *(f"_e_{v}" for v in observed)))  # over messages, not evidence
-        sums = sums.withColumn("_w", ratio(F.col("_w"), z))
+        each = F.map_from_entries(F.collect_list(F.struct("_target", "_w")))  # the states of one variable
+        sums = sums.groupBy("_p", *(f"_e_{v}" for v in observed)).agg(each.alias("_each"), F.sum("_w").alias("_w")).where(F.col("_w") > 0)
     match = reduce(lambda a, b: a & b, (F.coalesce(rows[v], F.lit(-1)) == F.coalesce(sums[f"_e_{v}"], F.lit(-1)) for v in observed), rows["_pattern"] == sums["_p"])
     joined = rows.join(sums, match, "left")
     if not target:
         return joined.select(*evidence.columns, F.coalesce("_w", F.lit(0.0)).alias("wmc"))
-    return joined.select(*evidence.columns, F.col("_target").alias(target), F.coalesce("_w", F.lit(float("nan"))).alias("p"))
+    states = F.when(F.col("_w").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(model.sizes[target] - 1)))
+    spread = joined.withColumn("_state", F.explode(states))
+    p = F.when(F.col("_w").isNull(), F.lit(float("nan"))).otherwise(F.coalesce(F.try_element_at("_each", F.col("_state")), F.lit(0.0)) / F.col("_w"))
+    return spread.select(*evidence.columns, F.col("_state").alias(target), p.alias("p"))
 
 
 def target_marginals(model: Model, target: str, cond: Condition | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -117,7 +118,7 @@ def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable],
     and an aggregate per table: a weight is multiplied by the sum of its
     targets over the sum of its projections. Instances start out equal. Rounds
     go on until the largest difference of a projection is below ``tolerance``
-    or falls by less than ``change``, or for ``rounds`` at most.
+    or falls by less than ``change``; after ``rounds`` there is a warning.
     """
     spark = tables[0].sparkSession
     names = [v.name for v in variables]
@@ -145,6 +146,8 @@ def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable],
         if error < tolerance or abs(last - error) < change:
             break
         last = error
+    else:
+        warnings.warn(f"projections still differ by up to {error:.3g} after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return a
 
 

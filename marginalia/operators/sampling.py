@@ -41,14 +41,20 @@ def pick(u: Column, column: str = "cdf") -> Column:
     return F.when(F.size(over) > 0, over[0]["state"]).otherwise(F.element_at(column, -1)["state"])
 
 
-def until(n: int, propose: Callable[[int, int], DataFrame], buckets: int = 1024) -> DataFrame:
+def until(n: int, propose: Callable[[int, int], DataFrame], buckets: int = 1024, most_rounds: int = 64) -> DataFrame:
     """The first ``n`` accepted rows: ``propose(start, size)`` gives those accepted among so many proposals, ``row`` their number.
 
     Proposals go on in rounds sized by the share accepted so far. Rows are cut
     at the ``n``-th by counts of buckets of proposals, so only one bucket is sorted.
+    It is an error if ``most_rounds`` rounds do not give ``n`` rows, as where next
+    to nothing is accepted or a fixed draw repeats itself.
     """
+    done = 0
     start, size, got, rounds = 0, max(1000, 2 * n), 0, None
     while got < n:
+        done += 1
+        if done > most_rounds:
+            raise RuntimeError(f"{start} proposals gave {got} of {n} rows")
         new = written(propose(start, size), "accepted")
         width = max(1, -(-size // buckets))
         counts = sorted((r["b"], r["count"]) for r in new.groupBy(F.floor((F.col("row") - start) / width).alias("b")).count().collect())  # ``buckets`` rows
