@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.shared import materialise
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -20,25 +22,50 @@ def escaped(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("<​|"))
 
 
-def dense_turns(turns: DataFrame, conv: str, turn: str, order: list, salt_turns: int = 4096) -> DataFrame:
+def dense_turns(turns: DataFrame, conv: str, turn: str, order: list, ties: list[str], salt_turns: int = 4096, hot_rows: int = 1 << 17) -> DataFrame:
     """Adds ``_nth``, the 0-based place of a row within its dialogue.
 
     Rows are ranked within stretches of ``salt_turns`` turn numbers and the
-    stretches added up, so that a long dialogue is dealt over many tasks.
+    stretches added up, so that a long dialogue is dealt over many tasks. A
+    stretch of more than ``hot_rows`` rows, whose turns are null or equal, is
+    ranked over several tasks (see :func:`_split_ranks`); ``ties`` are the
+    columns of ``order``.
     """
     part = F.floor(F.coalesce(F.col(turn), F.lit(0)) / F.lit(salt_turns))
     parted = turns.withColumn("_part", part)
     sizes = parted.groupBy(conv, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(conv).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col(conv).alias("_conv"), F.col("_part").alias("_p"), before.alias("_before"))
+    hot = materialise(sizes.where(F.col("_n") > hot_rows).select(F.col(conv).alias("_hot_conv"), F.col("_part").alias("_hot_part")), "hot-turns")
+    is_hot = parted[conv].eqNullSafe(hot["_hot_conv"]) & (parted["_part"] == hot["_hot_part"])
     within = F.row_number().over(Window.partitionBy(conv, "_part").orderBy(*order)).cast("long") - 1
-    ranked = parted.withColumn("_within", within)
+    if hot.isEmpty():
+        ranked = parted.withColumn("_within", within)
+    else:  # at most one row for every ``hot_rows`` rows
+        ranked = parted.join(hot, is_hot, "left_anti").withColumn("_within", within).unionByName(_split_ranks(parted.join(hot, is_hot, "left_semi"), conv, order, ties))
     joined = ranked.join(starts, ranked[conv].eqNullSafe(starts["_conv"]) & (ranked["_part"] == starts["_p"]))
     return joined.withColumn("_nth", F.col("_before") + F.col("_within")).drop("_part", "_p", "_conv", "_before", "_within")
 
 
+def _split_ranks(rows: DataFrame, conv: str, order: list, ties: list[str]) -> DataFrame:
+    """Adds ``_within``, the place of a row in its stretch, with a stretch in as many ranges as its size asks for.
+
+    Equal rows are counted first, so any number of them is one row; the ranges
+    are written, as other borders would be drawn for them a second time.
+    """
+    counted = rows.groupBy(conv, "_part", *ties).agg(F.count(F.lit(1)).alias("_copies"))
+    ranged = materialise(counted.repartitionByRange(F.col(conv), F.col("_part"), *order).withColumn("_range", F.spark_partition_id()), "turn-ranges")
+    sizes = ranged.groupBy(conv, "_part", "_range").agg(F.sum("_copies").alias("_n"))
+    upto = Window.partitionBy(conv, "_part").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(conv).alias("_c"), F.col("_part").alias("_p"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"))
+    own = Window.partitionBy(conv, "_part", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_at", F.coalesce(F.sum("_copies").over(own), F.lit(0)))
+    joined = placed.join(starts, placed[conv].eqNullSafe(starts["_c"]) & (placed["_part"] == starts["_p"]) & (placed["_range"] == starts["_r"]))
+    return joined.withColumn("_within", F.explode(F.sequence(F.col("_first") + F.col("_at"), F.col("_first") + F.col("_at") + F.col("_copies") - 1))).select(*rows.columns, "_within")
+
+
 def rotate(
-    turns: DataFrame, segment: int = 64, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    turns: DataFrame, segment: int = 64, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", hot_rows: int = 1 << 17
 ) -> DataFrame:
     """``conv_id, participant, segment, first_turn, n_turns, text, mask``.
 
@@ -50,6 +77,7 @@ def rotate(
     first. A null text is empty; a null role is the participant ``unknown``; a
     null conv_id is one dialogue. Repeated rows are repeated turns. Markers
     inside texts and names are broken up, so they cannot forge a turn.
+    ``hot_rows``: see :func:`dense_turns`; it changes no result.
     """
     said = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -58,7 +86,7 @@ def rotate(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     people = said.select("conv_id", F.col("role").alias("participant")).distinct()
-    placed = dense_turns(said, "conv_id", "turn", [F.col("turn").asc_nulls_first(), "role", "text"])
+    placed = dense_turns(said, "conv_id", "turn", [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], ["turn", "role", "text"], hot_rows=hot_rows)
     placed = placed.withColumns({"segment": F.floor(F.col("_nth") / F.lit(segment)).cast("long"), "body": escaped(F.col("text"))})
     parts = placed.groupBy("conv_id", "segment").agg(
         F.sort_array(F.collect_list(F.struct("_nth", "role", "body"))).alias("said")  # ``segment`` turns at most

@@ -29,6 +29,7 @@ repeated. Links over the threshold are exact.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -326,7 +327,8 @@ def jaccard_classes(
     """``doc_id, class_id, n_links`` for every row of ``docs``.
 
     ``runs`` are doubled until the recall, estimated from the links found, is at
-    least ``recall``, or ``most_runs`` are reached (see :func:`estimated_recall`).
+    least ``recall`` (see :func:`estimated_recall`); where ``most_runs`` do not
+    reach it there is a warning with the estimate.
 
     Two documents are linked if the Jaccard similarity of their shingle sets
     is at least ``threshold``; ``n_links`` counts the other rows a row is linked
@@ -337,7 +339,11 @@ def jaccard_classes(
     """
     while True:
         some, nodes, alone, found = links_of(docs, width, threshold, runs, leaf, depth, sample, id_col, text_col)
-        if 2 * runs > most_runs or estimated_recall(found) >= recall:
+        reached = estimated_recall(found)
+        if reached >= recall:
+            break
+        if 2 * runs > most_runs:
+            warnings.warn(f"the estimated recall of {runs} runs is {reached:.6f}, below {recall}", RuntimeWarning, stacklevel=2)
             break
         runs *= 2
     same, one = ["h1", "h2"], ["node", "h1"]
