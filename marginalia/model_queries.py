@@ -12,7 +12,7 @@ from marginalia.folders import shared_folder, written
 from marginalia.operators import crosstab as ct
 from marginalia.operators import factors, inference, learning, sampling
 from marginalia.operators.factors import Model
-from marginalia.queries import ORDER_STATUS, PRIORITY, SALES, SEGMENT, U, chain, fixed, query, r9, sales, table
+from marginalia.queries import ORDER_STATUS, PRIORITY, SALES, SEGMENT, SQL, U, chain, fixed, query, r9, sales, table
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 EVENT, BEFORE, HOUR, BAND = (Variable(n, s) for n, s in (("kind", KINDS), ("before", KINDS), ("hour", tuple(range(24))), ("band", (0, 1, 2, 3))))
@@ -231,3 +231,84 @@ def batch_posterior_all_states(spark, d):
     rule = factors.functional(spark, ORDER_STATUS, [PRIORITY], lambda op: op % 3)
     rows = table(spark, d, "orders").select(PRIORITY.of_labels(F.col("o_orderpriority")).alias("op")).distinct().where("op < 3")
     return inference.batch_evidence(Model(model.variables, (*model.factors, rule)), rows, ["op"], target="os").select("op", "os", r9("p"))
+
+
+# ---------------------------------------------------------------- recursive conditioning
+
+
+LOOP = {"before": [], "kind": ["before"], "hour": ["before"], "band": ["kind", "hour"]}
+
+
+def event_loop(spark: SparkSession, d: str) -> Model:
+    """A network with a loop: the hour goes by the event before, the value by what is done and when."""
+    return learning.train(steps_of_users(spark, d), [EVENT, BEFORE, HOUR, BAND], LOOP)
+
+
+LOOP_SQL = f"""{EVENTS_SQL}, e AS (SELECT * FROM ev WHERE before IS NOT NULL),
+b AS (SELECT before, count(*)::DOUBLE / sum(count(*)) OVER () AS w FROM e GROUP BY before), k AS (SELECT kind, before, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY before) AS w FROM e GROUP BY kind, before),
+h AS (SELECT hour, before, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY before) AS w FROM e GROUP BY hour, before), v AS (SELECT band, kind, hour, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY kind, hour) AS w FROM e GROUP BY band, kind, hour),
+j AS (SELECT before, kind, hour, band, b.w * k.w * h.w * v.w AS w FROM b JOIN k USING (before) JOIN h USING (before) JOIN v USING (kind, hour))"""
+
+
+@query(f"WITH {LOOP_SQL} SELECT kind, round(sum(w) / sum(sum(w)) OVER (), 9) AS p FROM j WHERE band >= 2 AND hour BETWEEN 6 AND 20 GROUP BY kind")
+def conditioned_events(spark, d):
+    from marginalia.operators.conditioning import conditioned_marginal
+
+    return conditioned_marginal(event_loop(spark, d), ["kind"], {"band": (2, 3), "hour": tuple(range(6, 21))}, most_rows=100).select("kind", r9("p"))
+
+
+@query(f"WITH {LOOP_SQL} SELECT round(sum(w), 9) AS w FROM j WHERE band = 3 AND kind IN (0, 2)")
+def conditioned_weight(spark, d):
+    from marginalia.operators.conditioning import conditioning
+
+    return conditioning(event_loop(spark, d), cond={"band": 3, "kind": (0, 2)}, most_rows=24)[0].select(r9("w"))
+
+
+# ---------------------------------------------------------------- samples as sources
+
+
+LINES = ["l_partkey", "l_linenumber"]
+
+
+@query("WITH c AS (SELECT l_partkey, l_linenumber, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY ALL) SELECT l_partkey, l_linenumber, round(w / sum(w) OVER (), 12) AS p FROM c WHERE w > 0")
+def alias_table_law(spark, d):
+    """The probabilities that an alias table over groups of equal weight gives to the instances of a cross-table."""
+    from marginalia.operators import alias
+
+    items = table(spark, d, "lineitem").select(*LINES, F.col("l_quantity").cast("double").alias("q"))
+    instances = written(alias.numbered(ct.cross_table(items, LINES, "q")), "instances")
+    return alias.law(written(alias.slots(alias.weight_groups(instances)), "slots"), instances).select(*LINES, F.round("p", 12).alias("p"))
+
+
+@query("WITH c AS (SELECT l_partkey, l_linenumber, sum(l_quantity)::DOUBLE AS weight FROM lineitem GROUP BY ALL) SELECT weight, (sum(count(*)) OVER (ORDER BY weight) - count(*))::BIGINT AS first, count(*) AS n FROM c WHERE weight > 0 GROUP BY weight")
+def weight_groups(spark, d):
+    from marginalia.operators import alias
+
+    items = table(spark, d, "lineitem").select(*LINES, F.col("l_quantity").cast("double").alias("q"))
+    return alias.weight_groups(alias.numbered(ct.cross_table(items, LINES, "q")))
+
+
+def streamed(spark: SparkSession, sampler, runs: int, rows_per_batch: int) -> DataFrame:
+    """The samples of several runs of one stream, each of which goes on where the one before ended."""
+    from marginalia.operators import samplers
+
+    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    for _ in range(runs):
+        q = samplers.stream(sampler, spark, rows_per_batch).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(SQL["forward_sample"])
+def stream_forward_samples(spark, d):
+    """Two runs of 500 numbers of a stream give the samples of a batch of 1,000."""
+    from marginalia.operators import samplers
+
+    return streamed(spark, samplers.forward(chain(spark, d), draw=fixed), 2, 500)
+
+
+@query(SQL["direct_sample"])
+def stream_direct_samples(spark, d):
+    from marginalia.operators import samplers
+
+    return streamed(spark, samplers.direct(chain(spark, d), ["seg", "op"], {"os": 1}, draw=fixed, order=["os", "op", "seg"]), 2, 500)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import Condition, Variable, condition, holds
 from marginalia.operators.crosstab import WEIGHT
-from marginalia.operators.factors import Model
+from marginalia.operators.factors import Factor, Model
 from marginalia.folders import written
 from marginalia.operators.inference import eliminate, product, tables, wmc
 from marginalia.plans.elimination import best_order
@@ -89,24 +89,34 @@ def forward(model: Model, n: int, draw: Draw | None = None, cond: Condition | No
 
 def ancestral(model: Model, start: int, n: int, draw: Draw) -> DataFrame:
     """Samples ``start`` to ``start + n``, each variable given its parents."""
-    spark = model.factors[0].table.sparkSession
-    left = list(model.factors)
-    known: list[str] = []
-    rows = spark.range(start, start + n).withColumnRenamed("id", "row")
-    k = 0
+    rows = model.factors[0].table.sparkSession.range(start, start + n).withColumnRenamed("id", "row")
+    return stepped(rows, ["row"], [(f.scope[0], f.scope[1:], cdf(f.table, f.scope[0], f.scope[1:]), k) for k, f in enumerate(families(model))], draw).select("row", *(v.name for v in model.variables))
+
+
+def families(model: Model) -> list[Factor]:
+    """The factors of a Bayesian network, each after those of its child's parents."""
+    left, found = list(model.factors), []
     while left:
-        ready = [f for f in left if set(f.scope[1:]) <= set(known)]
+        known = {f.scope[0] for f in found}
+        ready = [f for f in left if set(f.scope[1:]) <= known]
         if not ready:
             raise ValueError("the model is not a Bayesian network")
-        for f in ready:
-            child, parents = f.scope[0], list(f.scope[1:])
-            table = cdf(f.table, child, parents)
-            joined = rows.join(table, parents) if parents else rows.crossJoin(F.broadcast(table))  # one row
-            rows = joined.withColumn("_u", draw(k)).select("row", *known, pick(F.col("_u")).alias(child))
-            known.append(child)
-            left.remove(f)
-            k += 1
-    return rows.select("row", *(v.name for v in model.variables))
+        found += ready
+        left = [f for f in left if f not in ready]
+    return found
+
+
+Step = tuple[str, Sequence[str], DataFrame, int]  # a variable, those it depends on, its cumulated fractions given these, and the number of its draw
+
+
+def stepped(rows: DataFrame, known: Sequence[str], steps: Sequence[Step], draw: Draw) -> DataFrame:
+    """The rows, of which the known columns stay, with one variable drawn after the other."""
+    known = list(known)
+    for name, given, table, k in steps:
+        joined = rows.join(table, list(given)) if given else rows.crossJoin(F.broadcast(table))  # one row
+        rows = joined.withColumn("_u", draw(k)).select(*known, pick(F.col("_u")).alias(name))
+        known.append(name)
+    return rows
 
 
 def direct(model: Model, n: int, variables: Sequence[str] | None = None, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, order: Sequence[str] | None = None, most_joins: int = 8) -> DataFrame:
@@ -144,20 +154,17 @@ def _products(model: Model, cond: Condition | None, given: Sequence[str], order:
 
 def _drawn(rows: DataFrame, known: Sequence[str], kept: Sequence[tuple[str, list[str], DataFrame]], names: Sequence[str], draw: Draw) -> DataFrame:
     """The rows, of which the known columns stay, with the eliminated variables drawn in the opposite order."""
-    known = list(known)
-    for v, rest, t in reversed(kept):
-        table = cdf(t, v, rest)
-        joined = rows.join(table, rest) if rest else rows.crossJoin(F.broadcast(table))  # one row
-        rows = joined.withColumn("_u", draw(names.index(v))).select(*known, pick(F.col("_u")).alias(v))
-        known.append(v)
-    return rows
+    return stepped(rows, known, [(v, rest, cdf(t, v, rest), names.index(v)) for v, rest, t in reversed(kept)], draw)
 
 
 def uniform(spark: SparkSession, variables: Sequence[Variable], n: int, cond: Condition | None = None, draw: Draw | None = None, seed: int = 1, start: int = 0) -> DataFrame:
     """``n`` rows, numbered from ``start``, with every variable uniform over its allowed states."""
-    draw = draw or random_draw(seed)
+    return uniform_rows(spark.range(start, start + n).withColumnRenamed("id", "row"), variables, cond, draw or random_draw(seed))
+
+
+def uniform_rows(rows: DataFrame, variables: Sequence[Variable], cond: Condition | None, draw: Draw) -> DataFrame:
+    """The rows with every variable uniform over its allowed states."""
     cond = condition(cond)
-    rows = spark.range(start, start + n).withColumnRenamed("id", "row")
     for k, v in enumerate(variables):
         allowed = cond.get(v.name, tuple(range(len(v))))
         if not allowed:
