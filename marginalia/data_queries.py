@@ -247,7 +247,7 @@ def planners(spark, d):
 
 
 def network_sql(name: str) -> str:
-    """The network's tables as values, joined, and summed by variable."""
+    """The network's tables as values, joined, and summed by variable; then the first variable's expected counts over the orders."""
     variables, tables = examples.NETWORKS[name]
     size = {n: len(s) for n, s in variables.items()}
     place = {n: k for k, n in enumerate(variables)}
@@ -264,13 +264,23 @@ def network_sql(name: str) -> str:
     joins = " ".join(f"JOIN t{k} USING ({', '.join(f'v{place[n]}' for n in scope)})" for k, (scope, _) in enumerate(tables))
     weight = " * ".join(f"w{k}" for k in range(len(tables)))
     sums = " UNION ALL ".join(f"SELECT '{n}' AS variable, v{k}::INTEGER AS state, round(sum(w), 9) AS p FROM j GROUP BY v{k}" for n, k in place.items())
+    seen = len(size) - 1  # the last variable is observed, by the key of each order
+    observed = f"SELECT o_orderkey % {list(size.values())[seen]} AS s, count(*)::DOUBLE AS n FROM orders GROUP BY ALL"
+    pairs = f"SELECT v0 AS state, v{seen} AS s, sum(w) AS w FROM j GROUP BY ALL"
+    expected = f"SELECT 'expected' AS variable, state::INTEGER AS state, round(sum(n * p), 6) AS p FROM (SELECT state, s, w / sum(w) OVER (PARTITION BY s) AS p FROM ({pairs})) JOIN ({observed}) USING (s) GROUP BY state"
+    sums = f"{sums} UNION ALL {expected}"
     return f"WITH {', '.join(parts)}, j AS (SELECT space.*, {weight} AS w FROM space {joins}) {sums}"
 
 
 for _name in ("student", "rain", "cancer", "earthquake", "survey"):
 
     def _marginals(spark, d, name=_name):
-        return inference.all_marginals(examples.network(spark, name)).select("variable", "state", r9("p"))
+        model = examples.network(spark, name)
+        first, last = model.variables[0], model.variables[-1]
+        evidence_rows = table(spark, d, "orders").select((F.col("o_orderkey") % len(last)).cast("int").alias(last.name))
+        scored = inference.batch_evidence(model, evidence_rows, [last.name], target=first.name).groupBy(F.col(first.name).alias("state")).agg(F.sum("p").alias("p"))
+        expected = scored.select(F.lit("expected").alias("variable"), "state", F.round("p", 6).alias("p"))
+        return inference.all_marginals(model).select("variable", "state", r9("p")).unionByName(expected)
 
     Q[f"example_{_name}"], SQL[f"example_{_name}"] = _marginals, network_sql(_name)
 

@@ -566,29 +566,43 @@ def preprune_semijoin(spark, d):
 SPACE = "SELECT rf::INTEGER AS rf, ls::INTEGER AS ls FROM range(3) a(rf), range(2) b(ls)"
 
 
-@query(f"SELECT *, 1.0::DOUBLE AS w FROM ({SPACE}) WHERE NOT rf IN (0, 2) OR ls = 0")
+FLAG_CELLS = "SELECT rf, ls, count(*)::DOUBLE AS k FROM (SELECT (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INTEGER AS rf, (CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END)::INTEGER AS ls FROM lineitem) GROUP BY ALL"
+
+
+def flag_cells(spark, d) -> DataFrame:
+    """The line items' flags counted, as state indexes."""
+    return ct.cross_table(items(spark, d).select(FLAGS.of_labels(F.col("rf")).alias("rf"), STATUS.of_labels(F.col("ls")).alias("ls")), ["rf", "ls"])
+
+
+def times_flags(spark, d, factor: Factor) -> DataFrame:
+    """A factor multiplied into the counts of the line items' flags."""
+    scope, rows = inference.product((("rf", "ls"), flag_cells(spark, d).withColumnRenamed("weight", "w")), (factor.scope, factor.nonzero()))
+    return rows.select(*factor.scope, "w")
+
+
+@query(f"SELECT rf, ls, k AS w FROM ({FLAG_CELLS}) WHERE NOT rf IN (0, 2) OR ls = 0")
 def factor_implies(spark, d):
-    return factors.implies(spark, FLAGS, [0, 2], STATUS, [0]).table
+    return times_flags(spark, d, factors.implies(spark, FLAGS, [0, 2], STATUS, [0]))
 
 
-@query(f"SELECT *, 1.0::DOUBLE AS w FROM ({SPACE}) WHERE (rf IN (0, 2)) = (ls = 0)")
+@query(f"SELECT rf, ls, k AS w FROM ({FLAG_CELLS}) WHERE (rf IN (0, 2)) = (ls = 0)")
 def factor_equiv(spark, d):
-    return factors.equivalent(spark, FLAGS, [0, 2], STATUS, [0]).table
+    return times_flags(spark, d, factors.equivalent(spark, FLAGS, [0, 2], STATUS, [0]))
 
 
-@query(f"SELECT *, 2.5::DOUBLE AS w FROM ({SPACE}) WHERE rf = 1 OR ls = 1")
+@query(f"SELECT rf, ls, k * 2.5 AS w FROM ({FLAG_CELLS}) WHERE rf = 1 OR ls = 1")
 def factor_clause(spark, d):
-    return factors.clause(spark, [FLAGS, STATUS], [1, 1], 2.5).table
+    return times_flags(spark, d, factors.clause(spark, [FLAGS, STATUS], [1, 1], 2.5))
 
 
-@query(f"SELECT (rf * ls)::INTEGER AS r, rf, ls, 1.0::DOUBLE AS w FROM ({SPACE})")
+@query(f"SELECT (rf * ls)::INTEGER AS r, rf, ls, k AS w FROM ({FLAG_CELLS})")
 def factor_functional(spark, d):
-    return factors.functional(spark, Variable("r", (0, 1, 2)), [FLAGS, STATUS], lambda a, b: a * b).table
+    return times_flags(spark, d, factors.functional(spark, Variable("r", (0, 1, 2)), [FLAGS, STATUS], lambda a, b: a * b))
 
 
-@query(f"SELECT rf, ls, (0.5 + rf * 2 + ls)::DOUBLE AS w FROM ({SPACE})")
+@query(f"SELECT rf, ls, k * (0.5 + rf * 2 + ls)::DOUBLE AS w FROM ({FLAG_CELLS})")
 def factor_dense(spark, d):
-    return factors.dense(spark, [FLAGS, STATUS], [0.5 + k for k in range(6)]).table
+    return times_flags(spark, d, factors.dense(spark, [FLAGS, STATUS], [0.5 + k for k in range(6)]))
 
 
 @query("SELECT l_returnflag AS rf, ln, w, dense_rank() OVER (ORDER BY w)::INTEGER - 1 AS param_id, count(*) OVER (PARTITION BY w) AS uses FROM (SELECT l_returnflag, l_linenumber AS ln, floor(count(*) / 500)::DOUBLE AS w FROM lineitem GROUP BY ALL) WHERE w <> 0")
@@ -603,9 +617,11 @@ def cpt_check(spark, d):
     return factors.invalid_parents(Factor((FLAGS, Variable("ln", tuple(range(8)))), t)).select("ln", F.round("total", 6).alias("total"))
 
 
-@query(f"SELECT rf, ls, (rf * 2 + ls)::BIGINT AS place FROM ({SPACE})")
+@query(f"SELECT rf, ls, (rf * 2 + ls)::BIGINT AS place, coalesce(k, 0)::DOUBLE AS weight FROM ({SPACE}) LEFT JOIN ({FLAG_CELLS}) USING (rf, ls)")
 def state_space_order(spark, d):
-    return state_space(spark, [FLAGS, STATUS], index="place")
+    """Every instance of the flags with its place and the line items that have it, 0 where none has."""
+    counted = state_space(spark, [FLAGS, STATUS], index="place").join(flag_cells(spark, d), ["rf", "ls"], "left")
+    return counted.select("rf", "ls", "place", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 # ---------------------------------------------------------------- sampling
@@ -636,9 +652,10 @@ def forward_sample(spark, d):
     return sampling.forward(chain(spark, d), 1000, draw=fixed)
 
 
-@query(f"SELECT range AS row, (floor(u0 * 3))::INTEGER AS rf, (1 + 0 * floor(u1))::INTEGER AS ls FROM (SELECT range, {U.format(k=0).replace('row', 'range')} AS u0, {U.format(k=1).replace('row', 'range')} AS u1 FROM range(1000))")
+@query(f"SELECT row, (floor(u0 * 3))::INTEGER AS rf, (1 + 0 * floor(u1))::INTEGER AS ls FROM (SELECT row, {U.format(k=0)} AS u0, {U.format(k=1)} AS u1 FROM (SELECT o_orderkey AS row FROM orders))")
 def uniform_sample(spark, d):
-    return sampling.uniform(spark, [FLAGS, STATUS], 1000, {"ls": 1}, draw=fixed)
+    """A sample for each order, by its key."""
+    return sampling.uniform_rows(table(spark, d, "orders").select(F.col("o_orderkey").alias("row")), [FLAGS, STATUS], {"ls": 1}, fixed)
 
 
 @query(
