@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia import examples
 from marginalia.catalog import Variable, variables_of
-from marginalia.folders import shared_folder
+from marginalia.folders import shared_folder, written
 from marginalia.functions.scalar import escape, instance_text
 from marginalia.operators import building, evidence, factors, inference, learning
 from marginalia.operators import crosstab as ct
@@ -286,9 +286,10 @@ for _name in ("student", "rain", "cancer", "earthquake", "survey"):
 
 
 def graph_sql(scopes: list[tuple[str, ...]], names: list[str], states_: int) -> str:
-    """Instances of a graph whose neighbours all differ, by enumeration."""
-    ranges = ", ".join(f"range({states_}) r_{n}({n})" for n in names)
-    return f"SELECT count(*)::DOUBLE AS wmc FROM {ranges} WHERE {' AND '.join(f'{a} <> {b}' for a, b in scopes)}"
+    """Instances of a graph whose neighbours all differ, by enumeration, and the share of them where every variable goes by the orders' states."""
+    shares = "s AS (SELECT (CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END)::INTEGER AS state, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM orders GROUP BY 1)"
+    ranges = ", ".join(f"(SELECT range AS {n}, coalesce(p, 0) AS p_{n} FROM range({states_}) LEFT JOIN s ON state = range) r_{n}" for n in names)
+    return f"WITH {shares} SELECT count(*)::DOUBLE AS wmc, round(sum({' * '.join(f'p_{n}' for n in names)}), 9) AS p FROM {ranges} WHERE {' AND '.join(f'{a} <> {b}' for a, b in scopes)}"
 
 
 for _name, _edges in examples.GRAPHS.items():
@@ -297,6 +298,10 @@ for _name, _edges in examples.GRAPHS.items():
 
     def _colourings(spark, d, scopes=_scopes, names=_names):
         model = examples.from_scopes(spark, dict.fromkeys(names, 3), scopes, weight=lambda k: F.when(F.col(scopes[k][0]) != F.col(scopes[k][1]), 1.0).otherwise(0.0))
-        return inference.wmc(model)
+        status = table(spark, d, "orders").select(ORDER_STATUS.of_labels(F.col("o_orderstatus")).alias("os"))
+        share = written(ct.conditional(ct.cross_table(status, ["os"]), []), "share")  # a row for each state
+        drawn = tuple(Factor((v,), share.select(F.col("os").alias(v.name), "w")) for v in model.variables)
+        p = inference.wmc(Model(model.variables, (*model.factors, *drawn))).select(r9("wmc").alias("p"))
+        return inference.wmc(model).crossJoin(F.broadcast(p))  # one row each
 
     Q[f"example_{_name}"], SQL[f"example_{_name}"] = _colourings, graph_sql(_scopes, _names, 3)
