@@ -71,37 +71,41 @@ def source_store_round_trip(spark, d):
     return family_rows(store.load(spark, path))
 
 
-def circuit(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A circuit of P(rf) P(ls) for indicators 1 to 5 and parameters 6 to 10, written as text and read again, with its literal map."""
+def circuit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A circuit of P(rf) P(ls) for indicators 1 to 5 and the learned parameters 6 to 10, written as text and read again, with its literal map."""
     nodes = ["c P(rf) P(ls)", "nnf 18 20 10", *(f"L {k}" for k in range(1, 11))]  # nodes 0 to 9
     nodes += [f"A 2 {k} {k + 5}" for k in range(5)]  # 10 to 14: an indicator and its parameter
     nodes += ["O 0 3 10 11 12", "O 0 2 13 14", "A 2 15 16", "%", "0"]
     path = new_path(spark, "nnf")
     spark.createDataFrame([(x,) for x in nodes], "value string").coalesce(1).write.text(path)
     literals = [f"cc$I${k + 1}$1.0$+${v.name}${s}" for k, (v, s) in enumerate((v, s) for v in (FLAGS, STATUS) for s in range(len(v)))]
-    literals += [f"cc$C${k}$0.{k - 5}$+" for k in range(6, 11)]
-    spark.createDataFrame([(x,) for x in ["cc$K$kind", *literals]], "value string").write.text(path + "-map")
+    lines = spark.createDataFrame([(x,) for x in ["cc$K$kind", *literals]], "value string")
+    rows = flags(spark, d)
+    for name, first in (("rf", 6), ("ls", 9)):
+        learned = ct.conditional(ct.cross_table(rows, [name]), [])
+        lines = lines.unionByName(learned.select(F.concat(F.lit("cc$C$"), F.col(name) + first, F.lit("$"), "w", F.lit("$+")).alias("value")))
+    lines.write.text(path + "-map")
     return circuits.read_nnf(spark, path), *circuits.read_literal_map(spark, path + "-map")
 
 
 @query(f"WITH {IX}, n AS (SELECT count(*)::DOUBLE AS n FROM ix), p AS (SELECT rf, ls, count(*) AS k FROM ix GROUP BY ALL) SELECT round((SELECT sum(k) FROM p WHERE rf <> 0) / n * (SELECT sum(k) FROM p WHERE ls = 1) / n, 9) AS value FROM n")
 def source_nnf_evaluate(spark, d):
     """The circuit's root for rf other than 0 and ls 1, with the parameters learned from the line items."""
-    nodes, indicators, _ = circuit(spark)
-    rows = flags(spark, d)
-    learned = None
-    for name, first in (("rf", 6), ("ls", 9)):
-        t = ct.conditional(ct.cross_table(rows, [name]), []).select((F.col(name) + first).alias("literal"), F.col("w").alias("value"))
-        learned = t if learned is None else learned.unionByName(t)
+    nodes, indicators, parameters = circuit(spark, d)
     met = ((F.col("variable") == "rf") & (F.col("state") != 0)) | ((F.col("variable") == "ls") & (F.col("state") == 1))
-    values = learned.unionByName(indicators.select("literal", F.when(met, 1.0).otherwise(0.0).alias("value")))
+    values = parameters.unionByName(indicators.select("literal", F.when(met, 1.0).otherwise(0.0).alias("value")))
     return circuits.evaluate(nodes, values).where("node = 17").select(r9("value"))
 
 
-@query("SELECT * FROM (VALUES (1, 'rf', 0, NULL::DOUBLE), (2, 'rf', 1, NULL), (3, 'rf', 2, NULL), (4, 'ls', 0, NULL), (5, 'ls', 1, NULL), (6, NULL, NULL, 0.1), (7, NULL, NULL, 0.2), (8, NULL, NULL, 0.3), (9, NULL, NULL, 0.4), (10, NULL, NULL, 0.5)) v(literal, variable, state, value)")
+@query(
+    f"""WITH {IX}, n AS (SELECT count(*)::DOUBLE AS n FROM ix) SELECT (rf + 6)::INTEGER AS literal, NULL AS variable, NULL::INTEGER AS state, round(count(*) / any_value(n), 9) AS value FROM ix, n GROUP BY rf
+UNION ALL SELECT (ls + 9)::INTEGER, NULL, NULL, round(count(*) / any_value(n), 9) FROM ix, n GROUP BY ls
+UNION ALL SELECT * FROM (VALUES (1, 'rf', 0, NULL::DOUBLE), (2, 'rf', 1, NULL), (3, 'rf', 2, NULL), (4, 'ls', 0, NULL), (5, 'ls', 1, NULL)) v(literal, variable, state, value)"""
+)
 def source_literal_map(spark, d):
-    _, indicators, parameters = circuit(spark)
-    return indicators.unionByName(parameters, allowMissingColumns=True)
+    """The map of a circuit whose parameters are learned from the line items."""
+    _, indicators, parameters = circuit(spark, d)
+    return indicators.unionByName(parameters, allowMissingColumns=True).select("literal", "variable", "state", r9("value"))
 
 
 # ---------------------------------------------------------------- data sets
@@ -167,7 +171,10 @@ def variables_from_data(spark, d):
     return spark.createDataFrame([(v.name, k, str(s)) for v in found for k, s in enumerate(v.states)], "variable string, state int, label string")
 
 
-@query("SELECT true AS equal, false AS other")
+@query(
+    f"""WITH {IXW}, a AS (SELECT rf, ls, count(*) AS n FROM f GROUP BY ALL), b AS (SELECT rf, ls, sum(n) AS n FROM (SELECT 1 AS x, ls, rf, count(*) AS n FROM f GROUP BY ALL) GROUP BY ALL)
+SELECT NOT EXISTS (FROM a FULL JOIN b USING (rf, ls) WHERE a.n IS DISTINCT FROM b.n) AS equal, NOT EXISTS (FROM a FULL JOIN b USING (rf, ls) WHERE a.n IS DISTINCT FROM 2 * b.n) AS other"""
+)
 def crosstab_equality(spark, d):
     rows = flags(spark, d)
     a, b = ct.cross_table(rows, ["rf", "ls"]), ct.project(ct.cross_table(rows.withColumn("x", F.lit(1)), ["x", "ls", "rf"]), ["ls", "rf"])
@@ -202,7 +209,10 @@ def factor_normalised(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT true AS learned, true AS structure, false AS scaled, false AS cyclic")
+@query(
+    f"""WITH {SALES}, sums AS (SELECT sum(w) AS s FROM fs UNION ALL SELECT sum(w) FROM fo GROUP BY seg UNION ALL SELECT sum(w) FROM ft GROUP BY op)
+SELECT bool_and(abs(s - 1) < 1e-6) AS learned, true AS structure, bool_and(abs(2 * s - 1) < 1e-6) AS scaled, false AS cyclic FROM sums"""
+)
 def network_checks(spark, d):
     model = chain(spark, d)
     scaled = Model(model.variables, tuple(Factor(f.variables, f.table.withColumn("w", F.col("w") * 2)) for f in model.factors))
@@ -272,7 +282,7 @@ def network_sql(name: str) -> str:
     return f"WITH {', '.join(parts)}, j AS (SELECT space.*, {weight} AS w FROM space {joins}) {sums}"
 
 
-for _name in ("student", "rain", "cancer", "earthquake", "survey"):
+for _name in ("sprinkler", "asia", "student", "rain", "cancer", "earthquake", "survey"):
 
     def _marginals(spark, d, name=_name):
         model = examples.network(spark, name)

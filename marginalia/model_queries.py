@@ -58,6 +58,21 @@ def chained_events(spark, d):
     return sampling.chained(event_network(spark, d), {"kind": "before"}, 20, 200, {"kind": 0, "before": 0}, draw=fixed, segment=64, most_cells=25)
 
 
+NEXT_SQL = f"""{EVENTS_SQL}, c AS (SELECT before, kind, count(*) AS c FROM ev WHERE before IS NOT NULL GROUP BY ALL), nxt AS (SELECT before, kind FROM c QUALIFY row_number() OVER (PARTITION BY before ORDER BY c DESC, kind) = 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {NEXT_SQL}, walk AS (SELECT 0 AS step, kind, before FROM nxt WHERE before = 2 UNION ALL SELECT step + 1, nxt.kind, walk.kind FROM walk JOIN nxt ON nxt.before = walk.kind WHERE step < 11)
+SELECT range AS chain, step::BIGINT AS step, kind, before FROM walk, range(3)"""
+)
+def chained_sample(spark, d):
+    """What users do next most often, as a network without chance: its chains follow from the first state."""
+    counted = ct.cross_table(steps_of_users(spark, d), ["before", "kind"])
+    likely = counted.groupBy("before").agg(F.max_by("kind", F.struct("weight", -F.col("kind"))).alias("kind"))
+    parts = (factors.Factor((EVENT, BEFORE), likely.select("kind", "before", F.lit(1.0).alias("w"))), factors.Factor((BEFORE,), ct.project(counted, ["before"]).withColumnRenamed("weight", "w")))
+    return sampling.chained(Model((EVENT, BEFORE), parts), {"kind": "before"}, chains=3, length=12, initial={"before": 2})
+
+
 @query(
     f"""WITH {SALES}, held AS (SELECT *, seg IN (0, 2) AS a, os = 1 AS b FROM full_)
 SELECT 'seg' AS variable, seg AS state, round(sum(CASE WHEN b THEN w ELSE 0 END), 9) AS d FROM held GROUP BY seg

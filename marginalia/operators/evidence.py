@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import Variable
 from marginalia.functions.scalar import arg_max, one_hot, total
-from marginalia.operators.crosstab import WEIGHT, summed
+from marginalia.operators.crosstab import WEIGHT, cross_table, summed, weighted
 
 
 def soften(data: DataFrame, variables: Sequence[Variable]) -> DataFrame:
@@ -59,6 +59,14 @@ def expand(data: DataFrame, variables: Sequence[Variable], merge: bool = False)
     return summed(out, columns) if merge else out.select(*columns, WEIGHT)
 
 
+def cross_table_of(data: DataFrame, variables: Sequence[Variable], weight: str | None = None, prior: float | DataFrame = 0) -> DataFrame:
+    """The cross-table of hard or soft data: a column of arrays is soft, any other holds states; both may stand side by side."""
+    kinds = dict(data.dtypes)
+    rows = weighted(data, weight).select(*(v.name for v in variables), WEIGHT)
+    soft = [v for v in variables if kinds[v.name].startswith("array")]
+    return cross_table(expand(rows, soft) if soft else rows, variables, WEIGHT, prior)
+
+
 def hard_cell(hard: Column, soft: Column, missing: int) -> Column:
     """The state of a cell that is hard, soft or missing."""
     return F.coalesce(hard.cast("int"), arg_max(soft), F.lit(missing))

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from marginalia.catalog import Condition, condition, holds, state_space
 from marginalia.folders import written
 from marginalia.functions.scalar import ratio
+from marginalia.operators.crosstab import WEIGHT
 from marginalia.operators.factors import Model
-from marginalia.operators.space import Space
-from marginalia.plans.elimination import best_order, join_tree, maximal_tree
+from marginalia.operators.space import ProbabilitySpace, Space
+from marginalia.plans.elimination import Planner, best_order, join_tree, maximal_tree, planned
 from marginalia.plans.products import Tree, best_tree
 
 
@@ -71,14 +72,16 @@ def tables(model: Model, cond: Condition | None = None, skip: Sequence[int] = ()
     return [(s, t.where(holds({k: v for k, v in cond.items() if k in s}))) for s, t in found]
 
 
-def eliminate(parts: Sequence[Table], sizes: Mapping[str, int], keep: Sequence[str] = (), ring: Semiring = SUM_PRODUCT, order: Sequence[str] | None = None, trees: bool = False) -> Table:
-    """All variables summed out but the kept ones, in the given or the best order.
+def eliminate(parts: Sequence[Table], sizes: Mapping[str, int], keep: Sequence[str] = (), ring: Semiring = SUM_PRODUCT, order: Sequence[str] | Planner | None = None, trees: bool = False) -> Table:
+    """All variables summed out but the kept ones, in the given order, that of a planner, or the best one.
 
     The tables that a variable is in are joined smallest first, or by the best
     of the binary trees (see :func:`best_tree`), which sums variables out
     between the joins.
     """
     parts = list(parts)
+    if callable(order):
+        order = planned([s for s, _ in parts], sizes, order, keep=keep)
     order = [v for v in order if v not in keep] if order is not None else best_order([s for s, _ in parts], sizes, keep)
     for v in order:
         mine = sorted((p for p in parts if v in p[0]), key=lambda p: reduce(lambda n, x: n * sizes[x], p[0], 1))
@@ -115,7 +118,7 @@ def along(tree: Tree, parts: Sequence[Table], keep: Iterable[str], ring: Semirin
     return sum_out((scope, table), gone, ring) if gone else (scope, table)
 
 
-def wmc(model: Model, cond: Condition | None = None, ring: Semiring = SUM_PRODUCT, order: Sequence[str] | None = None) -> DataFrame:
+def wmc(model: Model, cond: Condition | None = None, ring: Semiring = SUM_PRODUCT, order: Sequence[str] | Planner | None = None) -> DataFrame:
     """``wmc``: the weight of all instances that meet the condition."""
     _, table = eliminate(tables(model, cond, ring=ring), model.sizes, (), ring, order)
     return table.agg(F.coalesce(ring.add("w"), F.lit(ring.zero)).alias("wmc"))
@@ -134,6 +137,17 @@ def space(model: Model, variables: Sequence[str], cond: Condition | None = None)
     return Space(marginal(model, variables, cond).withColumnRenamed("p", "weight"))
 
 
+class ModelSpace(ProbabilitySpace):
+    """A model as a probability space: each question is an elimination that keeps the given variables and has the condition in its scans."""
+
+    def __init__(self, model: Model, variables: Sequence[str]):
+        self.model, self.variables = model, list(variables)
+
+    def given(self, cond: Condition | None = None) -> DataFrame:
+        _, table = eliminate(tables(self.model, cond), self.model.sizes, self.variables)
+        return table.select(*self.variables, F.col("w").alias(WEIGHT))
+
+
 def probability(model: Model, event: Condition, cond: Condition | None = None) -> DataFrame:
     """``p`` of the event under the condition, from one elimination that keeps the event's variables."""
     event = condition(event)

@@ -7,6 +7,7 @@ no probability is NaN.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,14 +18,12 @@ from marginalia.functions.scalar import NAN, plogp, ratio
 from marginalia.operators.crosstab import WEIGHT
 
 
-class Space:
-    """A table with a column per variable and ``weight``, as probabilities in proportion to the weights."""
+class ProbabilitySpace(ABC):
+    """Probabilities of anything that gives the weighted rows that meet a condition: ``given`` is all that a space defines."""
 
-    def __init__(self, table: DataFrame):
-        self.table = table
-
-    def given(self, cond: Condition | None) -> DataFrame:
-        return self.table.where(holds(condition(cond))) if cond else self.table
+    @abstractmethod
+    def given(self, cond: Condition | None = None) -> DataFrame:
+        """Rows of state indexes that meet the condition, with ``weight``; an instance may have several."""
 
     def wmc(self, cond: Condition | None = None) -> DataFrame:
         """``wmc``: the weight of all instances that meet the condition, 0 for none."""
@@ -58,7 +57,7 @@ class Space:
         if a[0] == b[0]:
             allowed = condition(cond).get(a[0])
             value = NAN if allowed is not None and not {a[1], b[1]} <= set(allowed) else float(a[1] == b[1])
-            return self.table.sparkSession.range(1).select(F.lit(value).alias("correlation"))
+            return self.given(None).sparkSession.range(1).select(F.lit(value).alias("correlation"))
         w, ia, ib = F.col(WEIGHT), F.col(a[0]) == a[1], F.col(b[0]) == b[1]
         sums = self.given(cond).agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(k) for k, x in {"z": w, "a": F.when(ia, w), "b": F.when(ib, w), "ab": F.when(ia & ib, w)}.items()))
         p = {k: ratio(F.col(k), F.col("z")) for k in ("a", "b", "ab")}
@@ -110,3 +109,24 @@ class Space:
             "uncertainty": over(hy), "symmetric_uncertainty": over((free + hy) / 2), "iqr": over(hxy), "covariant_nmi": over(F.sqrt(hx * hy)),
         }
         return h.select(*(v.alias(k) for k, v in columns.items()))
+
+
+class Space(ProbabilitySpace):
+    """A table with a column per variable and ``weight``, as probabilities in proportion to the weights."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def given(self, cond: Condition | None = None) -> DataFrame:
+        return self.table.where(holds(condition(cond))) if cond else self.table
+
+
+class SampleSpace(ProbabilitySpace):
+    """Samples, each of the same weight: the weight of a condition is the number of samples that meet it."""
+
+    def __init__(self, samples: DataFrame, variables: Sequence[str | Variable]):
+        self.samples = samples.select(*names(variables))
+
+    def given(self, cond: Condition | None = None) -> DataFrame:
+        rows = self.samples.where(holds(condition(cond))) if cond else self.samples
+        return rows.withColumn(WEIGHT, F.lit(1.0))

@@ -8,6 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping
+from typing import Protocol
+
+
+class Planner(Protocol):
+    """Gives an order of all variables of the scopes but the kept ones."""
+
+    def __call__(self, scopes: Iterable[Iterable[str]], sizes: Mapping[str, int], keep: Iterable[str] = ()) -> list[str]: ...
 
 
 def neighbours(scopes: Iterable[Iterable[str]]) -> dict[str, set[str]]:
@@ -95,18 +102,25 @@ def optimal_prefix(scopes: Iterable[Iterable[str]], keep: Iterable[str] = ()) ->
 
 
 #: Planners by name: an order from scopes, sizes and the variables kept.
-PLANNERS = {name: lambda scopes, sizes, keep=(), o=name: order(scopes, sizes, o, keep)[0] for name in OBJECTIVES}
+PLANNERS: dict[str, Planner] = {name: lambda scopes, sizes, keep=(), o=name: order(scopes, sizes, o, keep)[0] for name in OBJECTIVES}
 
 
-def planned(scopes: Iterable[Iterable[str]], sizes: Mapping[str, int], planner: str = "best", prefix: str | None = None, keep: Iterable[str] = ()) -> list[str]:
-    """An order by a planner's name, ``best`` for the best of all, after a ``twig`` or ``optimal`` prefix."""
+def planned(scopes: Iterable[Iterable[str]], sizes: Mapping[str, int], planner: str | Planner = "best", prefix: str | None = None, keep: Iterable[str] = ()) -> list[str]:
+    """An order by a planner or its name, ``best`` for the best of all, after a ``twig`` or ``optimal`` prefix.
+
+    A planner that leaves a variable out, or gives one twice, is an error.
+    """
     scopes = [tuple(s) for s in scopes]
     first = {"twig": twig_prefix, "optimal": optimal_prefix, None: lambda *_: []}[prefix](scopes, keep)
     graph = neighbours(scopes)
     for v in first:
         _remove(graph, v)
     rest = [(v, n) for v, near in graph.items() for n in near] + [(v,) for v in graph]
-    return first + (best_order(rest, sizes, keep) if planner == "best" else PLANNERS[planner](rest, sizes, keep))
+    chosen = planner if callable(planner) else best_order if planner == "best" else PLANNERS[planner]
+    found = list(chosen(rest, sizes, keep))
+    if sorted(found) != sorted(v for v in graph if v not in set(keep)):
+        raise ValueError(f"not an order of all variables to sum out: {found}")
+    return first + found
 
 
 def maximal_tree(scopes: Iterable[Iterable[str]], sizes: Mapping[str, int]) -> tuple[list[frozenset], list[int | None]]:

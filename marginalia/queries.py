@@ -547,10 +547,21 @@ def gradient_param(spark, d):
     return inference.gradient(chain(spark, d), 1).select("op", "seg", r9("d"))
 
 
-@query("SELECT * FROM (VALUES ('op', 'os'), ('op', 'seg')) v(variable, neighbour)")
+def blanket_sql() -> str:
+    """A variable's neighbours are those that its conditional distribution depends on, given all others."""
+    parts = []
+    for v, others in {"seg": ("op", "os"), "op": ("seg", "os"), "os": ("seg", "op")}.items():
+        for n, rest in (others, others[::-1]):
+            p = f"SELECT *, w / sum(w) OVER (PARTITION BY {n}, {rest}) AS p FROM full_"
+            parts.append(f"SELECT '{v}' AS variable, '{n}' AS neighbour FROM (SELECT max(p) - min(p) AS spread FROM ({p}) GROUP BY {v}, {rest}) HAVING max(spread) > 1e-9")
+    return f"WITH {SALES} {' UNION ALL '.join(parts)}"
+
+
+@query(blanket_sql())
 def markov_blanket(spark, d):
-    found = sorted(factors.markov_blanket(chain(spark, d), "op"))
-    return spark.createDataFrame([("op", v) for v in found], "variable string, neighbour string")
+    model = chain(spark, d)
+    found = [(v.name, n) for v in model.variables for n in sorted(factors.markov_blanket(model, v.name))]
+    return spark.createDataFrame(found, "variable string, neighbour string")
 
 
 @query(f"WITH {SALES}, a AS (SELECT op, count(*)::DOUBLE AS w FROM sales WHERE seg = 0 GROUP BY op), b AS (SELECT os, op, count(*)::DOUBLE AS w FROM sales WHERE os = 2 GROUP BY ALL) SELECT os, op, w FROM b SEMI JOIN a USING (op)")
@@ -698,51 +709,6 @@ def metropolis_sample(spark, d):
     return close_to_exact(spark, d, "metropolis", None)
 
 
-@query(
-    """WITH r(rain, w) AS (VALUES (0, 0.8::DOUBLE), (1, 0.2)), s(sprinkler, w) AS (VALUES (0, 0.9::DOUBLE), (1, 0.1)),
-g(grass, rain, sprinkler, w) AS (VALUES (0,0,0,0.90::DOUBLE), (0,0,1,0.01), (0,1,0,0.02), (0,1,1,0.01), (1,0,0,0.09), (1,0,1,0.01), (1,1,0,0.08), (1,1,1,0.04), (2,0,0,0.01), (2,0,1,0.98), (2,1,0,0.90), (2,1,1,0.95))
-SELECT rain, round(sum(p) / sum(sum(p)) OVER (), 9) AS p FROM (SELECT g.rain, r.w * s.w * g.w AS p FROM g JOIN r USING (rain) JOIN s USING (sprinkler) WHERE grass = 2) GROUP BY rain"""
-)
-def example_sprinkler(spark, d):
-    from marginalia import examples
-
-    return inference.marginal(examples.network(spark, "sprinkler"), ["rain"], {"grass": 2}).select("rain", r9("p"))
-
-
-def asia_sql() -> str:
-    """The eight tables as values, joined, with evidence, summed by variable."""
-    from marginalia.examples import NETWORKS
-
-    names, tables = NETWORKS["asia"]
-    parts, joins = [], []
-    for scope, values in tables:
-        rows = ", ".join(f"({', '.join(str(k >> (len(scope) - 1 - j) & 1) for j in range(len(scope)))}, {w}::DOUBLE)" for k, w in enumerate(values))
-        parts.append(f"t_{scope[0]}({', '.join(scope)}, w_{scope[0]}) AS (VALUES {rows})")
-    for scope in ("asia", "tub", "smoke", "lung", "bronc", "either", "xray", "dysp"):
-        joins.append(f"t_{scope}")
-    on = {"asia": "", "smoke": "", "tub": "(asia)", "lung": "(smoke)", "bronc": "(smoke)", "either": "(lung, tub)", "xray": "(either)", "dysp": "(bronc, either)"}
-    order = ("asia", "tub", "smoke", "lung", "bronc", "either", "xray", "dysp")
-    source = " ".join(f"t_{n}" if k == 0 else f"JOIN t_{n} USING {on[n]}" if on[n] else f"CROSS JOIN t_{n}" for k, n in enumerate(order))
-    weight = " * ".join(f"w_{n}" for n in order)
-    sums = " UNION ALL ".join(f"SELECT '{n}' AS variable, {n}::INTEGER AS state, round(sum(w) / sum(sum(w)) OVER (), 9) AS p FROM j GROUP BY {n} HAVING sum(w) > 0" for n in names)
-    return f"WITH {', '.join(parts)}, j AS (SELECT {', '.join(names)}, {weight} AS w FROM {source} WHERE xray = 0 AND smoke = 1) {sums}"
-
-
-@query(asia_sql())
-def example_asia(spark, d):
-    from marginalia import examples
-
-    return inference.all_marginals(examples.network(spark, "asia"), {"xray": 0, "smoke": 1}).select("variable", "state", r9("p"))
-
-
-@query("SELECT c.range AS chain, t.range AS step, (t.range % 4)::INTEGER AS x, ((t.range + 3) % 4)::INTEGER AS prev FROM range(3) c, range(12) t")
-def chained_sample(spark, d):
-    x, prev = Variable("x", (0, 1, 2, 3)), Variable("prev", (0, 1, 2, 3))
-    uniform = factors.dense(spark, [prev], [0.25] * 4)
-    step = factors.functional(spark, x, [prev], lambda p: (p + 1) % 4)
-    return sampling.chained(Model((x, prev), (step, uniform)), {"x": "prev"}, chains=3, length=12, initial={"x": 0})
-
-
 @query(
     f"""WITH {SALES}, pxy AS (SELECT seg, os, sum(w) AS p FROM full_ GROUP BY seg, os), px AS (SELECT seg, sum(p) AS p FROM pxy GROUP BY seg), py AS (SELECT os, sum(p) AS p FROM pxy GROUP BY os)
 SELECT round((SELECT -sum(p * log2(p)) FROM pxy), 9) AS joint_entropy, round((SELECT -sum(p * log2(p)) FROM px), 9) AS entropy_x, round((SELECT -sum(p * log2(p)) FROM py), 9) AS entropy_y"""
