@@ -361,7 +361,7 @@ def test_mixing(spark):
     rows = [(k, s) for s, m in n.items() for k in range(m)] + [(None, "a"), (0, "a"), (0, "a")]
     docs = spark.createDataFrame([(*r, "t", 1, 2) for r in rows], "doc_id long, source string, _source string, _salt int, _slot int")
     weights = {"a": 0.5, "b": 0.3, "c": 0.2, "absent": 1.0}
-    got = mixing.mix(docs, weights, default=0.1, block=4, period=60).collect()
+    got = mixing.mix(docs, weights, default=0.1, block=4).collect()
     assert sorted(((r.doc_id, r.source) for r in got), key=repr) == sorted(rows, key=repr)
     assert len({r._position for r in got}) == len(rows)
     slots = {}
@@ -381,7 +381,7 @@ def test_mixing(spark):
 
 @pytest.mark.parametrize("share", [{"a": 1, "b": 59}, {"a": 20, "b": 20, "c": 20}, {"a": 31, "b": 17, "c": 11, "d": 1}])
 def test_pfair_deviation(share):
-    slots = mixing.pfair(share, 60)
+    slots = list(mixing.served(share, 60, dict.fromkeys(share, 0), 0, 60))
     for s, a in share.items():
         lag = np.cumsum([x == s for x in slots]) - a / 60 * np.arange(1, 61)
         assert np.abs(lag).max() < 1
