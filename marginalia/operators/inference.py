@@ -413,12 +413,19 @@ def value_of(model: Model, instance: Mapping[str, int]) -> DataFrame:
     return wmc(model, dict(instance))
 
 
-def soft_evidence(model: Model, evidence: DataFrame, observed: Sequence[str], row: str) -> DataFrame:
-    """``row, wmc`` for evidence given as vectors of state weights."""
+def soft_evidence(model: Model, evidence: DataFrame, observed: Sequence[str], row: str, most_states: int = 100_000) -> DataFrame:
+    """``row, wmc`` for evidence given as vectors of state weights.
+
+    The message of one elimination has at most the state space of the observed
+    variables. Up to ``most_states`` instances it is broadcast; a larger one
+    and the evidence are shuffled. The evidence, a row for each combination of
+    states, is never broadcast, however small the planner takes it for.
+    """
     _, message = eliminate(tables(model), model.sizes, list(observed))
+    small = reduce(lambda n, v: n * model.sizes[v], observed, 1) <= most_states
     out = evidence.select(row, *observed)
     weight = F.lit(1.0)
     for v in observed:
         out = out.select(*[c for c in out.columns if c != v], F.posexplode(v).alias(v, f"_w_{v}"))
         weight = weight * F.col(f"_w_{v}")
-    return out.join(message, list(observed)).groupBy(row).agg(F.sum(weight * F.col("w")).alias("wmc"))
+    return out.join(F.broadcast(message) if small else message.hint("merge"), list(observed)).groupBy(row).agg(F.sum(weight * F.col("w")).alias("wmc"))
