@@ -118,13 +118,15 @@ def coalesce_tables(tables: Sequence[DataFrame], variables: Sequence[Variable],
     and an aggregate per table: a weight is multiplied by the sum of its
     targets over the sum of its projections. Instances start out equal. Rounds
     go on until the largest difference of a projection is below ``tolerance``
-    or falls by less than ``change``; after ``rounds`` there is a warning.
+    or falls by less than ``change``; after ``rounds`` there is a warning. The
+    given tables are written once, so what they come from is not read again.
     """
     spark = tables[0].sparkSession
     names = [v.name for v in variables]
     targets = []
     for t in tables:
         scope = [c for c in t.columns if c != WEIGHT]
+        t = written(t, "targets")
         z = t.agg(F.sum(WEIGHT).alias("_z"))
         targets.append((scope, t.crossJoin(F.broadcast(z)).select(*scope, (F.col(WEIGHT) / F.col("_z")).alias("_b"))))  # one row
     a = state_space(spark, variables).withColumn(WEIGHT, F.lit(1.0))
