@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import jaccard, language, lines, mixing, packing
 from marginalia.llm.queries import tokenizer_file
-from marginalia.llm.shared import materialise, table
+from marginalia.llm.shared import materialise, table, written_order
 
 LEAST_SCORE = 0.5
 
@@ -36,13 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents in an order that gives all sources equal shares, as long as they last."""
+    """Puts the documents in an order that gives all sources equal shares, as long as they last. The order is that of the written rows."""
     return mixing.mix(docs).orderBy("_position").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
-    return packing.pack_documents(docs, tokenizer_file(), added_tokens=True)
+    """Packs the documents' tokens into sequences, whose ``sequence_id`` ascends in the order of the written documents."""
+    return packing.pack_documents_in_order(written_order(docs.select("doc_id", "text"), "_place"), tokenizer_file(), "_place", added_tokens=True)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mix_sources", mix_sources), ("pack", pack)]

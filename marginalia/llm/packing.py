@@ -16,6 +16,10 @@ Steps 3 and 5 see only histograms of lengths, at most ``C`` numbers whatever
 the size of the data. Places are given to pieces by their rank within their
 length, which Spark computes with salted windows; no task or driver ever holds
 all pieces.
+
+Documents that come in an order to be kept, such as a mix of sources, are
+packed by the same scheme in stretches of that order, see
+:func:`pack_in_order`.
 """
 
 from __future__ import annotations
@@ -34,12 +38,32 @@ from pyspark.sql import functions as F
 from marginalia.llm.shared import materialise, salted_rank
 
 SALTS = 128
+STRETCH = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # ---------------------------------------------------------------- tokens
 
 
+class Words(dict):
+    """Ids of words after a blank, kept up to a number of words.
+
+    It doesn't refer to its encoder, so both are freed with a task's last
+    reference: a worker that runs many tasks would else hold several of them
+    until cycles are collected.
+    """
+
+    def __init__(self, bpe, most: int):
+        super().__init__()
+        self.bpe, self.most = bpe, most
+
+    def __missing__(self, word: str) -> bytes:
+        found = np.array(self.bpe.encode_ordinary(" " + word), dtype="<u4").tobytes()
+        if len(self) < self.most:
+            self[word] = found
+        return found
+
+
 class PieceEncoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -72,16 +96,7 @@ class PieceEncoder:
         longest = sorted(self.added, key=len, reverse=True)
         self.border = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
-        encode = self.encode_whole
-
-        class Words(dict):
-            def __missing__(self, word):
-                found = encode(" " + word)
-                if len(self) < words:
-                    self[word] = found
-                return found
-
-        self.words = Words()
+        self.words = Words(self.bpe, words)
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
@@ -98,8 +113,10 @@ class PieceEncoder:
         return self.encode_whole(head) + b"".join(map(self.words.__getitem__, rest))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32``.
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False, place_col: str | None = None
+) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32``, and ``place`` if the documents have a ``place_col``.
 
     A document is its ids and a closing id 0; a null text counts as empty and
     gives one piece of length 1. Only documents longer than ``capacity`` are
@@ -111,19 +128,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col:
         encoder = PieceEncoder(tokenizer, added_tokens=added_tokens)
         end = b"\0\0\0\0"
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows: list[list] = [[] for _ in kinds]
+            for doc, text, *place in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
                 ids = encoder.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 starts = [0, *range(first, n, capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
-                    for column, value in zip(rows, (doc, k, a, b - a, zlib.crc32(memoryview(ids)[4 * a : 4 * b]))):
+                    for column, value in zip(rows, (doc, k, a, b - a, zlib.crc32(memoryview(ids)[4 * a : 4 * b]), *place)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds.values())], names=[*kinds])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"place": pa.int64()} if place_col else {})
+    read = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(place_col).cast("long").alias("place")] if place_col else [])]
+    return docs.select(*read).mapInArrow(cut, PIECES + ", place long" * bool(place_col))
 
 
 # ---------------------------------------------------------------- plans over histograms
@@ -338,3 +356,73 @@ def pack(pieces: DataFrame, capacity: int = 2048, small: float = 1 / 8, groups:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Tokenise, cut and pack the documents; see :func:`token_pieces` and :func:`pack`."""
     return pack(materialise(token_pieces(docs, tokenizer, capacity, id_col, text_col, added_tokens), "pack-pieces"), capacity)
+
+
+# ---------------------------------------------------------------- documents in an order
+
+
+def stretch_sequences(length: np.ndarray, capacity: int, border: int, groups: int) -> np.ndarray:
+    """The sequence, from 0, of each piece of a stretch; lengths are under the capacity and descend."""
+    counts = np.bincount(length, minlength=capacity)
+    size, sizes = linear_groups(counts, border, groups)
+    big, n_big = large_places(size, configurations(capacity, sizes))
+    n_large = int(counts[border + 1 :].sum())
+    rank = np.arange(n_large)
+    row = big[np.searchsorted(big[:, 0], rank, side="right") - 1]
+    large = row[:, 1] + (rank - row[:, 0]) % row[:, 2]
+
+    gap = np.full(n_big, capacity)
+    np.subtract.at(gap, large, length[:n_large])
+    by_gap = dict(enumerate(np.bincount(gap, minlength=1).tolist()))
+    little, _ = small_places(capacity, {g: n for g, n in by_gap.items() if g}, [(k, int(counts[k])) for k in range(border, 0, -1) if counts[k]])
+    rank = np.arange(len(length) - n_large)
+    row = little[np.searchsorted(little[:, 0], rank, side="right") - 1]
+    nth = row[:, 2] + (rank - row[:, 0]) // row[:, 3]
+    spots = np.argsort(gap, kind="stable")
+    into = row[:, 1] >= 0
+    tiny = n_big + nth
+    tiny[into] = spots[np.searchsorted(gap[spots], row[into, 1]) + nth[into]]
+    return np.concatenate([large, tiny])
+
+
+def pack_in_order(pieces: DataFrame, capacity: int = 2048, small: float = 1 / 8, groups: int = 512, stretch: int = STRETCH) -> DataFrame:
+    """Pack pieces of documents that have an order, a different ``place`` each, so that it stays that of the sequences.
+
+    ``sequence_id`` ascends in the order: a sequence stands where its first
+    document does, its documents follow each other by place, and a document's
+    pieces come one after the other. A sequence of several pieces takes them
+    from one stretch of ``stretch`` places, so each document stays within a
+    stretch of its place. A stretch has at most one piece a document that is not
+    full, which bounds a task; full pieces are sequences of their own, unshuffled.
+    """
+    border = int(capacity * small)
+    bits = (2**31 // capacity).bit_length()  # of a piece's number: a text has under 2^31 bytes
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def fill(table: pa.Table) -> pa.Table:
+        length, place = (table.column(c).to_numpy() for c in ("length", "place"))
+        longest = np.lexsort((place, -length))
+        sequence = np.empty_like(length)
+        sequence[longest] = stretch_sequences(length[longest], capacity, border, groups)
+        by_place = np.lexsort((place, sequence))
+        length, place, sequence = length[by_place], place[by_place], sequence[by_place]
+        firsts = np.flatnonzero(np.diff(sequence, prepend=-1))
+        before = np.cumsum(length) - length
+        each = np.diff(firsts, append=len(length))
+        found = table.select(columns).take(pa.array(by_place))
+        found = found.append_column("sequence_id", pa.array(np.repeat(place[firsts] << bits, each)))
+        return found.append_column("offset", pa.array(before - np.repeat(before[firsts], each)))
+
+    kinds = PIECES + ", sequence_id long, offset long"
+    shares = pieces.where(F.col("length") < capacity).groupBy(F.floor(F.col("place") / stretch)).applyInArrow(fill, kinds)
+    full = pieces.where(F.col("length") == capacity)
+    alone = full.select(*columns, F.shiftleft("place", bits).bitwiseOR(F.col("piece").cast("long")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shares.unionByName(alone)
+
+
+def pack_documents_in_order(
+    docs: DataFrame, tokenizer: str, place_col: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False, stretch: int = STRETCH
+) -> DataFrame:
+    """Tokenise, cut and pack documents in the order of ``place_col``, whole numbers from 0; see :func:`token_pieces` and :func:`pack_in_order`."""
+    pieces = materialise(token_pieces(docs, tokenizer, capacity, id_col, text_col, added_tokens, place_col), "pack-pieces")
+    return pack_in_order(pieces, capacity, stretch=stretch)
